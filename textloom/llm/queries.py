@@ -6,10 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, sharding, simhash
+from pyspark.sql import functions as F
+
+from . import chat, exact_dedup, langid, pieces, quality, sharding, simhash
 from .common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and digests of the text and of what the ids decode to."""
+    docs = table(spark, sf_dir, "documents").select(F.struct("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")).alias("doc"), "text")
+    back = pieces.decode(pieces.encode(docs, id_col="doc"), id_col="doc")
+    return back.select(
+        "doc.doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "doc.text_sha256", F.sha2("text", 256).alias("decoded_sha256")
+    ).withColumn("lossless", F.col("text_sha256") == F.col("decoded_sha256"))
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -31,7 +50,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_simhash, op7_exact_dedup, op8_sharding, op9_chat)}
+    return {f.__name__: f for f in (op1_quality, op3_pieces, op4_langid, op6_simhash, op7_exact_dedup, op8_sharding, op9_chat)}
 
 
 def oracle_sql() -> dict[str, str]:

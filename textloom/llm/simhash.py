@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +17,12 @@ from .graph import components
 #: fingerprint by three segments (first bit, bits) of at most 23 bits.
 GENERATOR = 0b101011100011
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: Words have at most two differing bits if they are linked.
+#: Linked fingerprints differ in at most so many bits.
 MAX_DISTANCE = 2
 #: Keys with more members than this are joined through midpoints, not pair by pair.
 PAIRWISE = 24
 
 
-@lru_cache
 def codewords() -> np.ndarray:
     """The 4,096 codewords by message index, from the generator polynomial."""
     message = np.arange(4096, dtype=np.int64) << 11
@@ -34,9 +32,8 @@ def codewords() -> np.ndarray:
     return message | rest
 
 
-@lru_cache
-def neighbour_flips() -> dict[int, np.ndarray]:
-    """By syndrome: the error patterns of weight up to 4 that lead from a word to a codeword (6 at most).
+def neighbour_flips() -> np.ndarray:
+    """Row by syndrome: the error patterns of weight up to 4 that lead from a word to a codeword (6 at most).
 
     Two words at distance 2 or less always share a codeword within distance 4 of both (exhaustively
     checked in the tests), so lists of these codewords' indices meet.
@@ -51,8 +48,10 @@ def neighbour_flips() -> dict[int, np.ndarray]:
     found = np.concatenate(patterns)
     for s, p in zip(syndrome(found), found):
         flips.setdefault(int(s), []).append(int(p))
-    width = max(map(len, flips.values()))
-    return {s: np.array(p + [-1] * (width - len(p)), dtype=np.int64) for s, p in flips.items()}
+    table = np.full((2048, max(map(len, flips.values()))), -1, dtype=np.int64)
+    for s, p in flips.items():
+        table[s, : len(p)] = p
+    return table
 
 
 def syndrome(words: np.ndarray) -> np.ndarray:
@@ -63,13 +62,9 @@ def syndrome(words: np.ndarray) -> np.ndarray:
     return rest
 
 
-def nearby_indices(words: np.ndarray) -> np.ndarray:
+def nearby_indices(words: np.ndarray, flips: np.ndarray) -> np.ndarray:
     """Indices (12 bits) of the codewords within distance 4 of each 23-bit word, -1 where there are fewer."""
-    flips = neighbour_flips()
-    by_syndrome = np.full((2048, len(next(iter(flips.values())))), -1, dtype=np.int64)
-    for s, row in flips.items():
-        by_syndrome[s] = row
-    chosen = by_syndrome[syndrome(words)]
+    chosen = flips[syndrome(words)]
     return np.where(chosen < 0, -1, (words[:, None] ^ chosen) >> 11)
 
 
@@ -109,12 +104,14 @@ def golay_keys(fps: DataFrame) -> DataFrame:
     codeword lists then meet: linked fingerprints share a key.
     """
 
+    flips = neighbour_flips()
+
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
             out, owners = [], []
             for i, at in enumerate(SEGMENTS):
-                near = nearby_indices(segment(fp, SEGMENTS[(i + 1) % 3]))
+                near = nearby_indices(segment(fp, SEGMENTS[(i + 1) % 3]), flips)
                 row, col = np.nonzero(near >= 0)
                 out.append((i << 34) | (segment(fp, at)[row] << 12) | near[row, col])
                 owners.append(fp[row])
