@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, pieces, quality, sharding, simhash
+from . import chat, decontaminate, exact_dedup, langid, pieces, pii, quality, sharding, simhash
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and digests of the text and of what the ids decode to."""
     docs = table(spark, sf_dir, "documents").select(F.struct("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")).alias("doc"), "text")
@@ -29,6 +33,10 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,7 +58,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_pieces, op4_langid, op6_simhash, op7_exact_dedup, op8_sharding, op9_chat)}
+    return {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_pieces, op4_langid, op5_pii, op6_simhash, op7_exact_dedup, op8_sharding, op9_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
