@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, langid, pieces, pii, quality, sharding, simhash
+from . import chat, decontaminate, exact_dedup, langid, pieces, pii, quality, sharding, simhash, substring_dedup
 from .common import table
 
 
@@ -57,8 +57,12 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(chat.messages_as_events(rows)))
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_pieces, op4_langid, op5_pii, op6_simhash, op7_exact_dedup, op8_sharding, op9_chat)}
+    return {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_pieces, op4_langid, op5_pii, op6_simhash, op7_exact_dedup, op8_sharding, op9_chat, op10_substrings)}
 
 
 def oracle_sql() -> dict[str, str]:
