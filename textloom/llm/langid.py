@@ -143,11 +143,9 @@ def train(docs: DataFrame, usable: F.Column, id_col: str = "doc_id", text_col: s
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kernels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4 << 20):
-            for i in range(0, batch.num_rows, ROWS):
-                part = batch.slice(i, ROWS)
-                k, _ = kernel(shared.value, part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(list(k), pa.list_(pa.float32()))], ["lang", "k"])
+        for part in parts(batches):
+            k, _ = kernel(shared.value, part.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(list(k), pa.list_(pa.float32()))], ["lang", "k"])
 
     sample = rows.filter(below(TRAINING, 0)).select("text", "lang").mapInArrow(kernels, "lang string, k array<float>").collect()
     return fit(model, np.array([r["k"] for r in sample], dtype=np.float32), [r["lang"] for r in sample]) if sample else None
@@ -164,23 +162,31 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in slices(batches, 4 << 20):
-            for i in range(0, batch.num_rows, ROWS):
-                part = batch.slice(i, ROWS)
-                langs, scores = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
-                if m is not None:
-                    k, lettered = kernel(m, [t or "" for t in part.column("text").to_pylist()])
-                    margin = (k @ m.weights + m.bias).astype(np.float64)
-                    share = np.exp(4 * (margin - margin.max(axis=1, keepdims=True)))
-                    scores = np.where(lettered, 1 / share.sum(axis=1), 0.0)
-                    langs = [m.languages[j] if ok else UNKNOWN for j, ok in zip(margin.argmax(axis=1), lettered)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(langs), pa.array(scores)], ["id", "lang_pred", "score"])
+        for part in parts(batches):
+            langs, scores = label(shared.value, part.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(langs), pa.array(scores)], ["id", "lang_pred", "score"])
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(score, f"id {kind}, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)
 
 
+def label(model: Model | None, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """The language of each text, and its score."""
+    if model is None:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+    k, lettered = kernel(model, [t or "" for t in texts])
+    margin = (k @ model.weights + model.bias).astype(np.float64)
+    share = np.exp(4 * (margin - margin.max(axis=1, keepdims=True)))
+    return [model.languages[j] if ok else UNKNOWN for j, ok in zip(margin.argmax(axis=1), lettered)], np.where(lettered, 1 / share.sum(axis=1), 0.0)
+
+
+def parts(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches of ROWS rows at most, and of bounded text."""
+    for batch in slices(batches, 4 << 20, column):
+        for i in range(0, batch.num_rows, ROWS):
+            yield batch.slice(i, ROWS)
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Predict every document's language from a model fitted on rows whose crc32(id) mod 4 is not 2.
 
@@ -193,7 +199,14 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return predict(docs, model, id_col, text_col).select(id_col, held.alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs, all columns, whose language could be told; ids must be unique."""
-    told = identify(docs, id_col).filter(F.col("lang_pred") != UNKNOWN).select(F.col(id_col).alias("__id"))
-    return docs.join(told, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs, all columns, whose language can be told (not 'und'); nothing is shuffled."""
+    held = F.coalesce(remainder(id_col, 4) == 2, F.lit(False))
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, ~held & F.col(id_col).isNotNull(), id_col, text_col, lang_col))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches, text_col):
+            langs, _ = label(shared.value, part.column(text_col).to_pylist())
+            yield part.filter(pa.array([x != UNKNOWN for x in langs]))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -264,3 +264,15 @@ def decode(encoded: DataFrame, path: str = MODEL_PATH, id_col: str = "doc_id") -
 
     out = encoded.select(F.col(id_col).alias("id"), "ids").mapInArrow(run, f"id {kind}, ids array<int>, text string")
     return out.withColumnRenamed("id", id_col)
+
+
+def round_trip(docs: DataFrame, path: str = MODEL_PATH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encode every row, decode the ids again and compare.
+
+    Returns id, n_tokens, ids, text_sha256, decoded_sha256, lossless (only texts with the marker itself are not).
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.struct(F.col(id_col).alias("id"), F.sha2(text, 256).alias("sha")).alias("doc"), text.alias("text"))
+    back = decode(encode(rows, path, "doc", "text"), path, "doc")
+    out = back.select(F.col("doc.id").alias(id_col), F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("doc.sha").alias("text_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+    return out.withColumn("lossless", F.col("text_sha256") == F.col("decoded_sha256"))

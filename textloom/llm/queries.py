@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import functions as F
-
 from . import chat, decontaminate, exact_dedup, langid, pieces, pii, quality, sharding, simhash, substring_dedup
 from .common import table
 
@@ -21,12 +19,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every document, and digests of the text and of what the ids decode to."""
-    docs = table(spark, sf_dir, "documents").select(F.struct("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")).alias("doc"), "text")
-    back = pieces.decode(pieces.encode(docs, id_col="doc"), id_col="doc")
-    return back.select(
-        "doc.doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "doc.text_sha256", F.sha2("text", 256).alias("decoded_sha256")
-    ).withColumn("lossless", F.col("text_sha256") == F.col("decoded_sha256"))
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,5 +161,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     return rows.join(label.hint("merge"), "fp").select(F.col("id").alias(id_col), hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def drop_near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, with the smallest id of their class; ids must be unique."""
+    kept = near_duplicates(docs, words, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id"))
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+
+
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
