@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed values of the format: marks that open a span, the mark that closes one, and the marks of a note, a title and an image.
 SPANS = ("zp", "mp", "zpsc", "sc", "fu", "wz", "T")
@@ -135,7 +136,7 @@ def escape_html(text: Column) -> Column:
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape_html(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else html.unescape(t))
 

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.arrays import array_mean, array_quantile, occurrences
 from ..functions.charset import LETTERS, Charset, only_letters
@@ -39,7 +40,7 @@ def character_profile(chars: str, window: int = WINDOW) -> tuple[float, float, f
     return entropy, ratio, float(np.maximum(0, held).sum() / (window * (n - window + 1)))
 
 
-@F.pandas_udf("struct<entropy:double,unique_ratio:double,mattr:double>")
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("entropy", "unique_ratio", "mattr")]))
 def _profiles(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         yield pd.DataFrame([character_profile(t or "") for t in texts], columns=["entropy", "unique_ratio", "mattr"])
@@ -116,7 +117,7 @@ def mask_entities(text: Column | str, lexicon: list[str], mark: str = "○") ->
     return column
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def compatibility_form(texts: pd.Series) -> pd.Series:
     """Unicode NFKC, for which Spark has no function."""
     import unicodedata

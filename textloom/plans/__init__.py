@@ -1 +1,6 @@
+"""Named queries over the driver's tables, composed of the operators."""
 
+from . import features, text
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "features", "text"]
