@@ -124,7 +124,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     text = docs.select(id_col, F.col(text_col).alias("text"))
     trusted = labels.filter((F.col("label") == 1) & (draw < int(min(1, POSITIVES / ones) * (1 << 30)))).select(id_col, F.lit(1).alias("trusted"))
     other = F.pmod(F.xxhash64(F.col(id_col), F.lit("unlabelled")), F.lit(1 << 30)) < int(min(1, UNLABELLED / rows) * (1 << 30))
-    sample = text.join(trusted.hint("shuffle_hash"), id_col, "left").withColumn("unlabelled", other).filter("trusted = 1 or unlabelled")
+    # POSITIVES bounds the ids that are sent along, so no text is shuffled
+    sample = text.join(F.broadcast(trusted), id_col, "left").withColumn("unlabelled", other).filter("trusted = 1 or unlabelled")
     sample = sample.withColumn("kind", F.coalesce("trusted", F.lit(0)) * 2 + F.col("unlabelled").cast("int"))
     got = featurise(sample, "kind").toPandas()
     x = np.stack(got["x"].to_numpy())
