@@ -174,16 +174,37 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    schema = f"id {kinds[0]}, item {kinds[1]}, score double, end_word long"
+    found = [texts.mapInArrow(aligner(shared, threshold), schema) for shared in item_blocks(texts, benchmark, item_col, item_text)]
+    out = reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], schema)
+    return out.withColumnsRenamed({"id": id_col, "item": item_col})
+
+
+def item_blocks(texts: DataFrame, benchmark: DataFrame, item_col: str, item_text: str) -> Iterator:
+    """Broadcasts of the test items with their seeds, BLOCK_CHARS characters or so at a time."""
     tests = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text"))
     blocks = -(-int(tests.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS)
-    schema = f"id {kinds[0]}, item {kinds[1]}, score double, end_word long"
-    found = []
     for block in range(blocks):
         own = tests.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
         items = block_of([tuple(r) for r in own.orderBy("item", "text").collect()])
-        found.append(texts.mapInArrow(aligner(spark.sparkContext.broadcast(with_seeds(items, corpus_counts(texts, items))), threshold), schema))
-    out = reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], schema)
-    return out.withColumnsRenamed({"id": id_col, "item": item_col})
+        yield texts.sparkSession.sparkContext.broadcast(with_seeds(items, corpus_counts(texts, items)))
+
+
+def best_alignments(texts: list[str | None], items: Items, threshold: float) -> dict[tuple[int, int], tuple[float, int]]:
+    """(text number, item number): best score of `threshold` or more, and minus the word where it ends."""
+    pairs, owners = [], []
+    for row, text in enumerate(texts):
+        ids = word_ids(text, items.vocabulary)
+        for item, begin, end in candidates(ids, items):
+            pairs.append((items.words[item], ids[begin:end]))
+            owners.append((row, item, begin))
+    score, end = align(pairs)
+    best: dict[tuple[int, int], tuple[float, int]] = {}
+    for (row, item, begin), s, e in zip(owners, score, end):
+        share = float(s) / (MATCH * len(items.words[item]))
+        if share >= threshold:
+            best[row, item] = max(best.get((row, item), (0.0, -(1 << 62))), (share, -(begin + int(e))))
+    return best
 
 
 def aligner(shared, threshold: float):
@@ -192,29 +213,28 @@ def aligner(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
         for batch in slices(batches, 8 << 20):
-            pairs, owners = [], []
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                ids = word_ids(text, items.vocabulary)
-                for item, begin, end in candidates(ids, items):
-                    pairs.append((items.words[item], ids[begin:end]))
-                    owners.append((row, item, begin))
-            score, end = align(pairs)
-            best: dict[tuple[int, int], tuple[float, int]] = {}
-            for (row, item, begin), s, e in zip(owners, score, end):
-                share = float(s) / (MATCH * len(items.words[item]))
-                if share >= threshold:
-                    best[row, item] = max(best.get((row, item), (0.0, 0)), (share, -(begin + int(e))))
-            rows = pa.array([r for r, _ in best], pa.int64())
+            best = best_alignments(batch.column("text").to_pylist(), items, threshold)
             named = [items.ids[i] for _, i in best]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(rows), pa.array(named, pa.from_numpy_dtype(np.int64) if not named or isinstance(named[0], int) else None),
+                [batch.column("id").take(pa.array([r for r, _ in best], pa.int64())), pa.array(named, pa.int64() if not named or isinstance(named[0], int) else None),
                  pa.array([s for s, _ in best.values()], pa.float64()), pa.array([-e for _, e in best.values()], pa.int64())], ["id", "item", "score", "end_word"]
             )
 
     return run
 
 
-def drop_leaked(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs, all columns, that hold no test item; ids must be unique."""
-    found = leaks(docs, benchmark, id_col).select(F.col(id_col).alias("__id"))
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+def drop_leaked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, that hold no test item; nothing is shuffled. See leaks."""
+    out = docs
+
+    def keeper(shared):
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, 8 << 20, text_col):
+                leaked = {row for row, _ in best_alignments(batch.column(text_col).to_pylist(), shared.value, threshold)}
+                yield batch.filter(pa.array([i not in leaked for i in range(batch.num_rows)], pa.bool_()))
+
+        return keep
+
+    for shared in item_blocks(docs.select(F.col(text_col).alias("text")), benchmark, item_col, item_text):
+        out = out.mapInArrow(keeper(shared), docs.schema)
+    return out
