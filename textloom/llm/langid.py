@@ -200,13 +200,20 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs, all columns, whose language can be told (not 'und'); nothing is shuffled."""
+    """The rows of docs, all columns, whose language can be told (not 'und'); nothing is shuffled.
+
+    Where there is nothing to learn from, all texts with letters stay.
+    """
     held = F.coalesce(remainder(id_col, 4) == 2, F.lit(False))
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, ~held & F.col(id_col).isNotNull(), id_col, text_col, lang_col))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches, text_col):
-            langs, _ = label(shared.value, part.column(text_col).to_pylist())
-            yield part.filter(pa.array([x != UNKNOWN for x in langs]))
+            texts = part.column(text_col).to_pylist()
+            if shared.value is None:
+                told = [any(c.isalpha() for c in t or "") for t in texts]
+            else:
+                told = [x != UNKNOWN for x in label(shared.value, texts)[0]]
+            yield part.filter(pa.array(told, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
