@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions
 
 WHITESPACE = r"[\x20\x09-\x0D]+"
+#: Characters of a text in a sampled splitter.
+SPLITTER = 48
 
 
 def normalised(text: str = "text") -> F.Column:
@@ -17,10 +19,11 @@ def normalised(text: str = "text") -> F.Column:
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of rows whose texts are equal once ASCII white space is deleted.
 
-    Sampled splitters deal the rows into ranges of (normalised text, id); within a range an external
-    sort puts equal texts side by side and neighbours are compared in full (a sorted aggregate over the
-    text itself), which leaves one run per text and range. The splitters include the id, so a text that
-    a third of the rows share is cut over several ranges; its few runs are merged afterwards.
+    Sampled splitters deal the rows into ranges of (beginning of the normalised text, id); within a range an
+    external sort puts equal texts side by side and neighbours are compared in full (a sorted aggregate over the
+    whole text), which leaves one run per text and range. The splitters include the id, so a text that
+    a third of the rows share is cut over several ranges; its few runs are merged afterwards. Splitters hold
+    SPLITTER characters of a text, as the driver samples them; what decides is always the whole text.
 
     Of equal texts the row with the most code points in the original text stays, then the smallest id.
     Null text counts as empty; empty and blank texts form one class. Rows that repeat an id are rows of
@@ -38,7 +41,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     best = F.struct("points", F.coalesce(-F.col("id"), F.lit(-(2**63) + 1)).alias("smallest"), "id")
     groups = (
-        rows.repartitionByRange(shuffle_partitions(spark), "content", "id")
+        rows.repartitionByRange(shuffle_partitions(spark), F.left("content", F.lit(SPLITTER)), "id")
         .groupBy("content")
         .agg(F.max(best).alias("best"), F.count("*").alias("group_size"))
         .select(F.sha2("content", 256).alias("text_sha256"), F.col("best.id").alias("keep_id"), "group_size")
