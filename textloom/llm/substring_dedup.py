@@ -23,11 +23,11 @@ from .common import materialize, shuffle_partitions, slices
 
 LENGTH, ANCHOR = 100, 24
 #: Bytes of text for each partition that anchors are dealt to; bytes of text handled at a time in a task.
-PARTITION_BYTES, SLICE_BYTES = 48 << 20, 4 << 20
+PARTITION_BYTES, SLICE_BYTES = 48 << 20, 2 << 20
 #: Segments' bytes of a shard after which a task closes it and starts another.
 SHARD_BYTES = 16 << 20
-#: Places within a slice have 24 bits; a text longer than this is taken in stretches.
-LONG = 8 << 20
+#: Places within a slice have 24 bits; a text of more than twice this is taken in stretches of it.
+LONG = 2 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 LAST = 2**63 - 1
 
@@ -51,7 +51,7 @@ def segments_of(texts: list[bytes], length: int = LENGTH, k: int = ANCHOR) -> Se
 
     A text that is too long for the packed places is taken in stretches, which cuts a few segments in two.
     """
-    if len(texts) == 1 and len(texts[0]) > LONG:
+    if len(texts) == 1 and len(texts[0]) > 2 * LONG:
         cut = [(a, segments_of([texts[0][a : a + LONG - 1 + length]], length, k)) for a in range(0, len(texts[0]), LONG)]
         return Segments(*(np.concatenate([getattr(s, c) + (np.int64(a) if c in ("low", "high") else getattr(s, c).dtype.type(0)) for a, s in cut]) for c in ("doc", "low", "high", "anchor", "digest")))
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
@@ -74,16 +74,19 @@ def segments_of(texts: list[bytes], length: int = LENGTH, k: int = ANCHOR) -> Se
     for j in range(8, k - 7, 8):
         h = (h ^ (h >> np.uint64(31))) * MULTIPLIER + word[j : j + m]
     h ^= h >> np.uint64(32)
+    del word, padded
     # smallest hash of each window, with its place: block-wise running minima from both sides
     key = (h >> np.uint64(24) << np.uint64(24)) | np.arange(m, dtype=np.uint64)
     blocks = -(-m // w)
     grid = np.full(blocks * w, np.iinfo(np.uint64).max, dtype=np.uint64)
     grid[:m] = key
     grid = grid.reshape(blocks, w)
+    del h, key
     ahead = np.minimum.accumulate(grid, axis=1).ravel()
     behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
     windows = n - length + 1
     place = (np.minimum(behind[:windows], ahead[w - 1 : w - 1 + windows]) & np.uint64(0xFFFFFF)).astype(np.int64)
+    del grid, ahead, behind
     ends = np.cumsum(sizes)
     doc = np.repeat(np.arange(len(texts)), sizes)[:windows]
     valid = np.arange(windows) + length <= ends[doc]
@@ -267,46 +270,48 @@ def last_to_first(bwt: np.ndarray) -> np.ndarray:
     return lf
 
 
-def merged_repeats(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows that occur more than once, from shard transforms (bwt, separator rows, segment lengths).
+def merged_repeats(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows that occur more than once, from shard transforms (bwt, separator rows, segment lengths, segment anchors).
 
-    The rows of all shards start as one interval. Each refinement reads the symbol before every row, keeps rows of
+    Equal windows have equal anchors, so the rows of all shards start as one interval an anchor; rows with fewer than
+    `length` symbols before them cannot end a window and are left out. Each refinement reads the symbol before every row, keeps rows of
     an interval that share it together and moves them on by their own shard's last-to-first map: after d
     refinements the intervals are the sets of suffixes with a common prefix of d symbols. Intervals of one row are
-    dropped, as their extensions would be single too, and so are prefixes that meet a separator. Nothing is sorted anew.
+    dropped, as their extensions would be single too. Nothing is sorted anew.
 
     Returns (interval, segment, offset) of each window in an interval of two or more; segments are numbered through the shards.
     """
-    bwt = np.concatenate([b for b, _, _ in shards])
-    base = np.cumsum([0] + [len(b) for b, _, _ in shards])
-    lf = np.concatenate([last_to_first(b) + o for (b, _, _), o in zip(shards, base)])
-    row = np.arange(len(bwt), dtype=np.int64)
-    interval = np.zeros(len(bwt), dtype=np.int64)
-    for _ in range(length):
-        symbol = bwt[row]
-        order = np.argsort(symbol, kind="stable")
-        order = order[np.searchsorted(symbol[order], 1) :]
-        symbol, interval = symbol[order], interval[order]
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1])
-        alone = new.copy()
-        alone[:-1] &= new[1:]
-        keep = ~alone
-        row, interval = lf[row[order[keep]]], np.cumsum(new)[keep]
+    bwt = np.concatenate([s[0] for s in shards])
+    base = np.cumsum([0] + [len(s[0]) for s in shards])
+    lf = np.concatenate([last_to_first(s[0]) + o for s, o in zip(shards, base)])
     # where each row stands: walk back from the separators, all segments side by side
-    lengths = np.concatenate([n for _, _, n in shards])
+    lengths = np.concatenate([s[2] for s in shards])
+    anchor = np.unique(np.concatenate([s[3] for s in shards]), return_inverse=True)[1]
     segment, offset = np.full(len(bwt), -1, dtype=np.int64), np.zeros(len(bwt), dtype=np.int64)
-    cur = np.concatenate([s + o for (_, s, _), o in zip(shards, base)])
+    cur = np.concatenate([s[1] + o for s, o in zip(shards, base)])
     who, left = np.arange(len(lengths)), lengths.copy()
+    segment[cur], offset[cur] = who, left
     while len(who):
         cur, left = lf[cur], left - 1
         segment[cur], offset[cur] = who, left
         more = left > 0
         who, cur, left = who[more], cur[more], left[more]
+    row = np.flatnonzero(offset >= length)
+    interval = anchor[segment[row]]
+    for _ in range(length):
+        symbol = bwt[row].astype(np.int64)
+        order = np.argsort(interval * 257 + symbol, kind="stable")
+        row, symbol, interval = row[order], symbol[order], interval[order]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1])
+        alone = new.copy()
+        alone[:-1] &= new[1:]
+        keep = ~alone
+        row, interval = lf[row[keep]], np.cumsum(new)[keep]
     return interval, segment[row], offset[row]
 
 
-META = np.dtype([("id", "<i8"), ("version", "<i8"), ("low", "<u4"), ("length", "<u2"), ("end", "<u4")])
+META = np.dtype([("id", "<i8"), ("version", "<i8"), ("low", "<u4"), ("length", "<u2"), ("end", "<u4"), ("anchor", "<i8")])
 
 
 def shard_transforms(docs: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
@@ -319,19 +324,19 @@ def shard_transforms(docs: DataFrame, wanted: DataFrame, buckets: int) -> DataFr
 
         def shards() -> pa.RecordBatch:
             by: dict[int, list] = {}
-            for bucket, *rest in held:
-                by.setdefault(bucket, []).append(rest)
+            for anchor, *rest in held:
+                by.setdefault(anchor % buckets, []).append((*rest, anchor))
             data = []
             for members in by.values():
                 bwt, ends = transform([t for t, *_ in members])
-                meta = np.array([(i, v, low, len(t), e) for (t, i, v, low), e in zip(members, ends)], dtype=META)
+                meta = np.array([(i, v, low, len(t), e, k) for (t, i, v, low, k), e in zip(members, ends)], dtype=META)
                 data.append(len(members).to_bytes(4, "little") + meta.tobytes() + bwt.astype("<u2").tobytes())
             return pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
 
         for batch in slices(batches, SLICE_BYTES):
             for i, v, text, segments in zip(*(batch.column(c).to_pylist() for c in ("id", "version", "text", "segments"))):
                 for s in segments:
-                    held.append((s["anchor"] % buckets, text[s["low"] : s["high"] + LENGTH], i, v, s["low"]))
+                    held.append((s["anchor"], text[s["low"] : s["high"] + LENGTH], i, v, s["low"]))
                     size += s["high"] + LENGTH - s["low"]
                 if size > SHARD_BYTES:
                     yield shards()
@@ -353,7 +358,7 @@ def merge_buckets(shards: DataFrame, buckets: int) -> DataFrame:
         for data in by.values():
             metas = [np.frombuffer(d, dtype=META, count=int.from_bytes(d[:4], "little"), offset=4) for d in data]
             bwts = [np.frombuffer(d, dtype="<u2", offset=4 + META.itemsize * len(m)) for d, m in zip(data, metas)]
-            interval, segment, offset = merged_repeats([(b, m["end"].astype(np.int64), m["length"].astype(np.int64)) for b, m in zip(bwts, metas)])
+            interval, segment, offset = merged_repeats([(b, m["end"].astype(np.int64), m["length"].astype(np.int64), m["anchor"]) for b, m in zip(bwts, metas)])
             meta = np.concatenate(metas)
             start = meta["low"][segment].astype(np.int64) + offset
             ids, versions = meta["id"][segment], meta["version"][segment]
