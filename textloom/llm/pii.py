@@ -131,7 +131,8 @@ def bootstrap(seen: DataFrame) -> DataFrame:
 
 
 def shape_column(filler: F.Column) -> F.Column:
-    return F.regexp_replace(F.regexp_replace(filler, r"\p{L}+", "a"), r"[0-9]+", "9")
+    """The coarse form of a filler: has an @, is a number with separators, or neither."""
+    return F.when(F.contains(filler, F.lit("@")), "at").when(filler.rlike(r"^[+(]?[0-9][0-9 ().:/-]*$"), "number").otherwise("mixed")
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
