@@ -125,9 +125,9 @@ def compatibility_form(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-def greedy_chunks(docs: DataFrame, key: str = "doc_id", least: int = 900, target: int = 1200, most: int = 1500, charset: Charset = LETTERS) -> DataFrame:
+def greedy_chunks(docs: DataFrame, key: str = "doc_id", least: int = 900, target: int = 1200, most: int = 1500, rest: int = 600, charset: Charset = LETTERS) -> DataFrame:
     """Sentences packed in order into chunks: a chunk closes at `target` characters, or earlier (from `least` on) if
-    the next sentence would take it past `most`; a short remainder joins the chunk before. One row a chunk."""
+    the next sentence would take it past `most`; a remainder under `rest` joins the chunk before. One row a chunk."""
     pieces = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"(?s).+?(?:{charset.ends}|$)"), 0)
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
@@ -140,7 +140,7 @@ def greedy_chunks(docs: DataFrame, key: str = "doc_id", least: int = 900, target
         return F.struct(F.when(full, F.array_append(done, joined)).otherwise(done).alias("done"), F.when(full, F.lit("")).otherwise(joined).alias("open"))
 
     def finish(a: Column) -> Column:
-        short = (F.length(a["open"]) < least // 2) & (F.size(a["done"]) > 0)
+        short = (F.length(a["open"]) < rest) & (F.size(a["done"]) > 0)
         last = F.concat(F.element_at(a["done"], -1), a["open"])
         merged = F.array_append(F.slice(a["done"], 1, F.greatest(F.size(a["done"]) - 1, F.lit(0))), last)
         return F.when(F.length(a["open"]) == 0, a["done"]).when(short, merged).otherwise(F.array_append(a["done"], a["open"]))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,10 +78,6 @@ def covariance(rows: DataFrame, vector: str, shrinkage: float = 0.2, ridge: floa
 
     Each Arrow batch gives one partial sum of outer products, so the shuffle carries d x d numbers a batch at most.
     """
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
@@ -109,10 +108,6 @@ def nearest(rows: DataFrame, references: DataFrame, key: str, ref_key: str, vect
     References are a stated set, taken in blocks that are each sent to the executors; a block gives k candidates a row, as matrix products, and
     the best of all blocks stay.
     """
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     kinds = rows.schema[key].dataType.simpleString(), references.schema[ref_key].dataType.simpleString()
     schema = f"{key} {kinds[0]}, {ref_key} {kinds[1]}, distance double"
     refs = references.filter(F.col(vector).isNotNull()).select(F.col(ref_key).alias("ref"), F.col(vector).cast("array<double>").alias("y"))
@@ -195,8 +190,6 @@ def silhouette(rows: DataFrame, vector: str, label: str, key: str) -> DataFrame:
 
 def mahalanobis(rows: DataFrame, vector: str, key: str, shrinkage: float = 0.2, ridge: float = 0.05) -> DataFrame:
     """sqrt(x' C^-1 x / d) and the mean absolute standard score of each vector; C is d x d, inverted on the driver."""
-    import pandas as pd
-
     cov = covariance(rows, vector, shrinkage, ridge).collect()
     if not cov:
         return rows.select(key, F.lit(None).cast("double").alias("mahalanobis"), F.lit(None).cast("double").alias("delta"))
@@ -218,8 +211,6 @@ def mahalanobis(rows: DataFrame, vector: str, key: str, shrinkage: float = 0.2,
 
 def draw(seed: Column | int, k: Column) -> Column:
     """The k-th number in [0, 1) of the counter-based generator with the given seed: a pure function of both."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def numbers(seeds: pd.Series, ks: pd.Series) -> pd.Series:
         return pd.Series(mulberry(seeds.to_numpy(dtype=np.int64), ks.to_numpy(dtype=np.int64)))
@@ -242,10 +233,6 @@ def bootstrap_interval(rows: DataFrame, value: str, key: str, seed: int = 202609
     Every row takes a Poisson(1) weight in each resample, drawn from its key: resampling needs no join, and each
     partition sums its resamples before the shuffle.
     """
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w, s = np.zeros(resamples), np.zeros(resamples)
         steps = np.cumsum(np.exp(-1) / np.cumprod(np.concatenate([[1.0], np.arange(1.0, 12.0)])))
