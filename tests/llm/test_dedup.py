@@ -313,6 +313,18 @@ def test_removed_bytes_agree_with_brute_force(spark, seed):
     assert sorted(got) == brute_removed([(i, (t or "").encode()) for i, t in docs])
 
 
+def test_crowded_anchors_agree_with_brute_force(spark, monkeypatch):
+    """One line in every document, each time between other words: its windows are dealt out one by one."""
+    monkeypatch.setattr(substring_dedup, "CROWDED", 3)
+    rng = random.Random(9)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(70))
+    around = ["".join(rng.choice("xyz") for _ in range(60)) for _ in range(6)]
+    docs = [(i, rng.choice(around) + line + rng.choice(around) + (line if i % 5 == 0 else "")) for i in range(60)] + repeating_docs(4, 0)
+    got = rows(substring_dedup.remove_repeats(spark.createDataFrame(docs, DOC).repartition(4)).drop("kept"))
+    want = brute_removed([(i, t.encode()) for i, t in docs])
+    assert sorted(got) == want and sum(w[2] for w in want) > 1000
+
+
 def test_kept_bytes_are_returned(spark):
     docs = [(1, "x" * 10 + "q" * 100), (2, "head" + "q" * 100 + "tail")]
     got = {r["doc_id"]: bytes(r["kept"]) for r in substring_dedup.remove_repeats(spark.createDataFrame(docs, DOC)).collect()}

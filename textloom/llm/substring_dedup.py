@@ -4,7 +4,8 @@ A string of LENGTH bytes is repeated if it starts earlier too. Where a window's
 falls depends on the window's bytes alone, so equal windows have equal anchors: dealing windows out by
 anchor keeps all equal windows together and lets each bucket be settled by itself. The windows of one anchor
 overlap and form a segment. Segments equal to an earlier one are removed whole by digest. Of the rest, those whose
-anchor occurs in different segments go, as transforms built shard by shard, to the merge.
+anchor occurs in different segments go, as transforms built shard by shard, to the merge. Windows of an anchor that
+is in very many different segments are dealt out by their own hashes instead, so that no task has them all.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .common import materialize, shuffle_partitions, slices
 LENGTH, ANCHOR = 100, 24
 #: Bytes of text for each partition that anchors are dealt to; bytes of text handled at a time in a task.
 PARTITION_BYTES, SLICE_BYTES = 48 << 20, 2 << 20
+#: An anchor in more different segments than this is not merged in one task: its windows are dealt out one by one.
+CROWDED = 20_000
 #: Segments' bytes of a shard after which a task closes it and starts another.
 SHARD_BYTES = 16 << 20
 #: Places within a slice have 24 bits; a text of more than twice this is taken in stretches of it.
@@ -31,7 +34,7 @@ LONG = 2 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 LAST = 2**63 - 1
 
-#: What tasks exchange: kind 0 anchors of a bucket (packed), 1 a removed stretch, 2 a segment to be merged.
+#: What tasks exchange: kind 0 anchors of a bucket (packed), 1 a removed stretch, 2 a segment to be merged, 3 a segment of a crowded anchor.
 PARTS = "bucket int, kind int, id long, version long, low long, high long, anchor long, data binary"
 
 
@@ -192,7 +195,8 @@ def unpack(data: list[bytes]) -> dict[str, np.ndarray]:
 
 def settle(parts: DataFrame, buckets: int) -> DataFrame:
     """Per bucket: segments equal to an earlier one are removed (kind 1); the first of each digest is to be
-    merged (kind 2) if its anchor occurs in another segment too, and is unique otherwise."""
+    merged (kind 2) if its anchor occurs in another segment too, and is unique otherwise. Those of an anchor
+    in more than CROWDED different segments are of kind 3."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data: list[bytes] = []
@@ -218,8 +222,11 @@ def settle(parts: DataFrame, buckets: int) -> DataFrame:
         lead = r["anchor"][new]
         lone[1:] &= lead[1:] != lead[:-1]
         lone[:-1] &= lead[:-1] != lead[1:]
-        merge = np.flatnonzero(new)[~lone]
-        for kind, at, reach in ((1, np.flatnonzero(gone), LENGTH), (2, merge, 0)):
+        start = np.flatnonzero(np.append(True, lead[1:] != lead[:-1]))
+        n = np.diff(np.append(start, len(lead)))
+        crowded = np.repeat(n > CROWDED, n)
+        first = np.flatnonzero(new)
+        for kind, at, reach in ((1, np.flatnonzero(gone), LENGTH), (2, first[~lone & ~crowded], 0), (3, first[crowded], 0)):
             for begin in range(0, len(at), 1 << 18):
                 i = at[begin : begin + (1 << 18)]
                 yield part(kind=kind, id=r["id"][i], version=r["version"][i], low=low[i], high=high[i] + reach, anchor=r["anchor"][i].view(np.int64))
@@ -314,10 +321,14 @@ def merged_repeats(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 META = np.dtype([("id", "<i8"), ("version", "<i8"), ("low", "<u4"), ("length", "<u2"), ("end", "<u4"), ("anchor", "<i8")])
 
 
+def with_segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, version, text, segments) of the documents that have wanted segments."""
+    lists = wanted.groupBy("id", "version").agg(F.collect_list(F.struct("low", "high", "anchor")).alias("segments"))
+    return docs.join(lists.hint("shuffle_hash"), ["id", "version"]).select("id", "version", "text", "segments")
+
+
 def shard_transforms(docs: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
     """(bucket, data): transforms of the wanted segments, a shard for each task and bucket."""
-    lists = wanted.groupBy("id", "version").agg(F.collect_list(F.struct("low", "high", "anchor")).alias("segments"))
-    both = docs.join(lists.hint("shuffle_hash"), ["id", "version"]).select("id", "version", "text", "segments")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -344,7 +355,29 @@ def shard_transforms(docs: DataFrame, wanted: DataFrame, buckets: int) -> DataFr
         if held:
             yield shards()
 
-    return both.mapInArrow(run, "bucket int, data binary")
+    return with_segments(docs, wanted).mapInArrow(run, "bucket int, data binary")
+
+
+def crowded_windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, version, low, high): repeated windows of the segments of crowded anchors, dealt by the windows' own hashes.
+
+    This is the exact way beyond CROWDED: equal windows are combined before the shuffle, and no task has more of an anchor
+    than its share.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, SLICE_BYTES):
+            for i, v, text, segments in zip(*(batch.column(c).to_pylist() for c in ("id", "version", "text", "segments"))):
+                at = np.concatenate([np.arange(s["low"], s["high"] + 1) for s in segments])
+                digest = b"".join(xxhash.xxh3_128_digest(text[a : a + LENGTH]) for a in at.tolist())
+                a, b = np.frombuffer(digest, dtype="<i8").reshape(-1, 2).T
+                cols = [pa.array(np.ascontiguousarray(x)) for x in (a, b, np.full(len(at), i), np.full(len(at), v), at)]
+                yield pa.RecordBatch.from_arrays(cols, ["a", "b", "id", "version", "low"])
+
+    windows = materialize(with_segments(docs, wanted).mapInArrow(run, "a long, b long, id long, version long, low long"), "crowded-windows")
+    first = windows.groupBy("a", "b").agg(F.min(F.struct("id", "version", "low")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    later = windows.join(first.hint("merge"), ["a", "b"]).filter(F.struct("id", "version", "low") > F.col("first"))
+    return later.select("id", "version", "low", (F.col("low") + LENGTH).alias("high"))
 
 
 def merge_buckets(shards: DataFrame, buckets: int) -> DataFrame:
@@ -388,7 +421,9 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
     parts = materialize(settle(anchors(docs, buckets), buckets), "anchored")
     keys = ["id", "version", "low", "high"]
     merged = merge_buckets(shard_transforms(docs, parts.filter("kind = 2").select(*keys, "anchor"), buckets), buckets)
-    return parts.filter("kind = 1").select(*keys).unionByName(merged)
+    found = parts.filter("kind = 1").select(*keys).unionByName(merged)
+    crowded = parts.filter("kind = 3").select(*keys, "anchor")
+    return found if crowded.isEmpty() else found.unionByName(crowded_windows(docs, crowded))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
