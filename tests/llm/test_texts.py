@@ -215,6 +215,10 @@ def test_round_trip_query(spark):
     odd = {r["doc_id"]: (r["n_tokens"], r["lossless"]) for r in pieces.round_trip(spark.createDataFrame(EDGES, DOC).selectExpr("*", "1 AS id", "2 AS ids", "3 AS doc")).collect()}
     assert odd[1] == odd[2] == (0, True) and all(x[1] for x in odd.values())
     assert rows(pieces.round_trip(spark.createDataFrame([], DOC))) == []
+    docs = common.table(spark, SMALL, "documents")
+    apart = {r["doc_id"]: (r["ids"], r["text"]) for r in pieces.decode(pieces.encode(docs)).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    assert apart == {r["doc_id"]: (r["ids"], texts[r["doc_id"]]) for r in got}
 
 
 # ---- language ID

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,8 +17,10 @@ from .common import slices
 
 #: Fixed values of the format: the white-space marker, and how far below the worst piece an unknown character scores.
 MARKER, UNKNOWN_PENALTY = "▁", 10.0
-#: Distinct words whose segmentations a task keeps before it starts afresh.
-CACHE = 400_000
+#: Distinct words whose segmentations a task keeps before it starts afresh; bytes of new words segmented at a time.
+CACHE, TOGETHER = 150_000, 1 << 18
+#: Bytes of text that a task encodes at a time.
+SLICE_BYTES = 1 << 20
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -176,6 +179,18 @@ def viterbi(units: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     return out, np.bincount(who, weights=spread, minlength=len(units)).astype(np.int64)
 
 
+def groups(units: list[bytes], most: int) -> Iterator[list[bytes]]:
+    """Consecutive units of about `most` bytes together (one at least)."""
+    begin, held = 0, 0
+    for i, u in enumerate(units):
+        if i > begin and held + len(u) > most:
+            yield units[begin:i]
+            begin, held = i, 0
+        held += len(u)
+    if begin < len(units):
+        yield units[begin:]
+
+
 class Encoder:
     """Encodes texts; remembers the segmentations of up to CACHE distinct units."""
 
@@ -203,8 +218,8 @@ class Encoder:
             else:
                 per_text.append(0)
         new = [u.encode("utf-8", "surrogatepass") for u in list(known)[before:]] if len(known) > before else []
-        if new:
-            ids, lengths = viterbi(new, self.v)
+        for part in groups(new, TOGETHER):
+            ids, lengths = viterbi(part, self.v)
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
             self.ids = np.concatenate([self.ids, ids])
@@ -237,7 +252,7 @@ def encode(docs: DataFrame, path: str = MODEL_PATH, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches, SLICE_BYTES):
             ids, n = encoder.encode(batch.column("text").to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([batch.column("id"), lists], ["id", "ids"])
@@ -267,12 +282,22 @@ def decode(encoded: DataFrame, path: str = MODEL_PATH, id_col: str = "doc_id") -
 
 
 def round_trip(docs: DataFrame, path: str = MODEL_PATH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode every row, decode the ids again and compare.
+    """Encode every row, decode the ids again and compare, in one pass over the rows; see encode and decode.
 
     Returns id, n_tokens, ids, text_sha256, decoded_sha256, lossless (only texts with the marker itself are not).
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.struct(F.col(id_col).alias("id"), F.sha2(text, 256).alias("sha")).alias("doc"), text.alias("text"))
-    back = decode(encode(rows, path, "doc", "text"), path, "doc")
-    out = back.select(F.col("doc.id").alias(id_col), F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("doc.sha").alias("text_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
-    return out.withColumn("lossless", F.col("text_sha256") == F.col("decoded_sha256"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(load(path))
+    sha = lambda t: hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(shared.value)
+        for batch in slices(batches, SLICE_BYTES):
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            ids, n = encoder.encode(texts)
+            before, after = ([sha(t) for t in x] for x in (texts, encoder.decode(ids, n)))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), lists, pa.array(before), pa.array(after)], ["id", "n_tokens", "ids", "text_sha256", "decoded_sha256"])
+
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids array<int>, text_sha256 string, decoded_sha256 string")
+    return out.withColumnRenamed("id", id_col).withColumn("lossless", F.col("text_sha256") == F.col("decoded_sha256"))
