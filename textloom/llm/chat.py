@@ -174,3 +174,18 @@ def digests(rendered: DataFrame) -> DataFrame:
 def format_chats(events: DataFrame) -> DataFrame:
     """Fold an event log into final messages and render them; see fold and render."""
     return render(fold(events))
+
+
+#: The digests of the default conversations in SQL; the template's lengths are those above.
+ORACLE = """
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&lsq;')) AS body FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(body + CASE WHEN role = 'assistant' THEN length('[REPLY]</s>') ELSE length('[INST ][/INST]') + length(role) END))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
