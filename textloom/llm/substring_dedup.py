@@ -25,8 +25,9 @@ from .common import materialize, shuffle_partitions, slices
 LENGTH, ANCHOR = 100, 24
 #: Bytes of text for each partition that anchors are dealt to; bytes of text handled at a time in a task.
 PARTITION_BYTES, SLICE_BYTES = 48 << 20, 2 << 20
-#: An anchor in more different segments than this is not merged in one task: its windows are dealt out one by one.
-CROWDED = 20_000
+#: An anchor in more different segments than this is not merged in one task: its windows are dealt out one by one. A merge
+#: takes about 6 kB a segment (some 40 bytes for each of 140 symbols), so this many take 400 MB of a task's memory.
+CROWDED = 1 << 16
 #: Segments' bytes of a shard after which a task closes it and starts another.
 SHARD_BYTES = 16 << 20
 #: Places within a slice have 24 bits; a text of more than twice this is taken in stretches of it.
@@ -321,62 +322,62 @@ def merged_repeats(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 META = np.dtype([("id", "<i8"), ("version", "<i8"), ("low", "<u4"), ("length", "<u2"), ("end", "<u4"), ("anchor", "<i8")])
 
 
-def with_segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, version, text, segments) of the documents that have wanted segments."""
-    lists = wanted.groupBy("id", "version").agg(F.collect_list(F.struct("low", "high", "anchor")).alias("segments"))
-    return docs.join(lists.hint("shuffle_hash"), ["id", "version"]).select("id", "version", "text", "segments")
+#: What is made of segments: a shard's transform (bucket, data), or a window of a crowded anchor (hash a, b and place).
+PIECES = "bucket int, data binary, a long, b long, id long, version long, low long"
 
 
-def shard_transforms(docs: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, data): transforms of the wanted segments, a shard for each task and bucket."""
+def pieces_of(docs: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
+    """PIECES of the wanted segments: transforms, a shard for each task and bucket, and windows of crowded anchors."""
+    lists = wanted.groupBy("id", "version").agg(F.collect_list(F.struct("low", "high", "anchor", "kind")).alias("segments"))
+    both = docs.join(lists.hint("shuffle_hash"), ["id", "version"]).select("id", "version", "text", "segments")
+    names = [c.split()[0] for c in PIECES.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+    def shards(held: list[tuple]) -> pa.RecordBatch:
+        by: dict[int, list] = {}
+        for anchor, *rest in held:
+            by.setdefault(anchor % buckets, []).append((*rest, anchor))
+        data = []
+        for members in by.values():
+            bwt, ends = transform([t for t, *_ in members])
+            meta = np.array([(i, v, low, len(t), e, k) for (t, i, v, low, k), e in zip(members, ends)], dtype=META)
+            data.append(len(members).to_bytes(4, "little") + meta.tobytes() + bwt.astype("<u2").tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), pa.array(data, pa.binary()), *(pa.nulls(len(data), pa.int64()) for _ in range(5))], names)
 
-        def shards() -> pa.RecordBatch:
-            by: dict[int, list] = {}
-            for anchor, *rest in held:
-                by.setdefault(anchor % buckets, []).append((*rest, anchor))
-            data = []
-            for members in by.values():
-                bwt, ends = transform([t for t, *_ in members])
-                meta = np.array([(i, v, low, len(t), e, k) for (t, i, v, low, k), e in zip(members, ends)], dtype=META)
-                data.append(len(members).to_bytes(4, "little") + meta.tobytes() + bwt.astype("<u2").tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
+    def windows(i: int, v: int, text: bytes, segments: list[dict]) -> pa.RecordBatch:
+        at = np.concatenate([np.arange(s["low"], s["high"] + 1) for s in segments])
+        digest = b"".join(xxhash.xxh3_128_digest(text[a : a + LENGTH]) for a in at.tolist())
+        a, b = np.frombuffer(digest, dtype="<i8").reshape(-1, 2).T
+        cols = [pa.array(np.ascontiguousarray(x)) for x in (a, b, np.full(len(at), i), np.full(len(at), v), at)]
+        return pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary()), *cols], names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in slices(batches, SLICE_BYTES):
             for i, v, text, segments in zip(*(batch.column(c).to_pylist() for c in ("id", "version", "text", "segments"))):
+                if crowded := [s for s in segments if s["kind"] == 3]:
+                    yield windows(i, v, text, crowded)
                 for s in segments:
-                    held.append((s["anchor"], text[s["low"] : s["high"] + LENGTH], i, v, s["low"]))
-                    size += s["high"] + LENGTH - s["low"]
+                    if s["kind"] == 2:
+                        held.append((s["anchor"], text[s["low"] : s["high"] + LENGTH], i, v, s["low"]))
+                        size += s["high"] + LENGTH - s["low"]
                 if size > SHARD_BYTES:
-                    yield shards()
+                    yield shards(held)
                     held, size = [], 0
         if held:
-            yield shards()
+            yield shards(held)
 
-    return with_segments(docs, wanted).mapInArrow(run, "bucket int, data binary")
+    return both.mapInArrow(run, PIECES)
 
 
-def crowded_windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, version, low, high): repeated windows of the segments of crowded anchors, dealt by the windows' own hashes.
+def crowded_repeats(windows: DataFrame) -> DataFrame:
+    """(id, version, low, high): repeated windows of crowded anchors, dealt by the windows' own hashes.
 
     This is the exact way beyond CROWDED: equal windows are combined before the shuffle, and no task has more of an anchor
     than its share.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, SLICE_BYTES):
-            for i, v, text, segments in zip(*(batch.column(c).to_pylist() for c in ("id", "version", "text", "segments"))):
-                at = np.concatenate([np.arange(s["low"], s["high"] + 1) for s in segments])
-                digest = b"".join(xxhash.xxh3_128_digest(text[a : a + LENGTH]) for a in at.tolist())
-                a, b = np.frombuffer(digest, dtype="<i8").reshape(-1, 2).T
-                cols = [pa.array(np.ascontiguousarray(x)) for x in (a, b, np.full(len(at), i), np.full(len(at), v), at)]
-                yield pa.RecordBatch.from_arrays(cols, ["a", "b", "id", "version", "low"])
-
-    windows = materialize(with_segments(docs, wanted).mapInArrow(run, "a long, b long, id long, version long, low long"), "crowded-windows")
-    first = windows.groupBy("a", "b").agg(F.min(F.struct("id", "version", "low")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = windows.join(first.hint("merge"), ["a", "b"]).filter(F.struct("id", "version", "low") > F.col("first"))
+    place = F.struct("id", "version", "low")
+    first = windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    later = windows.join(first.hint("merge"), ["a", "b"]).filter(place > F.col("first"))
     return later.select("id", "version", "low", (F.col("low") + LENGTH).alias("high"))
 
 
@@ -420,10 +421,13 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
     buckets = max(shuffle_partitions(docs.sparkSession), -(-int(total) // PARTITION_BYTES))
     parts = materialize(settle(anchors(docs, buckets), buckets), "anchored")
     keys = ["id", "version", "low", "high"]
-    merged = merge_buckets(shard_transforms(docs, parts.filter("kind = 2").select(*keys, "anchor"), buckets), buckets)
-    found = parts.filter("kind = 1").select(*keys).unionByName(merged)
-    crowded = parts.filter("kind = 3").select(*keys, "anchor")
-    return found if crowded.isEmpty() else found.unionByName(crowded_windows(docs, crowded))
+    found = parts.filter("kind = 1").select(*keys)
+    pieces = pieces_of(docs, parts.filter("kind > 1").select(*keys, "anchor", "kind"), buckets)
+    if parts.filter("kind = 3").isEmpty():
+        return found.unionByName(merge_buckets(pieces.select("bucket", "data"), buckets))
+    pieces = materialize(pieces, "segment-pieces")
+    merged = merge_buckets(pieces.filter("bucket is not null").select("bucket", "data"), buckets)
+    return found.unionByName(merged).unionByName(crowded_repeats(pieces.filter("bucket is null").drop("bucket", "data")))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
