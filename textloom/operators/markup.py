@@ -129,6 +129,55 @@ def numbered_notes(parsed: DataFrame, key: str = "source_id") -> DataFrame:
     return notes.join(text, (F.col(key) == F.col("k")) & (F.col("node_id") == F.col("parent_id")), "left").groupBy(key, "number").agg(body.alias("text"))
 
 
+VOICE = re.compile(r"(?P<plain>\\\[)|\[voice:(?P<voice>[a-z0-9-]+)\|(?P<emotion>[a-z-]+)\]|(?P<bad>\[voice:)|(?P<close>\[-\])|(?P<open>\[(?:zpsc|zp|mp|sc|fu|wz|T)\])")
+
+
+def voice_spans(source: str | None) -> list[tuple]:
+    """(offset, voice, emotion, text, problem) of a text in which [voice:id|emotion] ... [-] says who speaks.
+
+    Text outside has no voice. Other marks inside a voice keep their own closing marks. Voices do not nest; a text that
+    breaks a rule gives one row with the problem.
+    """
+    text, out, voice, depth, start = source or "", [], (None, None), 0, 0
+    for m in VOICE.finditer(text):
+        kind, inside = m.lastgroup, voice[0] is not None
+        if kind == "bad" or (kind == "emotion" and inside):
+            return [(m.start(), None, None, None, "bad voice mark" if kind == "bad" else "voice inside a voice")]
+        if kind == "open" and inside:
+            if m.group() == "[T]":
+                return [(m.start(), None, None, None, "title inside a voice")]
+            depth += 1
+        elif kind == "close" and inside and depth:
+            depth -= 1
+        elif kind == "emotion" or (kind == "close" and inside):
+            out.append((start, *voice, text[start : m.start()], None))
+            voice, start = ((m["voice"], m["emotion"]) if kind == "emotion" else (None, None)), m.end()
+    if voice[0] is not None:
+        return [(start, None, None, None, "voice not closed")]
+    return [s for s in [*out, (start, *voice, text[start:], None)] if s[3]]
+
+
+def voice_table(docs: DataFrame, key: str = "source_id", text: str = "body") -> DataFrame:
+    """One row a voice span of each text; see voice_spans. Null and empty texts have none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame([(k, *s) for k, t in zip(f["key"], f["text"]) for s in voice_spans(t)], columns=["key", "offset", "voice", "emotion", "text", "problem"], dtype=object)
+
+    kind = docs.schema[key].dataType.simpleString()
+    spans = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, offset int, voice string, emotion string, text string, problem string")
+    return spans.withColumnRenamed("key", key)
+
+
+def voice_runs(spans: DataFrame, key: str = "source_id") -> DataFrame:
+    """(key, run, voice, emotion, characters): neighbouring spans of the same voice and emotion as one; rows with a problem are left out."""
+    w = Window.partitionBy(key).orderBy("offset")
+    own = F.struct("voice", "emotion")
+    new = ~own.eqNullSafe(F.lag(own).over(w)) | (F.row_number().over(w) == 1)
+    marked = spans.filter("problem is null").withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(w))
+    return marked.groupBy(key, "run", "voice", "emotion").agg(F.sum(F.length("text")).alias("characters"))
+
+
 def escape_html(text: Column) -> Column:
     """&, <, >, \" and ' as entities."""
     for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):

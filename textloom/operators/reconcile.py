@@ -68,6 +68,26 @@ def unique_matches(rows: DataFrame, previous: DataFrame, on: list[str], key: str
     return a.join(b, on).select(key, "old_key")
 
 
+def align(rows: DataFrame, previous: DataFrame, key: str) -> DataFrame:
+    """(key, old_key, how, ratio) of rows (key, kind, text, text_hash, context_hash) against the last version's.
+
+    'exact' where kind, text and context are unique on both sides, then 'moved' where kind and text are, then 'changed' by
+    the best close text of the same kind, if no other comes near and no other row wants it; the rest is 'paused' for a person.
+    Each step sees only what the steps before left.
+    """
+    found, left, free = [], rows.select(key, "kind", "text", "text_hash", "context_hash"), previous.select(key, "kind", "text", "text_hash", "context_hash")
+    for how, on in (("exact", ["kind", "text_hash", "context_hash"]), ("moved", ["kind", "text_hash"])):
+        met = unique_matches(left, free, on, key).select(key, "old_key", F.lit(how).alias("how"), F.lit(0.0).alias("ratio"))
+        found.append(met)
+        left = left.join(met.select(key), key, "left_anti")
+        free = free.join(met.select(F.col("old_key").alias(key)), key, "left_anti")
+    close = best_matches(fuzzy_pairs(left, free, "kind", key, "text"), key)
+    alone = close.withColumn("wanted", F.count("*").over(Window.partitionBy("old_key"))).filter("wanted = 1")
+    found.append(alone.select(key, "old_key", F.lit("changed").alias("how"), "ratio"))
+    met = found[0].unionByName(found[1]).unionByName(found[2])
+    return rows.select(key).join(met, key, "left").select(key, "old_key", F.coalesce("how", F.lit("paused")).alias("how"), "ratio")
+
+
 def longest_common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Index pairs of a longest common subsequence."""
     import numpy as np

@@ -1,6 +1,6 @@
 """Named queries over the driver's tables, composed of the operators."""
 
-from . import features, tables, text
+from . import features, planning, tables, text
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "features", "tables", "text"]
+__all__ = ["ORACLES", "QUERIES", "features", "planning", "tables", "text"]
