@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from textloom.operators import markup, packages, reconcile, speech
+from textloom.operators import markup, packages, reconcile, review, speech
 from textloom.sources import audio
 
 
@@ -196,3 +196,46 @@ def test_voice_spans_and_runs(spark):
     assert [r["problem"] for r in spans.filter("problem is not null").orderBy("source_id").collect()] == ["voice not closed", "voice inside a voice", "bad voice mark", "title inside a voice"]
     assert [(r["voice"], r["text"]) for r in spans.filter("source_id = 'a'").orderBy("offset").collect()] == [(None, r"lead \[voice: "), ("dai", "one[zp]two[-]three"), ("dai", "four"), (None, " end[-]")]
     assert rows(markup.voice_runs(spans)) == [("a", 1, None, None, 14), ("a", 2, "dai", "calm", 22), ("a", 3, None, None, 7)]
+
+
+# ---- repeats, approvals and manifests
+
+
+def test_repeats():
+    assert reconcile.repeated_span("哄人来了", "哄人哄人来了") == "哄人"
+    assert reconcile.repeated_span("好好的", "好好的") is None and reconcile.repeated_span("", "") is None
+    assert reconcile.repeated_span("一二三四五六", "一二三四五六一二三四") == "一二三四"
+    assert reconcile.repeated_span("ab-cd", "ab-cd-ab") is None
+    assert reconcile.repeated_span("abcdabcd", "abcdabcd") is None
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab", max_size=12), st.text(alphabet="ab", max_size=14))
+def test_repeats_brute(expected, heard):
+    def wanted():
+        for size in range(min(20, len(heard) // 2), 1, -1):
+            for i in range(len(heard) - size + 1):
+                span, own = heard[i : i + size], expected[i : i + 2 * size]
+                later = [j for j in range(i + size, len(heard)) if heard[j : j + size] == span]
+                if (i + size in later if size < 4 else later) and not (len(own) == 2 * size and own[:size] == own[size:]) and heard.count(span) > expected.count(span):
+                    return span
+
+    assert reconcile.repeated_span(expected, heard) == wanted()
+
+
+def test_voices_and_overrides(spark):
+    configs = spark.createDataFrame([("a", 1, "h"), ("b", 2, "h"), ("c", 3, "bad"), ("d", 4, None), ("e", None, "h")], "speaker string, approval_id int, file_hash string")
+    decisions = spark.createDataFrame([(1, "approved", "h"), (2, "open", "h"), (3, "approved", "bad"), (4, "approved", "h")], "approval_id int, decision string, file_hash string")
+    denied = spark.createDataFrame([("bad",), ("bad",), (None,)], "file_hash string")
+    assert [(r["speaker"], r["problem"]) for r in review.verified(configs, decisions, denied).orderBy("speaker").collect()] == [("a", None), ("b", "not approved"), ("c", "denied"), ("d", "changed"), ("e", "not approved")]
+    df = spark.createDataFrame([(1, "x"), (2, "x"), (3, None)], "k int, v string")
+    o = spark.createDataFrame([(1, "x", "y"), (2, "z", "y")], "k int, expected string, replacement string")
+    assert rows(review.overridden(df, o, "k", "v")) == [(1, "y", None), (2, "x", "not the expected value"), (3, None, None)]
+    assert rows(review.availability(df, spark.createDataFrame([("x",), ("x",)], "v string"), "v")) == [(1, "x", "available"), (2, "x", "available"), (3, None, "missing")]
+
+
+def test_manifests(spark):
+    old = {"version": 1, "chapters": {"081": {"buildHash": "b", "fileHash": "f", "bytes": 3, "durationSeconds": 1.5}}}
+    new = {"version": 2, "chapters": {"082": {"defaultVariant": "m", "variants": {"m": {"url": "u", "trackHash": "t", "fileHash": "g", "bytes": 4, "durationSeconds": 2}}}}}
+    df = spark.createDataFrame([(json.dumps(old),), (json.dumps(new),), ("{",), ('{"version": 3, "chapters": {}}',), (None,)], "j string")
+    assert rows(review.manifest_tracks(df, "j")) == [("081", "female", "/audio/081.mp3", "b", "f", 3, 1.5), ("082", "m", "u", "t", "g", 4, 2.0)]

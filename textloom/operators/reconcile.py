@@ -198,3 +198,30 @@ def similar_opcodes(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     from pyspark.sql import types as T
 
     return pairs.mapInPandas(run, T.StructType([*pairs.schema, T.StructField("ratio", T.DoubleType()), T.StructField("changes", T.ArrayType(T.StringType()))]))
+
+
+def repeated_span(expected: str, heard: str, longest: int = 20) -> str | None:
+    """The longest, then first, span that was said twice although its text does not repeat it.
+
+    Spans of two or three characters must follow themselves; longer ones may come back anywhere later. A span counts if
+    it occurs more often than in the text and the text does not double at that place. Last places are looked up, so the
+    work grows with the length.
+    """
+    for size in range(min(longest, len(heard) // 2), 1, -1):
+        last = {heard[i : i + size]: i for i in range(len(heard) - size + 1)}
+        for at in range(len(heard) - size + 1):
+            span = heard[at : at + size]
+            again = heard.startswith(span, at + size) if size <= 3 else last[span] >= at + size
+            if again and expected[at : at + 2 * size] != 2 * expected[at : at + size].ljust(size, "\0") and heard.count(span) > expected.count(span):
+                return span
+    return None
+
+
+def repeated_spans(pairs: DataFrame, key: str, expected: str, heard: str) -> DataFrame:
+    """(key, span) of transcripts that say something twice; null texts count as empty."""
+
+    @F.pandas_udf("string")
+    def find(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([repeated_span(x or "", y or "") for x, y in zip(a, b)], dtype=object)
+
+    return pairs.select(key, find(expected, heard).alias("span"))

@@ -100,3 +100,55 @@ def violations(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """rows with `violations`: names of the checks that do not hold (null counts as not)."""
     found = F.array(*(F.when(~F.coalesce(check, F.lit(False)), F.lit(name)) for name, check in checks.items()))
     return rows.withColumn("violations", F.filter(found, lambda x: x.isNotNull()))
+
+
+def verified(configs: DataFrame, decisions: DataFrame, denied: DataFrame) -> DataFrame:
+    """(speaker, approval_id, file_hash, problem) of voices (speaker, approval_id, file_hash) against what was approved.
+
+    decisions (approval_id, decision, file_hash), ids not repeated; denied (file_hash). A voice without an approval is
+    'not approved', one on the list is 'denied', one whose file is another than the approved is 'changed'.
+    """
+    approved = decisions.filter("decision = 'approved'").select("approval_id", F.col("file_hash").alias("_approved"))
+    listed = denied.select("file_hash").distinct().withColumn("_denied", F.lit(True))
+    rows = configs.select("speaker", "approval_id", "file_hash").join(approved, "approval_id", "left").join(listed, "file_hash", "left")
+    problem = F.when(F.col("_approved").isNull(), "not approved").when(F.col("_denied"), "denied").when(~F.col("_approved").eqNullSafe(F.col("file_hash")), "changed")
+    return rows.select("speaker", "approval_id", "file_hash", problem.alias("problem"))
+
+
+def availability(rows: DataFrame, offered: DataFrame, on: str) -> DataFrame:
+    """rows with `status`: 'available' where the offer has their value, else 'missing'; null is never offered."""
+    known = offered.select(on).distinct().withColumn("_has", F.lit(True))
+    return rows.join(known, on, "left").select(*rows.columns, F.when(F.col("_has"), "available").otherwise("missing").alias("status"))
+
+
+def overridden(rows: DataFrame, overrides: DataFrame, key: str, value: str) -> DataFrame:
+    """rows with what overrides (key, expected, replacement) put in place of `value`, and `problem` where the value is not the expected one.
+
+    Rows without an override keep their value; overrides have one row a key.
+    """
+    o = overrides.select(key, F.col("expected").alias("_expected"), F.col("replacement").alias("_new"), F.lit(True).alias("_is"))
+    fits = F.col("_expected").eqNullSafe(F.col(value))
+    kept = [c for c in rows.columns if c != value]
+    return rows.join(o, key, "left").select(*kept, F.when(F.col("_is") & fits, F.col("_new")).otherwise(F.col(value)).alias(value), F.when(F.col("_is") & ~fits, "not the expected value").alias("problem"))
+
+
+#: Fixed names of the two versions of a manifest of published tracks.
+TRACK_V1 = "struct<path:string,buildHash:string,fileHash:string,bytes:long,durationSeconds:double>"
+TRACK_V2 = "struct<defaultVariant:string,variants:map<string,struct<url:string,trackHash:string,fileHash:string,bytes:long,durationSeconds:double>>>"
+
+
+def manifest_tracks(manifests: DataFrame, text: str) -> DataFrame:
+    """(chapter, variant, url, track_hash, file_hash, bytes, seconds) of manifests in JSON, in either version.
+
+    An entry of version 1 is the only variant, 'female', and has a url by its chapter if it has none. Other versions
+    and broken JSON give no rows.
+    """
+    version = F.get_json_object(text, "$.version").try_cast("int")
+    first = F.from_json(F.when(version == 1, F.get_json_object(text, "$.chapters")), f"map<string,{TRACK_V1}>")
+    second = F.from_json(F.when(version == 2, F.get_json_object(text, "$.chapters")), f"map<string,{TRACK_V2}>")
+    old = manifests.select(F.explode(first).alias("chapter", "t")).select(
+        "chapter", F.lit("female").alias("variant"), F.coalesce("t.path", F.concat(F.lit("/audio/"), "chapter", F.lit(".mp3"))).alias("url"), "t.buildHash", "t.fileHash", "t.bytes", "t.durationSeconds"
+    )
+    new = manifests.select(F.explode(second).alias("chapter", "c")).select("chapter", F.explode("c.variants").alias("variant", "t"))
+    new = new.select("chapter", "variant", "t.url", "t.trackHash", "t.fileHash", "t.bytes", "t.durationSeconds")
+    return old.union(new).toDF("chapter", "variant", "url", "track_hash", "file_hash", "bytes", "seconds")

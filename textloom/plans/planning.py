@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import packages, reconcile, speech
+from ..operators import packages, reconcile, review, speech
 from ..session import read
 from .registry import query
 
@@ -255,3 +255,39 @@ def carried_over(spark: SparkSession, folder: str) -> DataFrame:
 def range_labels(spark: SparkSession, folder: str) -> DataFrame:
     size = F.col("p_size")
     return read(spark, folder, "part").select("p_partkey", speech.range_label(size, [("small", 1, 10), ("middle", 11, 40)]).alias("label"), F.lpad(size.cast("string"), 3, "0").alias("padded"))
+
+
+@query("""
+SELECT o_orderkey AS speaker, CASE WHEN o_orderstatus <> 'F' THEN 'not approved' WHEN o_orderpriority IN (SELECT max(o_orderpriority) FROM orders) THEN 'denied' WHEN o_totalprice > 1e5 THEN 'changed' END AS problem FROM orders""")
+def verified_voices(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as voices whose file is their priority: approved if finished, denied if of the last priority, changed if dear."""
+    orders = read(spark, folder, "orders")
+    configs = orders.select(F.col("o_orderkey").alias("speaker"), F.col("o_orderkey").alias("approval_id"), F.col("o_orderpriority").alias("file_hash"))
+    decisions = orders.select(
+        F.col("o_orderkey").alias("approval_id"), F.when(F.col("o_orderstatus") == "F", "approved").otherwise("open").alias("decision"),
+        F.when(F.col("o_totalprice") > 1e5, "other").otherwise(F.col("o_orderpriority")).alias("file_hash"),
+    )
+    denied = orders.agg(F.max("o_orderpriority").alias("file_hash"))
+    return review.verified(configs, decisions, denied).select("speaker", "problem")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') THEN 'available' ELSE 'missing' END AS status FROM part")
+def part_availability(spark: SparkSession, folder: str) -> DataFrame:
+    offered = read(spark, folder, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    return review.availability(read(spark, folder, "part").select("p_partkey"), offered, "p_partkey")
+
+
+@query("""
+SELECT s_suppkey, CASE WHEN n_regionkey = 1 AND s_nationkey > 5 THEN 'moved' ELSE s_name END AS s_name, CASE WHEN n_regionkey = 1 AND s_nationkey <= 5 THEN 'not the expected value' END AS problem
+FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def overridden_names(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read(spark, folder, "supplier").join(read(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    overrides = rows.filter("n_regionkey = 1").select("s_suppkey", F.when(F.col("s_nationkey") > 5, F.col("s_name")).otherwise("else").alias("expected"), F.lit("moved").alias("replacement"))
+    return review.overridden(rows.select("s_suppkey", "s_name"), overrides, "s_suppkey", "s_name").select("s_suppkey", "s_name", "problem")
+
+
+@query()
+def repeated_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns whose transcript says the third to sixth characters twice."""
+    turns = read(spark, folder, "conversations").select(F.concat_ws(":", "conv_id", "turn", "role").alias("id"), "text", F.regexp_replace("text", r"^(..)(....)", "$1$2$2").alias("heard"))
+    return reconcile.repeated_spans(turns, "id", "text", "heard")
