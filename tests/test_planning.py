@@ -239,3 +239,15 @@ def test_manifests(spark):
     new = {"version": 2, "chapters": {"082": {"defaultVariant": "m", "variants": {"m": {"url": "u", "trackHash": "t", "fileHash": "g", "bytes": 4, "durationSeconds": 2}}}}}
     df = spark.createDataFrame([(json.dumps(old),), (json.dumps(new),), ("{",), ('{"version": 3, "chapters": {}}',), (None,)], "j string")
     assert rows(review.manifest_tracks(df, "j")) == [("081", "female", "/audio/081.mp3", "b", "f", 3, 1.5), ("082", "m", "u", "t", "g", 4, 2.0)]
+
+
+def test_rendering(spark):
+    body = "[T]回目\n正文<甲>[zp]批[mp]内[-][-]乙。[wz]注一[-]行\\\n尾[img:a.png][wz]注二[-][sc]诗[-]"
+    df = spark.createDataFrame([("a", body), ("b", "x[zp]y"), ("c", "plain & 'simple'"), ("d", None)], "source_id string, body string")
+    got = dict(rows(markup.rendered(markup.nodes(df))))
+    assert got == {
+        "a": '<h1>回目</h1>\n正文&lt;甲&gt;<span class="zp">批<span class="mp">内</span></span>乙。<aside data-note="1">注一</aside>行<br>尾'
+        '<img src="/images/a.png"><aside data-note="2">注二</aside><span class="sc">诗</span>',
+        "b": None,
+        "c": "plain &amp; &#39;simple&#39;",
+    }

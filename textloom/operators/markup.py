@@ -185,6 +185,33 @@ def escape_html(text: Column) -> Column:
     return text
 
 
+def rendered(parsed: DataFrame, key: str = "source_id", images: str = "/images/") -> DataFrame:
+    """(key, html) of each parsed text: marks as spans of their kind, titles as headings, notes with their number.
+
+    Texts are escaped, hard breaks and images become their tags. What a node closes is the difference of its depth and
+    the depth left open by the node before it, so one window over a document's nodes finds all closing tags. Documents with an
+    error node have null html.
+    """
+    w = Window.partitionBy(key).orderBy("node_id")
+    kind, is_mark = F.col("kind"), F.col("type") == "mark"
+    tag = F.when(kind == "T", "h1").when(kind == "wz", "aside").otherwise("span")
+    number = F.sum(F.when(is_mark & (kind == "wz"), 1).otherwise(0)).over(w)
+    opened = F.when(kind == "T", "<h1>").when(kind == "wz", F.format_string('<aside data-note="%d">', number)).otherwise(F.concat(F.lit('<span class="'), kind, F.lit('">')))
+    own = (
+        F.when(is_mark, opened).when(F.col("type") == "text", escape_html(F.col("value"))).when(F.col("type") == "hard-break", "<br>")
+        .when(F.col("type") == "image", F.concat(F.lit(f'<img src="{images}'), escape_html(F.col("value")), F.lit('">')))
+    )
+    # tags open after each node, outermost first: those of its path, and its own
+    path = F.transform("path", lambda k: F.when(k == "T", "h1").when(k == "wz", "aside").otherwise("span"))
+    left_open = F.when(is_mark, F.concat(path, F.array(tag))).otherwise(path)
+    rows = parsed.withColumns({"_own": F.coalesce(own, F.lit("")), "_open": left_open, "_next": F.coalesce(F.lead("depth").over(w), F.lit(0))})
+    closing = F.slice("_open", F.col("_next") + 1, F.greatest(F.size("_open") - F.col("_next"), F.lit(0)))
+    ends = F.array_join(F.transform(F.reverse(closing), lambda t: F.concat(F.lit("</"), t, F.lit(">"))), "")
+    parts = rows.select(key, "type", "node_id", F.concat("_own", ends).alias("html"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "html"))), lambda n: n["html"]), "")
+    return parts.groupBy(key).agg(F.when(~F.bool_or(F.col("type") == "error"), joined).alias("html"))
+
+
 @F.pandas_udf(T.StringType())
 def unescape_html(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else html.unescape(t))
