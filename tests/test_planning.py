@@ -114,10 +114,12 @@ def test_alignment(spark):
 
     old = version([("o1", "n", "the first line of all"), ("o2", "n", "another longer line here"), ("o3", "d", "said once"), ("o4", "n", "same"), ("o5", "n", "same")])
     new = version([("n1", "n", "the first line of all"), ("n2", "n", "another longer line there"), ("n3", "d", "said once"), ("n4", "n", "wholly new words, nothing alike"), ("n5", "n", "same")])
-    got = {r["id"]: (r["old_id"] if "old_id" in r.asDict() else r["old_key"], r["how"]) for r in reconcile.align(new, old, "id").collect()}
+    got = {r["id"]: (r["old_id"] if "old_id" in r.asDict() else r["old_key"], r["how"]) for r in reconcile.align(new, old, "c", "id").collect()}
     assert got["n1"] == ("o1", "moved") and got["n2"] == ("o2", "changed") and got["n3"] == ("o3", "moved") and got["n4"] == (None, "paused")
-    empty = reconcile.align(new.limit(0), old, "id")
+    empty = reconcile.align(new.limit(0), old, "c", "id")
     assert empty.count() == 0
+    elsewhere = reconcile.align(new.withColumn("c", F.lit("other")), old, "c", "id")
+    assert {r["how"] for r in elsewhere.collect()} == {"paused"}
 
 
 def test_reuse_and_sequences(spark):

@@ -68,14 +68,16 @@ def unique_matches(rows: DataFrame, previous: DataFrame, on: list[str], key: str
     return a.join(b, on).select(key, "old_key")
 
 
-def align(rows: DataFrame, previous: DataFrame, key: str) -> DataFrame:
-    """(key, old_key, how, ratio) of rows (key, kind, text, text_hash, context_hash) against the last version's.
+def align(rows: DataFrame, previous: DataFrame, by: str, key: str) -> DataFrame:
+    """(key, old_key, how, ratio) of rows (by, key, kind, text, text_hash, context_hash) against the last version of their document `by`.
 
     'exact' where kind, text and context are unique on both sides, then 'moved' where kind and text are, then 'changed' by
     the best close text of the same kind, if no other comes near and no other row wants it; the rest is 'paused' for a person.
-    Each step sees only what the steps before left.
+    Each step sees only what the steps before left, and edit distances are of the changed blocks of one document alone.
     """
-    found, left, free = [], rows.select(key, "kind", "text", "text_hash", "context_hash"), previous.select(key, "kind", "text", "text_hash", "context_hash")
+    place = F.to_json(F.struct(by, "kind")).alias("kind")
+    found = []
+    left, free = (d.select(key, place, "text", "text_hash", "context_hash") for d in (rows, previous))
     for how, on in (("exact", ["kind", "text_hash", "context_hash"]), ("moved", ["kind", "text_hash"])):
         met = unique_matches(left, free, on, key).select(key, "old_key", F.lit(how).alias("how"), F.lit(0.0).alias("ratio"))
         found.append(met)

@@ -163,7 +163,7 @@ def scene_alignment(spark: SparkSession, folder: str) -> DataFrame:
     """The conversations' turns against a version of them in which every fifth one was edited and system turns are missing."""
     turns = read(spark, folder, "conversations").select("conv_id", "turn", F.concat_ws(":", "conv_id", "turn", "role").alias("id"), F.col("role").alias("kind"), "text")
     old = turns.filter("kind <> 'system'").withColumn("text", F.when(F.col("turn") % 5 == 4, F.concat(F.lit("Well, "), F.col("text"))).otherwise(F.col("text")))
-    return reconcile.align(*(reconcile.context_hashes(t, ["conv_id"], ["turn", "kind", "text"], "kind", "text") for t in (turns, old)), "id")
+    return reconcile.align(*(reconcile.context_hashes(t, ["conv_id"], ["turn", "kind", "text"], "kind", "text") for t in (turns, old)), "conv_id", "id")
 
 
 @query("""
