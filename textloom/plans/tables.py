@@ -170,6 +170,24 @@ def fuzzy_margin(spark: SparkSession, folder: str) -> DataFrame:
     return reconcile.best_matches(reconcile.fuzzy_pairs(*_openings(spark, folder), "kind", "item_id", "t", 0.8), "item_id", 0.01)
 
 
+def _items(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    rows = read(spark, folder, "benchmark").select("item_id", F.col("text").alias("t"), F.lit("item").alias("kind"))
+    return rows.filter(NEW), rows.filter(OLD)
+
+
+@query()
+def edit_ratio_pairs_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole texts with all their characters; DuckDB's edit distance counts bytes, so there is no SQL."""
+    pairs = reconcile.fuzzy_pairs(*_items(spark, folder), "kind", "item_id", "t", 0.8)
+    return pairs.withColumn("ratio", F.round("ratio", 6))
+
+
+@query()
+def fuzzy_margin_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """fuzzy_margin of whole texts."""
+    return reconcile.best_matches(reconcile.fuzzy_pairs(*_items(spark, folder), "kind", "item_id", "t", 0.8), "item_id", 0.01)
+
+
 # ---- events as a log
 
 KINDS = ["click", "view", "purchase", "signup", "error"]
