@@ -37,3 +37,22 @@ def test_edit_ratio_of_whole_texts(spark, tmp_path):
         if near and (len(near) == 1 or near[1][0] - near[0][0] >= 0.01):
             best[i] = near[0][1]
     assert {r["item_id"]: r["old_key"] for r in plans.QUERIES["fuzzy_margin_whole"](spark, at).collect()} == best
+
+
+def test_collation_of_whole_texts_of_all_turns(spark, tmp_path):
+    opening = "one opening of more than sixty characters that all of the turns have in common "
+    turns = [(c, t, RNG.choice(["user", "assistant"]), opening * RNG.randrange(2) + "".join(RNG.choice(TAIL) for _ in range(RNG.randrange(6)))) for c in range(5) for t in range(12)] + [(9, 0, "user", "a"), (9, 8, "user", "b"), (9, 9, "user", None)]
+    at = folder(spark, tmp_path, conversations=(turns, "conv_id long, turn long, role string, text string"))
+
+    def dice(s, t):
+        a, b = (Counter(x[i : i + 2] for i in range(len(x) - 1)) for x in (s, t))
+        n = sum(a.values()) + sum(b.values())
+        return 2 * sum((a & b).values()) / n if n else 0.0
+
+    want = {}
+    for c, role in {(c, r) for c, _, r, _ in turns}:
+        texts = sorted({x for k, _, r, x in turns if (k, r) == (c, role) and x is not None})
+        most = max((dice(s, t) for s in texts for t in texts if s < t), default=0.0)
+        want[c, role] = (len(texts), pytest.approx(most, abs=1e-6), "single" if len(texts) == 1 else "variants" if most >= 0.5 else "mixed")
+    got = {(r["conv_id"], r["role"]): (r["variants"], r["most_alike"], r["status"]) for r in plans.QUERIES["locus_similarity_whole"](spark, at).collect()}
+    assert got == want

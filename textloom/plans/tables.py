@@ -140,6 +140,12 @@ def locus_similarity(spark: SparkSession, folder: str) -> DataFrame:
     return annotate.collate(rows, ["conv_id", "role"], "t")
 
 
+@query()
+def locus_similarity_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole texts of all turns of each role in a conversation, collated."""
+    return annotate.collate_shared(read(spark, folder, "conversations").select("conv_id", "role", F.col("text").alias("t")), ["conv_id", "role"], "t")
+
+
 # ---- benchmark items as blocks of two versions
 
 OPENING = 80
