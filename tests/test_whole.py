@@ -56,3 +56,34 @@ def test_collation_of_whole_texts_of_all_turns(spark, tmp_path):
         want[c, role] = (len(texts), pytest.approx(most, abs=1e-6), "single" if len(texts) == 1 else "variants" if most >= 0.5 else "mixed")
     got = {(r["conv_id"], r["role"]): (r["variants"], r["most_alike"], r["status"]) for r in plans.QUERIES["locus_similarity_whole"](spark, at).collect()}
     assert got == want
+
+
+def test_mixture_of_models_of_all_labelled_documents(spark, tmp_path):
+    docs = [(i, "".join(RNG.choice("abcde" if i % 2 else "cdefg") for _ in range(40))) for i in range(30)]
+    at = folder(spark, tmp_path, documents=(docs, "doc_id long, text string"), labels=([(i, i % 2, 0) for i in range(24)], "doc_id long, quality int, toxic int"))
+
+    def model(texts):
+        n = Counter(t[i : i + k] for t in texts for k in (1, 2, 3) for i in range(len(t) - k + 1))
+        x = Counter()
+        for g, c in n.items():
+            if len(g) > 1:
+                x[g[:-1]] += c
+        letters = {g for g in n if len(g) == 1}
+        total = sum(n[g] for g in letters)
+
+        def bits(t):
+            t, out = "".join(c if c in letters else "" for c in t), 0.0
+            for i in range(len(t)):
+                p = (n[t[i]] + 1) / (total + len(letters) + 1)
+                for k in (2, 3):
+                    s = t[i - k + 1 : i + 1] if i >= k - 1 else None
+                    if s and s[:-1] in x:
+                        p = (n[s] + p) / (x[s[:-1]] + 1)
+                out -= math.log2(p)
+            return out / len(t)
+
+        return bits
+
+    good, bad = (model([t for i, t in docs if i < 24 and i % 2 == q]) for q in (1, 0))
+    want = {i: (pytest.approx(-math.log2((2 ** -good(t) + 2 ** -bad(t)) / 2), abs=2e-5), "good" if good(t) <= bad(t) else "bad") for i, t in docs}
+    assert {r["doc_id"]: (r["mixture"], r["best"]) for r in plans.QUERIES["lm_mixture_documents"](spark, at).collect()} == want

@@ -172,6 +172,16 @@ def lm_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return good.join(bad, "item_id").select("item_id", F.round(ngrams.mixture_bits([F.col("a"), F.col("b")]), 5).alias("mixture"), F.when(F.col("a") <= F.col("b"), "good").otherwise("bad").alias("best"))
 
 
+@query()
+def lm_mixture_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document under a model of all good and one of all bad labelled documents, their mixture and the better one."""
+    docs = read(spark, folder, "documents")
+    known = docs.join(read(spark, folder, "labels"), "doc_id")
+    good = ngrams.score_bits(docs, ngrams.fit_counts(known.filter("quality = 1"), 3), "doc_id", 3).withColumnRenamed("bpc", "a")
+    bad = ngrams.score_bits(docs, ngrams.fit_counts(known.filter("quality = 0"), 3), "doc_id", 3).withColumnRenamed("bpc", "b")
+    return good.join(bad, "doc_id").select("doc_id", F.round(ngrams.mixture_bits([F.col("a"), F.col("b")]), 5).alias("mixture"), F.when(F.col("a") <= F.col("b"), "good").otherwise("bad").alias("best"))
+
+
 COPY_SQL = f"""
 WITH d AS (SELECT doc_id, {LETTERS_SQL} AS t FROM documents), b AS (SELECT item_id, {LETTERS_SQL} AS t FROM benchmark),
 dg AS (SELECT doc_id, unnest(list_transform(range(1, length(t) - 10), lambda i: substring(t, i, 12))) AS g, unnest(range(1, length(t) - 10)) AS i FROM d WHERE length(t) >= 12),
