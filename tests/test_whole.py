@@ -87,3 +87,16 @@ def test_mixture_of_models_of_all_labelled_documents(spark, tmp_path):
     good, bad = (model([t for i, t in docs if i < 24 and i % 2 == q]) for q in (1, 0))
     want = {i: (pytest.approx(-math.log2((2 ** -good(t) + 2 ** -bad(t)) / 2), abs=2e-5), "good" if good(t) <= bad(t) else "bad") for i, t in docs}
     assert {r["doc_id"]: (r["mixture"], r["best"]) for r in plans.QUERIES["lm_mixture_documents"](spark, at).collect()} == want
+
+
+def test_nearest_of_all_vectors(spark, tmp_path):
+    v = np.random.default_rng(1).normal(size=(90, 6)).astype(np.float32)
+    at = folder(spark, tmp_path, embeddings=([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int"))
+    got = {(r["vec_id"], r["rank"]): r["other"] for r in plans.QUERIES["nearest_all_top3"](spark, at).collect()}
+    x = v.astype(float)
+    want = {}
+    for q in range(0, 90, 20):
+        order = sorted((round(float(np.sqrt(((x[q] - x[j]) ** 2).sum())), 9), j) for j in range(90) if j != q)
+        want |= {(q, r + 1): j for r, (_, j) in enumerate(order[:3])}
+    assert got == want
+    assert any(j % 20 for j in got.values())

@@ -141,6 +141,47 @@ def nearest(rows: DataFrame, references: DataFrame, key: str, ref_key: str, vect
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def nearest_all(queries: DataFrame, rows: DataFrame, key: str, other: str, vector: str, k: int, block: int = 4096) -> DataFrame:
+    """The k rows closest to each query, of all rows but itself, smaller id first among equals.
+
+    Queries are sent to the executors in blocks; each partition of rows keeps k candidates a query, and the best of all partitions stay.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    schema = f"{key} {kind}, {other} {kind}, distance double"
+    asked = queries.filter(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("x"))
+    blocks = max(1, -(-asked.count() // block))
+    found = None
+    for b in range(blocks):
+        own = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toPandas()
+        if not len(own):
+            continue
+        shared = rows.sparkSession.sparkContext.broadcast((own["id"].to_numpy(), np.stack(own["x"].to_numpy())))
+
+        def search(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, x = shared.value
+            best = None
+            for f in frames:
+                for at in range(0, len(f), 512):
+                    part = f.iloc[at : at + 512]
+                    y, names = np.stack(part["y"].to_numpy()), part["id"].to_numpy()
+                    for q in range(0, len(ids), 64):
+                        d = np.sqrt(((x[q : q + 64, None] - y[None]) ** 2).sum(-1)).round(9)
+                        i, j = np.nonzero(ids[q : q + 64, None] != names[None])
+                        new = pd.DataFrame({key: ids[q + i], other: names[j], "distance": d[i, j]})
+                        new = new.sort_values([key, "distance", other]).groupby(key).head(k)
+                        best = new if best is None else pd.concat([best, new])
+                    best = best.sort_values([key, "distance", other]).groupby(key).head(k)
+            if best is not None:
+                yield best
+
+        one = rows.filter(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("y")).mapInPandas(search, schema)
+        found = one if found is None else found.unionAll(one)
+    if found is None:
+        return rows.sparkSession.createDataFrame([], schema + ", rank int")
+    w = Window.partitionBy(key).orderBy("distance", other)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def assign(rows: DataFrame, centers: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     """(key, label, distance) of the closest centre; centres are one row a label, a bounded set."""
     pairs = rows.crossJoin(F.broadcast(centers)) if centers.limit(10_001).count() <= 10_000 else None

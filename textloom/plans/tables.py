@@ -36,6 +36,17 @@ def nearest_refs_top3(spark: SparkSession, folder: str) -> DataFrame:
     return stats.nearest(e, refs, "vec_id", "ref_id", "embedding", 3).withColumn("distance", F.round("distance", 6))
 
 
+@query(f"""
+WITH e AS {VEC_SQL}, d AS (
+  SELECT a.vec_id, b.vec_id AS other, round(list_distance(a.v, b.v), 9) AS distance FROM e a, e b WHERE a.vec_id % {EVERY} = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, other) AS rank FROM d)
+SELECT vec_id, other, round(distance, 6) AS distance, rank FROM r WHERE rank <= 3""")
+def nearest_all_top3(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids divisible by EVERY ask, all other vectors answer."""
+    e = read(spark, folder, "embeddings")
+    return stats.nearest_all(e.filter(F.col("vec_id") % EVERY == 0), e, "vec_id", "other", "embedding", 3).withColumn("distance", F.round("distance", 6))
+
+
 @query(f"""
 WITH e AS {VEC_SQL}
 SELECT a.vec_id, b.vec_id AS other, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM e a JOIN e b ON a.label = b.label WHERE b.vec_id % {EVERY} = 0""")
