@@ -304,6 +304,88 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert rows(pii.find_personal_data(spark.createDataFrame([], DOC))) == []
 
 
+def brute_bootstrap(seen):
+    """The graph scores in plain Python; seen: (kind, filler, patterns)."""
+    form = lambda f: "at" if "@" in f else "number" if re.search(r"^[+(]?[0-9][0-9 ().:/-]*$", f) else "mixed"
+    fillers, base = {}, {}
+    for kind, filler, patterns in seen:
+        for p in patterns:
+            fillers.setdefault(p, set()).add(filler)
+        if kind:
+            base[filler] = max(base.get(filler, ""), kind)
+    all_fillers = {f for fs in fillers.values() for f in fs}
+    prior = {(f, k): 1.0 for f, k in base.items()} | {(f, pii.SECRET): pii.PRIOR for f in all_fillers - set(base) if re.search(pii.SECRET_FORM, f)}
+    forms = {(form(f), k) for f, k in prior}
+    scores = dict(prior)
+    for _ in range(pii.ROUNDS):
+        trust = {}
+        for p, fs in fillers.items():
+            for k in (*pii.KINDS, pii.SECRET):
+                known = [scores[f, k] for f in fs if (f, k) in scores]
+                if len(known) >= pii.SUPPORT and sum(known) / (len(fs) + pii.DOUBT) >= pii.PATTERN_SCORE:
+                    trust[p, k] = sum(known) / (len(fs) + pii.DOUBT)
+        scores = dict(prior)
+        for f in all_fillers - set(base):
+            for k in (*pii.KINDS, pii.SECRET):
+                mine = [min(0.999, trust[p, k]) for p, fs in fillers.items() if f in fs and (p, k) in trust]
+                if mine and (form(f), k) in forms:
+                    score = 1 - (1 - prior.get((f, k), 0.0)) * float(np.prod([1 - t for t in mine]))
+                    if score >= pii.INSTANCE_SCORE:
+                        scores[f, k] = score
+    return {(f, k): s for (f, k), s in scores.items() if s >= pii.INSTANCE_SCORE and f not in base}
+
+
+def identifier_texts(seed):
+    rng = random.Random(seed)
+    word = lambda: rng.choice("lorem ipsum dolor sit amet".split())
+    values = {
+        "token": lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([40, 32, 40, 8]))), "mail": lambda: f"u{rng.randrange(99)}@m{rng.randrange(3)}{rng.choice(['.example', ''])}",
+        "host": lambda: ".".join(str(rng.randrange(300)) for _ in range(4)), "part": lambda: f"no-{rng.randrange(50)}",
+    }
+    texts = []
+    for i in range(120):
+        label = rng.choice(sorted(values))
+        lead = rng.choice([f'{label} = "%s"', f"{label}: %s,", f"{word()} {label} %s {word()}"])
+        texts.append((i, f"{word()} {word()} {lead % values[label]()} {word()}. {word()}" + (f" {values['token']()}" if rng.random() < 0.1 else "")))
+    return texts
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_graph_scores_agree_with_brute_force(spark, seed):
+    seen = [(s["kind"], s["filler"], s["patterns"]) for _, t in identifier_texts(seed) for s in pii.found(t)[1]]
+    got = {(r["filler"], r["kind"]): r["score"] for r in pii.bootstrap(spark.createDataFrame(seen, "kind string, filler string, patterns array<string>")).collect()}
+    want = brute_bootstrap(seen)
+    assert got.keys() == want.keys() and len(want) > 5
+    assert all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
+def test_secrets_are_found_by_their_contexts(spark):
+    """Values that no pattern and no seed form tells: the contexts of seeds give them away; lone ones stay."""
+    rng = random.Random(4)
+    key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n - 2)) + "a1"
+    docs = [(i, f'so the token = "{key(40)}" it is') for i in range(20)]
+    docs += [(100, 'so the token = "Pa55-w0rd" it is'), (101, "commit " + key(40) + " of them"), (102, f'A TOKEN = "{key(40).upper()}"!!'), (103, "chapter 7b of it")]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(spark.createDataFrame(docs, DOC)).collect()}
+    assert got[100] == "secret:16:25" and got[101] == "" and got[102] == "secret:11:51" and got[103] == ""
+    assert all(got[i] == "secret:16:56" for i in range(20))
+
+
+def test_planted_secrets_are_found(spark):
+    docs = {r["doc_id"]: r["text"] or "" for r in common.table(spark, MIDDLE, "documents").collect()}
+    want = {(i, m.start(1), m.end(1)) for i, t in docs.items() for m in re.finditer(r'token = "([0-9a-f]{40})"', t, re.I)}
+    spans = [(r["doc_id"], s.split(":")) for r in queries.op5_pii(spark, MIDDLE).collect() for s in r["spans"].split(",") if s.startswith(pii.SECRET)]
+    got = {(i, int(a), int(b)) for i, (_, a, b) in spans}
+    assert want and len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.9 * len(got)
+
+
+def test_whole_words_make_patterns():
+    """Words of any length count whole: equal ones are equal, and others that share a long beginning are not."""
+    a, b = ("x" * 500 + c for c in "ab")
+    of = lambda w: pii.contexts(f"{w} 1.2.3.4 {w}", 501 + 0, 508)
+    assert of(a) == of(a) and not set(of(a)) & set(of(b)) and max(map(len, of(a))) < 120
+    assert pii.contexts("", 0, 0) == ["^ _", "^ ^ _", "^ _ $"]
+
+
 # ---- chats
 
 
