@@ -50,6 +50,27 @@ def test_exact_dedup_random_copies(spark):
     assert ordered(rows(exact_dedup.exact_dedup(spark.createDataFrame(docs, DOC)))) == ordered(brute_exact(docs))
 
 
+def test_exact_dedup_of_a_hot_text_and_a_shared_beginning(spark):
+    """A third of the rows have one text, and another third begin alike for longer than a splitter."""
+    rng = random.Random(2)
+    docs = [(i, "hot text" + " " * rng.randrange(3)) for i in range(300)] + [(i, "x" * 200 + str(rng.randrange(200))) for i in range(300, 600)]
+    docs += [(i, str(i)) for i in range(600, 900)] + [(899, "hot  text  "), (900, "hot  text  ")]
+    frame = spark.createDataFrame(docs, DOC).repartition(6)
+    assert exact_dedup.hot_texts(frame.selectExpr("xxhash64(replace(text, ' ')) AS digest", "octet_length(text) + 64 AS weight"), 4) is not None
+    assert ordered(rows(exact_dedup.exact_dedup(frame))) == ordered(brute_exact(docs))
+
+
+def test_exact_dedup_shuffles_texts_once(spark):
+    frame = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id % 2900) AS text")
+    plan = exact_dedup.exact_dedup(frame)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Exchange rangepartitioning" in plan and "lag(content" in plan
+
+
+def test_exact_dedup_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "ab"), (3, "c")], DOC)
+    assert ordered(rows(exact_dedup.drop_exact_duplicates(docs))) == [(1, "a b"), (1, "a b"), (3, "c")]
+
+
 def test_exact_dedup_empty_and_clashing_columns(spark):
     assert rows(exact_dedup.exact_dedup(spark.createDataFrame([], DOC))) == []
     clash = spark.createDataFrame([(1, "x", "y", 3, 4), (2, "x", "z", 5, 6)], "doc_id long, text string, content string, keep_id int, points int")

@@ -2,58 +2,91 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import materialize, shuffle_partitions
 
-WHITESPACE = r"[\x20\x09-\x0D]+"
+WHITESPACE = " \t\n\x0b\f\r"
 #: Characters of a text in a sampled splitter.
 SPLITTER = 48
+#: A text with over this share of a range's bytes is cut by id into pieces of that share.
+HOT_SHARE = 0.5
 
 
 def normalised(text: str = "text") -> F.Column:
-    return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), WHITESPACE, "")
+    return reduce(lambda c, space: F.replace(c, F.lit(space), F.lit("")), WHITESPACE, F.coalesce(F.col(text), F.lit("")))
+
+
+def hot_texts(keyed: DataFrame, ranges: int) -> DataFrame | None:
+    """(digest, pieces) of texts that would fill much of a range by their copies; at most ranges / HOT_SHARE rows, so that it may be sent to all executors. None if there are none."""
+    total = Observation()
+    weights = keyed.observe(total, F.sum("weight").alias("weight")).groupBy("digest").agg(F.sum("weight").alias("weight"), F.count("*").alias("copies"))
+    most = int(ranges / HOT_SHARE)  # no more can have such a share
+    heaviest = weights.filter(F.col("copies") > 1).orderBy(F.desc("weight")).limit(most).collect()
+    piece = max(1, total.get["weight"] // most) if heaviest else 1
+    found = [(r["digest"], -(-r["weight"] // piece)) for r in heaviest if r["weight"] > piece]
+    return keyed.sparkSession.createDataFrame(found, "digest long, pieces long") if found else None
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of rows whose texts are equal once ASCII white space is deleted.
 
-    Sampled splitters deal the rows into ranges of (beginning of the normalised text, id); within a range an
-    external sort puts equal texts side by side and neighbours are compared in full (a sorted aggregate over the
-    whole text), which leaves one run per text and range. The splitters include the id, so a text that
-    a third of the rows share is cut over several ranges; its few runs are merged afterwards. Splitters hold
-    SPLITTER characters of a text, as the driver samples them; what decides is always the whole text.
+    Sampled splitters deal the rows into ranges of the normalised text (its beginning; a digest tells apart texts that share
+    it). Within a range an external sort by the whole text, then by length and id, puts equal texts side by side, and
+    each row is compared in full with its neighbour: where they differ, a run begins, and its first row stays. A text
+    whose copies would fill much of a range is cut into pieces by id, so its rows lie in several ranges; only
+    the pieces' runs, one row each, are merged afterwards. Texts are shuffled once.
 
     Of equal texts the row with the most code points in the original text stays, then the smallest id.
     Null text counts as empty; empty and blank texts form one class. Rows that repeat an id are rows of
     their own (each counts in group_size, all of them have kept = true if their id stays). A null id
-    stays only if the class has no other id. An empty table gives an empty table. Only id and text are
-    read, so other columns cannot clash.
+    stays only if the class has no other id. An empty table gives an empty table. A very long text is one row of the sort and is
+    compared whole. Only id and text are read, so other columns cannot clash.
 
     Returns id, keep_id, group_size, kept, text_sha256 (of the normalised text).
     """
-    spark = docs.sparkSession
-    rows = docs.select(
-        F.col(id_col).alias("id"),
-        normalised(text_col).alias("content"),
-        F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("points"),
-    )
-    best = F.struct("points", F.coalesce(-F.col("id"), F.lit(-(2**63) + 1)).alias("smallest"), "id")
-    groups = (
-        rows.repartitionByRange(shuffle_partitions(spark), F.left("content", F.lit(SPLITTER)), "id")
-        .groupBy("content")
-        .agg(F.max(best).alias("best"), F.count("*").alias("group_size"))
-        .select(F.sha2("content", 256).alias("text_sha256"), F.col("best.id").alias("keep_id"), "group_size")
-    )
-    keyed = rows.select("id", F.sha2("content", 256).alias("text_sha256"))
-    return keyed.join(groups.hint("merge"), "text_sha256").select(
-        F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
+    ranges = shuffle_partitions(docs.sparkSession)
+    content = normalised("text")
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select(
+        "id", content.alias("content"), F.length(F.coalesce("text", F.lit(""))).alias("points"), F.xxhash64(content).alias("digest"), (F.octet_length(F.coalesce("text", F.lit(""))) + 64).alias("weight")
+    )
+    hot = hot_texts(keyed, ranges)
+    cut = ["beginning", "digest"]
+    if hot is not None:
+        piece = F.when(F.col("pieces").isNotNull(), 1 + F.pmod(F.xxhash64("id"), "pieces")).otherwise(0)
+        keyed, cut = keyed.join(F.broadcast(hot), "digest", "left").withColumn("piece", piece), [*cut, "piece"]
+    dealt = keyed.withColumn("beginning", F.left("content", F.lit(SPLITTER))).select("id", "content", "points", *cut).repartitionByRange(ranges, *cut)
+
+    order = Window.partitionBy(*cut).orderBy("content", F.desc("points"), F.col("id").asc_nulls_last())
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    sorted_ = dealt.withColumn("new", ~F.col("content").eqNullSafe(F.lag("content").over(order)))
+    runs = sorted_.select(
+        "id", *cut, F.sha2("content", 256).alias("text_sha256"), "new",
+        F.sum(F.col("new").cast("int")).over(so_far).alias("run"), F.last(F.when(F.col("new"), F.struct("points", "id")), ignorenulls=True).over(so_far).alias("first"),
+    )
+    rows = runs.withColumn("size", F.count("*").over(Window.partitionBy(*cut, "run")))
+    if hot is None:
+        keep, size = F.col("first.id"), F.col("size")
+    else:
+        rows = materialize(rows.select("id", "piece", "new", "text_sha256", "first", "size"), "exact-runs")
+        order = F.struct("first.points", F.coalesce(-F.col("first.id"), F.lit(-(2**63) + 1)).alias("smallest"), "first.id")
+        merged = (
+            rows.filter("new and piece > 0").groupBy("text_sha256")
+            .agg(F.max(order).alias("best"), F.sum("size").alias("whole_size"))
+        )
+        # no more rows than hot has, but for texts that share a digest
+        rows = rows.join(merged.select("text_sha256", F.struct("best", "whole_size").alias("whole")), "text_sha256", "left")
+        keep, size = F.when(F.col("whole").isNotNull(), F.col("whole.best.id")).otherwise(F.col("first.id")), F.coalesce("whole.whole_size", "size")
+    return rows.select(F.col("id").alias(id_col), keep.alias("keep_id"), size.alias("group_size"), "text_sha256").select(
+        id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns. Ids must be unique."""
+    """The rows of docs that exact_dedup keeps, with all their columns. Rows that repeat an id stay or go together."""
     kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__id"))
     return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
 
