@@ -131,6 +131,50 @@ def test_leaks_do_not_depend_on_blocks(spark, monkeypatch):
     assert sorted(r[:3] for r in rows(decontaminate.leaks(d, b))) == [r[:3] for r in one]
 
 
+@pytest.mark.parametrize("kinds", [("int", "int"), ("bigint", "string"), ("string", "smallint"), ("int", "date")])
+def test_leaks_keep_the_kinds_of_ids(spark, kinds):
+    docs, items = leaky(4)
+    d, b = (spark.createDataFrame(x, s) for x, s in ((docs, DOC), (items, "item_id long, text string")))
+    want = {(str(r[0]), str(r[1]), r[2]) for r in rows(decontaminate.leaks(d, b))}
+    cast = lambda c, k: f"CAST({c} AS {k}) AS {c}" if k != "date" else f"date_add(DATE'2020-01-01', CAST({c} AS int)) AS {c}"
+    leaks = decontaminate.leaks(d.selectExpr(cast("doc_id", kinds[0]), "text"), b.selectExpr(cast("item_id", kinds[1]), "text"))
+    assert [t for _, t in leaks.dtypes[:2]] == list(kinds)
+    got = rows(leaks)
+    assert len(got) == len(want) and {str(r[0]) for r in got} == {w[0] for w in want}
+    if kinds[1] != "date":
+        assert {(str(r[0]), str(r[1]), r[2]) for r in got} == want
+
+
+def test_alignment_windows_are_exact():
+    """A chain of seeds far longer than the item is aligned in windows: the best score and place are those of the whole."""
+    rng = random.Random(6)
+    for _ in range(20):
+        item = np.array([rng.randrange(1, 4) for _ in range(9)])
+        items = decontaminate.with_seeds(decontaminate.Items({str(k): k for k in range(1, 4)}, None, [item]), np.ones(4))
+        words = np.array([rng.randrange(1, 4) for _ in range(700)])
+        pairs = [(b, e) for _, b, e in decontaminate.candidates(words, items)]
+        assert max(e - b for b, e in pairs) <= decontaminate.WINDOW * len(item)
+        scores, ends = decontaminate.align([(item, words[b:e]) for b, e in pairs])
+        whole, end = decontaminate.align([(item, words)])
+        assert scores.max() == whole[0] == brute_alignment(item, words.tolist())
+        assert min(b + e for (b, _), e, s in zip(pairs, ends, scores) if s == scores.max()) == end[0]
+
+
+def test_a_long_repetitive_text_needs_little_memory():
+    import tracemalloc
+
+    phrase = "alpha beta gamma delta epsilon zeta eta theta "
+    items = decontaminate.block_of(None, [phrase * 3, "one two three four five six seven"])
+    items = decontaminate.with_seeds(items, np.ones(len(items.vocabulary) + 1))
+    texts = [phrase * 110_000] + [f"text {i} one two three four five six seven {i}" for i in range(255)]
+    assert len(texts[0]) > 5_000_000
+    tracemalloc.start()
+    best = decontaminate.best_alignments(texts, items, 0.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500 << 20 and best[0, 0][0] == 1.0 and all(best[i, 1][0] == 1.0 for i in range(1, 256))
+
+
 def test_clean_documents_stay(spark):
     docs, items = leaky(3)
     d, b = spark.createDataFrame(docs, DOC).selectExpr("doc_id", "text", "1 AS item", "2 AS id"), spark.createDataFrame(items, "item_id long, text string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -12,17 +13,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import materialize, slices
 
 WORD = re.compile(r"\w+")
 #: Words of a seed; how often a seed may be expected in the corpus by its words' frequencies.
 SEED_WORDS, EXPECTED = 3, 0.5
 #: Alignment scores, and the share of an item's perfect score from which a passage is a leak.
 MATCH, MISMATCH, GAP, THRESHOLD = 2, -1, -1, 0.5
+#: Windows of a long stretch, and how far they overlap, in lengths of the item.
+WINDOW, REACH = 8, 3
 #: Characters of test items that are sent to the executors at a time; a larger benchmark takes several passes.
 BLOCK_CHARS = 4 << 20
-#: Alignments that are computed side by side.
-BATCH = 256
+#: Cells of an alignment row that are computed side by side, over all pairs of a batch; a longer pair goes alone.
+CELLS = 1 << 18
+#: Distinct words that a task counts before it passes them on.
+COUNTED = 1 << 18
 
 
 @dataclass
@@ -30,7 +35,7 @@ class Items:
     """A block of test items: word ids by item, and seeds with where they occur."""
 
     vocabulary: dict[str, int]
-    ids: list
+    ids: pa.Array
     words: list[np.ndarray]
     seeds: np.ndarray | None = None  # sorted seed codes
     first: np.ndarray | None = None  # by seed: its places [first, next first) below
@@ -57,16 +62,16 @@ def codes(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return at, code
 
 
-def block_of(rows: list[tuple]) -> Items:
+def block_of(ids: pa.Array, texts: list[str | None]) -> Items:
     vocabulary: dict[str, int] = {}
-    words = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in WORD.findall((t or "").lower())], dtype=np.int64) for _, t in rows]
-    return Items(vocabulary, [i for i, _ in rows], words)
+    words = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in WORD.findall((t or "").lower())], dtype=np.int64) for t in texts]
+    return Items(vocabulary, ids, words)
 
 
 def with_seeds(items: Items, counts: np.ndarray) -> Items:
     """Choose the seeds: runs of words whose frequencies make them rare, and each item's rarest quarter."""
     size = len(items.vocabulary) + 1
-    total = max(1.0, counts.sum())
+    total = max(1.0, counts[0])
     share = np.log(np.maximum(counts, 1) / total)
     places = []
     for i, w in enumerate(items.words):
@@ -104,21 +109,35 @@ def candidates(ids: np.ndarray, items: Items) -> Iterator[tuple[int, int, int]]:
     new[1:] = (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > length[1:] // 2)
     starts = np.flatnonzero(new)
     for a, b in zip(starts, [*starts[1:], len(item)]):
-        pad = 4 + int(length[a]) // 4
-        yield int(item[a]), max(0, int(diagonal[a]) - pad), min(len(ids), int(diagonal[b - 1]) + int(length[a]) + pad)
+        n = int(length[a])
+        pad = 4 + n // 4
+        begin, end = max(0, int(diagonal[a]) - pad), min(len(ids), int(diagonal[b - 1]) + n + pad)
+        # an alignment with a positive score spans at most 3 n words, so each lies whole in one of these windows
+        for w in range(begin, max(begin + 1, end - REACH * n), WINDOW * n - REACH * n):
+            yield int(item[a]), w, min(end, w + WINDOW * n)
+
+
+def batches_of(pairs: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[list[int]]:
+    """Numbers of pairs, by length of the stretch, CELLS padded cells at a time."""
+    part: list[int] = []
+    for i in sorted(range(len(pairs)), key=lambda i: len(pairs[i][1])):
+        if part and (len(part) + 1) * len(pairs[i][1]) > CELLS:
+            yield part
+            part = []
+        part.append(i)
+    if part:
+        yield part
 
 
 def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Smith-Waterman scores of (item words, stretch words) pairs, and where in the stretch each best alignment ends.
+    """Smith-Waterman scores of (item words, stretch words) pairs, and where in the stretch the first best alignment ends.
 
     One row of all matrices at a time: gaps along a row are a running maximum, so no cell is visited by itself.
     """
     best, end = np.zeros(len(pairs), dtype=np.int32), np.zeros(len(pairs), dtype=np.int64)
-    order = sorted(range(len(pairs)), key=lambda i: len(pairs[i][1]))
-    for begin in range(0, len(order), BATCH):
-        part = order[begin : begin + BATCH]
+    for part in batches_of(pairs):
         rows, columns = max(len(pairs[i][0]) for i in part), max(len(pairs[i][1]) for i in part)
-        a, b = np.full((len(part), rows), -1, dtype=np.int64), np.full((len(part), columns), -2, dtype=np.int64)
+        a, b = np.full((len(part), rows), -1, dtype=np.int32), np.full((len(part), columns), -2, dtype=np.int32)
         for k, i in enumerate(part):
             a[k, : len(pairs[i][0])], b[k, : len(pairs[i][1])] = pairs[i]
         b[b == 0] = -2
@@ -127,32 +146,44 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
         top, where = np.zeros(len(part), dtype=np.int32), np.zeros(len(part), dtype=np.int64)
         for r in range(rows):
             t = np.maximum(h + GAP, 0)
-            t[:, 1:] = np.maximum(t[:, 1:], h[:, :-1] + np.where(b == a[:, r : r + 1], MATCH, MISMATCH))
+            t[:, 1:] = np.maximum(t[:, 1:], h[:, :-1] + np.where(b == a[:, r : r + 1], MATCH, MISMATCH).astype(np.int32))
             h = np.maximum.accumulate(t + slope, axis=1) - slope
             high = h.argmax(axis=1)
             value = h[np.arange(len(part)), high]
-            where = np.where(value > top, high, where)
+            where = np.where(value > top, high, np.where(value == top, np.minimum(where, high), where))
             top = np.maximum(top, value)
         best[part], end[part] = top, where
     return best, end
 
 
-def corpus_counts(docs: DataFrame, items: Items) -> np.ndarray:
-    """How often each word of the items occurs in all documents; at 0, all other words."""
-    shared = docs.sparkSession.sparkContext.broadcast(items.vocabulary)
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, n) over all texts; the empty word has the number of all words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(shared.value) + 1, dtype=np.int64)
+        def emit() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
+        seen: Counter[str] = Counter()
         for batch in slices(batches, 8 << 20):
             for t in batch.column("text").to_pylist():
-                total += np.bincount(word_ids(t, shared.value), minlength=len(total))
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], ["word", "n"])
-
-    got = docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(len(items.vocabulary) + 1)
-    for r in got:
-        counts[r["word"]] = r["n"]
-    return counts
+                words = WORD.findall((t or "").lower())
+                seen.update(words)
+                seen[""] += len(words)
+            if len(seen) > COUNTED:
+                yield emit()
+                seen.clear()
+        yield emit()
+
+    return texts.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def corpus_counts(counts: DataFrame, items: Items) -> np.ndarray:
+    """How often each word of the items occurs in all documents; at 0, all words."""
+    words = counts.sparkSession.createDataFrame([("", 0), *items.vocabulary.items()], "word string, place long")
+    out = np.zeros(len(items.vocabulary) + 1)
+    for r in counts.join(words, "word").select("place", "n").collect():
+        out[r["place"]] = r["n"]
+    return out
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -162,8 +193,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     frequencies make rare (so a leaked passage does not make its own seeds common), and the rarest quarter of
     an item's runs in any case. Around lined-up seeds the item is aligned with the document's words; the score
     is the best local alignment's share of the item's perfect score, `threshold` or more. All seeds and all
-    stretches are followed up. A benchmark over BLOCK_CHARS takes a pass over the documents for each block of it; within
-    a pass nothing is shuffled.
+    stretches are followed up. The corpus's words are counted in one pass, whatever the size of the benchmark. A benchmark over
+    BLOCK_CHARS takes an alignment pass over the documents for each block of it; texts are never shuffled.
+    A long text is one row of a task: a stretch that goes on and on is aligned in overlapping windows of WINDOW item lengths,
+    of which one holds any alignment whole, and a batch of alignments is bounded by CELLS, so memory follows the text's length only.
 
     Items with fewer than SEED_WORDS words (null and empty ones too) match nothing, nor do null and empty
     documents. Repeated documents or items give a row each. Empty tables give an empty table. Only ids and
@@ -184,10 +217,13 @@ def item_blocks(texts: DataFrame, benchmark: DataFrame, item_col: str, item_text
     """Broadcasts of the test items with their seeds, BLOCK_CHARS characters or so at a time."""
     tests = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text"))
     blocks = -(-int(tests.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS)
+    if blocks:
+        own_words = word_counts(tests).select("word")
+        counts = materialize(word_counts(texts).join(own_words, "word", "left_semi"), "leak-words")
     for block in range(blocks):
-        own = tests.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
-        items = block_of([tuple(r) for r in own.orderBy("item", "text").collect()])
-        yield texts.sparkSession.sparkContext.broadcast(with_seeds(items, corpus_counts(texts, items)))
+        own = tests.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).orderBy("item", "text").toArrow().combine_chunks()
+        items = block_of(pa.concat_arrays(own.column("item").chunks or [pa.array([], own.schema.field("item").type)]), own.column("text").to_pylist())
+        yield texts.sparkSession.sparkContext.broadcast(with_seeds(items, corpus_counts(counts, items)))
 
 
 def best_alignments(texts: list[str | None], items: Items, threshold: float) -> dict[tuple[int, int], tuple[float, int]]:
@@ -214,9 +250,8 @@ def aligner(shared, threshold: float):
         items = shared.value
         for batch in slices(batches, 8 << 20):
             best = best_alignments(batch.column("text").to_pylist(), items, threshold)
-            named = [items.ids[i] for _, i in best]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array([r for r, _ in best], pa.int64())), pa.array(named, pa.int64() if not named or isinstance(named[0], int) else None),
+                [batch.column("id").take(pa.array([r for r, _ in best], pa.int64())), items.ids.take(pa.array([i for _, i in best], pa.int64())),
                  pa.array([s for s, _ in best.values()], pa.float64()), pa.array([-e for _, e in best.values()], pa.int64())], ["id", "item", "score", "end_word"]
             )
 
