@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from textloom.llm import exact_dedup, graph, sharding, simhash, substring_dedup
 
@@ -171,6 +172,13 @@ def test_near_duplicates_agree_with_brute_force(spark):
     assert ordered(rows(simhash.near_duplicates(spark.createDataFrame(docs, DOC)))) == ordered(want)
 
 
+def test_near_duplicates_with_a_hot_text(spark):
+    docs = [(i, "one two three four" if i % 3 == 0 else f"word{i} " * 9) for i in range(1200)]
+    got = {r[0]: r[2] for r in rows(simhash.near_duplicates(spark.createDataFrame(docs, DOC).selectExpr("*", "1 AS fp", "2 AS id", "3 AS component_id")))}
+    ids, fps = [d[0] for d in docs], [brute_fingerprint(d[1]) for d in docs]
+    assert got == dict(zip(ids, brute_components(ids, fps)))
+
+
 def test_near_duplicates_of_empty_table(spark):
     assert rows(simhash.near_duplicates(spark.createDataFrame([], DOC))) == []
 
@@ -245,6 +253,42 @@ def test_shards_hold_whole_groups_and_are_near_equal(spark):
     for r in got:
         where.setdefault((r[2], r[1]), set()).add(r[4])
     assert all(len(s) == 1 for s in where.values())
+    groups = {}
+    for r in got:
+        groups.setdefault(r[4], set()).add((r[2], r[1]))
+    # shards of one indivisible group above the share stand alone; the others' sizes are near equal
+    rest = [sum(size for _, size in m) for shard, m in by_shard.items() if len(groups[shard]) > 1]
+    assert len(by_shard) == 16 and len(rest) > 5 and max(rest) - min(rest) <= 0.01 * max(rest)
+
+
+def test_packing_rounds_sizes_up_within_its_bound(spark):
+    rng = random.Random(3)
+    sizes = [rng.randrange(1, 1 << rng.randrange(1, 45)) for _ in range(3000)] + [1, (1 << sharding.BITS) - 1, 1 << sharding.BITS]
+    for size, item in rows(spark.createDataFrame([(s,) for s in sizes], "size long").select("size", sharding.rounded_up(F.col("size")))):
+        assert size <= item <= size * (1 + 2.0 ** (1 - sharding.BITS)) and (item == size or size >= 1 << sharding.BITS)
+
+
+def test_sharding_with_a_hot_text_and_clashing_columns(spark):
+    docs = [(i, "hot " * 5 if i % 3 == 0 else f"text {i}") for i in range(3000)]
+    got = rows(sharding.shard(spark.createDataFrame(docs, DOC).selectExpr("*", "1 AS size", "2 AS shard", "'x' AS digest", "3 AS slot")))
+    assert len(got) == 3000 and len({r[4] for r in got if r[0] % 3 == 0}) == 1
+    for k in range(16):
+        assert sorted(r[5] for r in got if r[4] == k) == list(range(sum(r[4] == k for r in got)))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.booleans(), st.integers(1, 30)), max_size=60))
+def test_rooms_give_the_tightest(steps):
+    rooms, plain = sharding.Rooms(), []
+    for i, (add, n) in enumerate(steps):
+        if add:
+            rooms.add(n, i)
+            plain.append((n, i))
+        else:
+            want = min((x for x in plain if x[0] >= n), default=None)
+            assert rooms.tightest(n) == want
+            if want:
+                plain.remove(want)
 
 
 def test_sharding_of_empty_table_and_fixed_capacity(spark):

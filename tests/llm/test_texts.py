@@ -296,7 +296,8 @@ def test_language_of_odd_rows(spark):
 
 def test_kernel_counts_shared_grams():
     texts = ["abc abd", "Abd!", "xyz", ""]
-    m = langid.landmark_model(texts[:3])
+    codes, seen = langid.every_letter(), np.zeros(1 << langid.BITS, dtype=np.uint8)
+    m = langid.landmark_model([langid.present_grams(langid.letter_codes(t, codes), seen) for t in texts[:3]], codes)
     k, lettered = langid.kernel(m, texts)
 
     def grams(t):
@@ -309,6 +310,57 @@ def test_kernel_counts_shared_grams():
     assert lettered.tolist() == [True, True, True, False]
 
 
+def brute_languages(train, texts):
+    """Presence kernels in plain sets, and ridge regression on Nystroem features; every training text is a landmark."""
+
+    def grams(t):
+        t = re.sub(r"[^\W\d_]+|[\W\d_]+", lambda m: m[0] if m[0][0].isalpha() else "\0", (t or "").lower())
+        return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+    k = lambda a, b: len(grams(a) & grams(b)) / np.sqrt(len(grams(a)) * len(grams(b)))
+    marks, langs = [t for t, _ in train], sorted({x for _, x in train})
+    kmm = np.array([[k(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(kmm)
+    keep = values > 1e-6 * values.max()
+    root = vectors[:, keep] / np.sqrt(values[keep])
+    phi = kmm @ root
+    w = np.array([1 / sum(y == x for _, y in train) for _, x in train])
+    w *= len(train) / w.sum()
+    mean = w @ phi / w.sum()
+    out = []
+    for lang in langs:
+        y = np.array([1.0 if x == lang else -1.0 for _, x in train])
+        centre = w @ y / w.sum()
+        x = phi - mean
+        beta = np.linalg.solve(x.T @ (x * w[:, None]) + langid.RIDGE * len(train) * np.eye(x.shape[1]), x.T @ (w * (y - centre)))
+        out.append([np.array([k(t, m) for m in marks]) @ root @ beta - mean @ beta + centre for t in texts])
+    margin = np.array(out).T
+    return [langs[j] for j in margin.argmax(axis=1)], 1 / np.exp(4 * (margin - margin.max(axis=1, keepdims=True))).sum(axis=1)
+
+
+def test_languages_agree_with_brute_force(spark):
+    """Four made languages, two of them of scripts with many letters: predictions and scores of every row."""
+    rng = random.Random(5)
+    alphabets = {"aa": "abcdefgh", "bb": "efghijkl", "zh": [chr(0x4E00 + i) for i in range(0, 900, 3)], "ko": [chr(0xAC00 + i) for i in range(0, 900, 3)]}
+    text = lambda x: " ".join("".join(rng.choice(alphabets[x]) for _ in range(rng.randrange(1, 6))) for _ in range(12)) + rng.choice(["", "!", " 1"])
+    docs = [(i, text(x), x) for i in range(48) for x in [rng.choice(sorted(alphabets))]]
+    train = [(t, x) for i, t, x in docs if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert max(sum(y == x for _, y in train) for _, x in train) <= langid.LANDMARKS
+    got = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    langs, scores = brute_languages(train, [t for _, t, _ in docs])
+    assert [got[i]["lang_pred"] for i, _, _ in docs] == langs
+    assert [got[i]["score"] for i, _, _ in docs] == pytest.approx(scores.tolist(), abs=0.05)  # kernels are of single precision
+    assert np.mean([got[i]["lang_pred"] == x for i, _, x in docs if got[i]["held_out"]]) > 0.9
+
+
+def test_landmarks_are_whole_texts(spark):
+    """What is beyond the first characters of the only texts of a language counts."""
+    docs = [(i, "x" * 30_000 + " " + ("abc " if i % 2 else "def ") * 50, "one" if i % 2 else "two") for i in range(40)]
+    docs += [(100, "abc abc", None), (101, "def def", None)]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    assert got[100] == "one" and got[101] == "two"
+
+
 # ---- personal data
 
 
@@ -447,6 +499,15 @@ def test_chats_read_back_from_their_format(spark):
     assert got == {k: chat_digest(v) for k, v in want.items()}
 
 
+def test_conversations_become_a_log_of_deltas_edits_and_regenerations(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "hello"), (1, 1, "assistant", "good day"), (2, 0, None, None), (2, 0, "assistant", "")], "conv_id int, turn int, role string, text string")
+    log = chat.messages_as_events(turns.selectExpr("*", "1 AS step", "2 AS k", "3 AS branch", "4 AS seq"))
+    got = {k: sorted((r["seq"], r["kind"], r["text"]) for r in log.filter(f"conv_id = 1 AND turn = {k}").collect()) for k in (0, 1)}
+    assert got[0] == [(0, "message", "he"), (1, "edit", "hello")]
+    assert got[1] == [(8, "message", ""), (9, "delta", "good"), (10, "regenerate", ""), (11, "delta", "good"), (12, "delta", " day")]
+    assert sorted(rows(chat.fold(log).select("conv_id", "turn", "role", "text"))) == [(1, 0, "user", "hello"), (1, 1, "assistant", "good day"), (2, 0, "assistant", ""), (2, 0, "user", "")]
+
+
 CHAT = "conv_id long, seq long, kind string, turn long, branch int, role string, text string"
 
 

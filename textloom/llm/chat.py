@@ -38,15 +38,27 @@ def unescape(text: str) -> str:
 
 
 def messages_as_events(conversations: DataFrame) -> DataFrame:
-    """A table of finished messages as an event log: one 'message' event a row, in order of turn.
+    """A table of finished messages as the event log of a chat that led to them.
 
-    Rows that share a turn are branches of it, in order of (role, text), and all of them stay.
+    An assistant's text was streamed, regenerated and streamed again: an opening message, a delta of a first try, a
+    'regenerate', and the text in two deltas. Any other text was sent as a draft and then edited. Rows that share a
+    turn are branches of it, in order of (role, text), and all of them stay; null text is empty.
     """
     w = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
-    return conversations.select(
-        F.col("conv_id").cast("long"), F.col("turn").cast("long").alias("seq"), F.lit("message").alias("kind"),
-        F.col("turn").cast("long"), F.col("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"),
-    ).withColumn("branch", F.row_number().over(w))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    half = (F.length(text) / 2).cast("int")
+
+    def step(k: int, kind: str, content: F.Column) -> F.Column:
+        return F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), content.alias("text"))
+
+    streamed = F.array(
+        step(0, "message", F.lit("")), step(1, "delta", F.left(text, half)), step(2, "regenerate", F.lit("")),
+        step(3, "delta", F.left(text, half)), step(4, "delta", F.substr(text, half + 1)),
+    )
+    sent = F.array(step(0, "message", F.left(text, half)), step(1, "edit", text))
+    rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", F.row_number().over(w).alias("branch"), F.when(F.col("role") == "assistant", streamed).otherwise(sent).alias("steps"))
+    events = rows.select("*", F.explode("steps").alias("step"))
+    return events.select("conv_id", (F.col("turn") * 8 + F.col("step.k")).alias("seq"), "step.kind", "turn", "branch", "role", "step.text")
 
 
 def fold(events: DataFrame) -> DataFrame:
@@ -58,7 +70,8 @@ def fold(events: DataFrame) -> DataFrame:
     count, so the fold is an aggregate over (conversation, turn, branch), not over a whole conversation.
 
     Events with equal seq apply in order of (kind, text). A log that repeats an event applies it again. Null
-    conv_ids form one conversation; a null turn comes first. An empty log gives no messages.
+    conv_ids form one conversation; a null turn comes first. An empty log gives no messages. A message of very many deltas is
+    one row of its aggregate. Other columns than those named are not read, so they cannot clash.
 
     Returns conv_id, turn, branch, role, text.
     """
@@ -96,7 +109,8 @@ def render(messages: DataFrame) -> DataFrame:
     Parts of a conversation are consecutive rows of one partition; a part's text and loss spans (code
     points, end exclusive) stand alone, and the parts concatenated are the conversation. Memory is bounded
     by a part, however long the conversation. Null role is 'user', null text empty; messages that share a
-    turn come in order of (branch, role, text). An empty table gives an empty table.
+    turn come in order of (branch, role, text). An empty table gives an empty table. A very long text makes one long part. Other
+    columns are not read.
     """
 
     def parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

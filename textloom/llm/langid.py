@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-#: Bounds of what a model is fitted on: landmark texts and training texts a language (in expectation), and
-#: the code points that a landmark may have.
-LANDMARKS, TRAINING, LANDMARK_CHARS = 24, 600, 20_000
-#: Characters that are told apart; rarer ones share one code.
-ALPHABET = 96
+#: Bounds of what a model is fitted on: landmark texts and training texts a language, in expectation. Texts are whole.
+LANDMARKS, TRAINING = 24, 600
+#: Letters are told apart by their code points, whatever the script; n-grams are numbered by a hash of this many bits.
+BITS = 20
+#: Odd factors that spread n-grams of one, two and three letters over the numbers.
+SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 RIDGE = 1e-3
 UNKNOWN = "und"
 #: Documents whose presence rows form one matrix product.
@@ -27,8 +28,7 @@ ROWS = 256
 class Model:
     """All that scoring needs: code of each letter, column of each n-gram, landmark matrices and weights."""
 
-    codes: np.ndarray  # by code point: 0 not a letter, 1 a rare letter, else its own code
-    size: int  # codes in all
+    codes: np.ndarray  # by code point: 0 not a letter, else its own code
     columns: np.ndarray  # by n-gram number: its column in the landmark matrix, or -1
     landmarks: np.ndarray  # n-grams x landmarks, 0 or 1 over the landmark's norm
     weights: np.ndarray | None = None  # landmarks x languages
@@ -42,45 +42,35 @@ def letter_codes(text: str, codes: np.ndarray) -> np.ndarray:
     c = codes[points]
     keep = c > 0
     keep[1:] |= c[:-1] > 0
-    return c[keep].astype(np.int64)
+    return c[keep].astype(np.uint64)
 
 
-def present_grams(c: np.ndarray, size: int, seen: np.ndarray) -> np.ndarray:
+def present_grams(c: np.ndarray, seen: np.ndarray) -> np.ndarray:
     """Numbers of the distinct n-grams of 1 to 3 codes; `seen` is a scratch array of zeros and is left so."""
-    two = c[:-1] * size + c[1:]
-    three = two[:-1] * size + c[2:]
-    seen[c] = seen[two + size] = seen[three + size + size * size] = 1
+    grams = c
+    for n, factor in enumerate(SPREAD):
+        if n:
+            grams = grams[:-1] << np.uint64(21) | c[n:]
+        seen[(grams * np.uint64(factor)) >> np.uint64(64 - BITS)] = 1
     found = np.flatnonzero(seen)
     seen[found] = 0
     return found
 
 
-def is_letter() -> np.ndarray:
-    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
-
-
-def landmark_model(texts: list[str], alphabet: int = ALPHABET) -> Model:
-    """A model without weights from landmark texts."""
-    letter = is_letter()
-    counts = np.zeros(0x110000, dtype=np.int64)
-    for t in texts:
-        p = np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        counts += np.bincount(p, minlength=0x110000)
-    counts[~letter] = 0
-    common = np.argsort(-counts, kind="stable")[:alphabet]
-    common = common[counts[common] > 0]
-    codes = letter.astype(np.uint8)
-    codes[common] = np.arange(2, 2 + len(common))
-    size = 2 + len(common)
-    seen = np.zeros(size + size**2 + size**3, dtype=np.uint8)
-    grams = [present_grams(letter_codes(t, codes), size, seen) for t in texts]
+def every_letter() -> np.ndarray:
+    """By code point: its own number plus one for a letter, else 0."""
+    return np.fromiter((i + 1 if chr(i).isalpha() else 0 for i in range(0x110000)), dtype=np.uint32, count=0x110000)
+
+
+def landmark_model(grams: list[np.ndarray], codes: np.ndarray) -> Model:
+    """A model without weights from the n-grams of landmark texts."""
     every = np.unique(np.concatenate(grams))
-    columns = np.full(len(seen), -1, dtype=np.int32)
+    columns = np.full(1 << BITS, -1, dtype=np.int32)
     columns[every] = np.arange(len(every))
-    matrix = np.zeros((len(every), len(texts)), dtype=np.float32)
+    matrix = np.zeros((len(every), len(grams)), dtype=np.float32)
     for i, g in enumerate(grams):
         matrix[columns[g], i] = 1 / np.sqrt(len(g))
-    return Model(codes, size, columns, matrix)
+    return Model(codes, columns, matrix)
 
 
 def kernel(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +82,7 @@ def kernel(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         c = letter_codes(t, model.codes)
         lettered[i] = bool((c > 0).any())
         if lettered[i]:
-            g = present_grams(c, model.size, seen)
+            g = present_grams(c, seen)
             at = model.columns[g]
             rows[i, at[at >= 0]] = 1 / np.sqrt(len(g))
     return rows @ model.landmarks, lettered
@@ -113,7 +103,7 @@ def fit(model: Model, k: np.ndarray, labels: list[str]) -> Model:
     centre = (balance[:, None] * y).sum(axis=0) / balance.sum()
     x = phi - mean
     w = np.linalg.solve((x * balance[:, None]).T @ x + RIDGE * len(labels) * np.eye(x.shape[1]), (x * balance[:, None]).T @ (y - centre))
-    return Model(model.codes, model.size, model.columns, model.landmarks, (root @ w).astype(np.float32), (centre - mean @ w).astype(np.float32), languages)
+    return Model(model.codes, model.columns, model.landmarks, (root @ w).astype(np.float32), (centre - mean @ w).astype(np.float32), languages)
 
 
 def remainder(id_col: str, n: int) -> F.Column:
@@ -124,22 +114,33 @@ def remainder(id_col: str, n: int) -> F.Column:
 def train(docs: DataFrame, usable: F.Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Fit on a sample of the usable rows, about LANDMARKS landmarks and TRAINING texts a language; None without any.
 
-    Rows are taken by a hash of their id against their language's count, so no language is passed over. Kernels
-    are computed where the rows are; the driver sees landmark texts and one short vector a training text.
+    Rows are taken by a hash of their id and text against their language's count, so no language is passed over. N-grams and
+    kernels are computed where the rows are; the driver sees a landmark's n-gram numbers and one short vector a training text.
     """
     rows = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
-        F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(id_col), F.lit(1 << 20)).alias("draw")
+        F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 20)).alias("draw")
     )
-    counts = {r["lang"]: (r["all"], r["short"]) for r in rows.groupBy("lang").agg(F.count("*").alias("all"), F.count_if(F.length("text") <= LANDMARK_CHARS).alias("short")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
 
-    def below(wanted: int, which: int) -> F.Column:
-        share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1, wanted / max(1, n[which])) * (1 << 20)))))
+    def below(wanted: int) -> F.Column:
+        share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1, wanted / n) * (1 << 20)))))
         return F.col("draw") < share[F.col("lang")]
 
-    marks = rows.filter(below(LANDMARKS, 1) & (F.length("text") <= LANDMARK_CHARS)).select("text").collect()
-    model = landmark_model([r["text"] for r in marks] or [r["text"][:LANDMARK_CHARS] for r in rows.limit(LANDMARKS).collect()])
+    codes = docs.sparkSession.sparkContext.broadcast(every_letter())
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << BITS, dtype=np.uint8)
+        for part in parts(batches):
+            found = [present_grams(letter_codes(t, codes.value), seen) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([g.astype(np.int32) for g in found], pa.list_(pa.int32()))], ["g"])
+
+    drawn = rows.filter(below(LANDMARKS)).orderBy("draw", "lang", "text").select("text").mapInArrow(grams, "g array<int>").collect()
+    marks = [np.array(r["g"], dtype=np.int64) for r in drawn if r["g"]]
+    if not marks:
+        return None
+    model = landmark_model(marks, codes.value)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kernels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +148,7 @@ def train(docs: DataFrame, usable: F.Column, id_col: str = "doc_id", text_col: s
             k, _ = kernel(shared.value, part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(list(k), pa.list_(pa.float32()))], ["lang", "k"])
 
-    sample = rows.filter(below(TRAINING, 0)).select("text", "lang").mapInArrow(kernels, "lang string, k array<float>").collect()
+    sample = rows.filter(below(TRAINING)).select("text", "lang").mapInArrow(kernels, "lang string, k array<float>").collect()
     return fit(model, np.array([r["k"] for r in sample], dtype=np.float32), [r["lang"] for r in sample]) if sample else None
 
 
@@ -155,8 +156,9 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     """(id, lang_pred, score) of every row's whole text: the language with the largest margin.
 
     Null texts, empty ones and texts without a letter are 'und' with score 0, as is every text if the model is
-    None (nothing to learn from). The score is the best margin's softmax share. Rows are scored one by one,
-    so repeated rows and ids make no difference.
+    None (nothing to learn from). Of equal margins the first language by name wins. The score is the best margin's softmax share.
+    Rows are scored one by one, so repeated rows and ids make no difference; a long text is one row, and leaves no more than its
+    distinct n-grams. Only id and text are read, so other columns cannot clash.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+import random
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_partitions
 
-#: Group sizes are rounded up to this many leading bits, so a histogram of sizes has at most
-#: 2**(BITS - 1) classes an octave (about 75,000 up to 2**48) whatever the input; sizes below 2**BITS are exact.
-BITS = 12
+#: For packing, group sizes are rounded up to this many leading bits, so a histogram of sizes has at most
+#: 2**(BITS - 1) classes an octave (about 250,000 up to 2**48) whatever the input. Sizes below 2**BITS are exact; others
+#: count for at most one part in 2**(BITS - 1) more than they have, and never for less, so no bin is overfilled.
+BITS = 14
 
 
 def rounded_up(size: F.Column) -> F.Column:
@@ -21,14 +22,66 @@ def rounded_up(size: F.Column) -> F.Column:
     return (F.ceil(size / step) * step).cast("long")
 
 
+class Rooms:
+    """Open bins by remaining room, in a balanced tree (a treap): each step takes a time that is logarithmic in the bins."""
+
+    def __init__(self) -> None:
+        self.key: list[tuple[int, int]] = []
+        self.rank: list[float] = []
+        self.left: list[int] = []
+        self.right: list[int] = []
+        self.root, self.dice = -1, random.Random(1)
+
+    def split(self, node: int, key: tuple[int, int]) -> tuple[int, int]:
+        """The nodes below `key`, and the others."""
+        if node < 0:
+            return -1, -1
+        if self.key[node] < key:
+            self.right[node], other = self.split(self.right[node], key)
+            return node, other
+        other, self.left[node] = self.split(self.left[node], key)
+        return other, node
+
+    def merge(self, a: int, b: int) -> int:
+        """One tree of two, all of whose keys are in order."""
+        if a < 0 or b < 0:
+            return max(a, b)
+        if self.rank[a] > self.rank[b]:
+            self.right[a] = self.merge(self.right[a], b)
+            return a
+        self.left[b] = self.merge(a, self.left[b])
+        return b
+
+    def add(self, room: int, bin_: int) -> None:
+        self.key.append((room, bin_))
+        self.rank.append(self.dice.random())
+        self.left.append(-1)
+        self.right.append(-1)
+        below, above = self.split(self.root, (room, bin_))
+        self.root = self.merge(self.merge(below, len(self.key) - 1), above)
+
+    def tightest(self, size: int) -> tuple[int, int] | None:
+        """Take out the bin with the least room of `size` or more; of equal rooms the first opened."""
+        below, above = self.split(self.root, (size, -1))
+        if above < 0:
+            self.root = below
+            return None
+        node = above
+        while self.left[node] >= 0:
+            node = self.left[node]
+        found, rest = self.split(above, (self.key[node][0], self.key[node][1] + 1))
+        self.root = self.merge(below, rest)
+        return self.key[found]
+
+
 def best_fit_decreasing(histogram: list[tuple[int, int]], capacity: int, bins: int | None = None) -> list[tuple[int, int, int, int]] | None:
     """Pack (size, count) classes, largest first, each item into the tightest bin that still holds it.
 
     Returns (size, first rank, last rank + 1, bin); None if more than `bins` bins are needed. Items above
-    the capacity get a bin each. Remaining room is kept in a sorted list searched by bisection; items
-    of one size go into a bin together, since best fit would put them there one after the other.
+    the capacity get a bin each. Items of one size go into a bin together, since best fit would put them
+    there one after the other.
     """
-    room: list[tuple[int, int]] = []
+    rooms = Rooms()
     plan, opened = [], 0
     for size, count in sorted(histogram, reverse=True):
         done = 0
@@ -36,8 +89,8 @@ def best_fit_decreasing(histogram: list[tuple[int, int]], capacity: int, bins: i
             if size > capacity:
                 n, target, left = 1, opened, 0
                 opened += 1
-            elif (k := bisect_left(room, (size, -1))) < len(room):
-                left, target = room.pop(k)
+            elif (fit := rooms.tightest(size)) is not None:
+                left, target = fit
                 n = min(count - done, left // size)
                 left -= n * size
             else:
@@ -46,7 +99,7 @@ def best_fit_decreasing(histogram: list[tuple[int, int]], capacity: int, bins: i
             if bins is not None and opened > bins:
                 return None
             if left:
-                insort(room, (left, target))
+                rooms.add(left, target)
             plan.append((size, done, done + n, target))
             done += n
     return plan
@@ -99,7 +152,8 @@ def shard(docs: DataFrame, shards: int | None = 16, capacity: int | None = None,
     searched that fits into `shards` shards, which makes their sizes near equal. A group larger than a
     shard's share has a shard to itself. A row's size is its text's UTF-8 bytes plus 1; null text has no
     bytes and is grouped with empty text. Repeated rows are rows of their own; null ids are numbered like
-    any other. An empty table gives an empty table. Only id and text are read, so other columns cannot clash.
+    any other. An empty table gives an empty table. A long text counts by its bytes only; texts are not shuffled. Only id and text
+    are read, so other columns cannot clash. Of groups of one size the order of digests decides, of equal bins the first opened.
 
     The driver sees the histogram of group sizes alone, whose length BITS bounds whatever the input. Groups
     of one size take their bins by rank, and ranks are counted chunk by chunk.
@@ -118,7 +172,9 @@ def shard(docs: DataFrame, shards: int | None = 16, capacity: int | None = None,
     groups = materialize(rows.groupBy("digest").agg(F.sum("size").alias("bytes")).select("digest", rounded_up(F.col("bytes")).alias("item")), "shard-groups")
     histogram = [(r["item"], r["count"]) for r in groups.groupBy("item").count().collect()]
     plan = best_fit_decreasing(histogram, capacity or tightest_capacity(histogram, shards)) if histogram else []
-    plan = F.broadcast(spark.createDataFrame(plan, "item long, first long, beyond long, shard int"))
+    plan = spark.createDataFrame(plan, "item long, first long, beyond long, shard int")
+    if capacity is None:
+        plan = F.broadcast(plan)  # a row for each size class and shard at most; with a capacity the bins grow with the data
     placed = (
         ranked(groups, "item", F.col("digest"), ["digest"], "rank", chunks)
         .join(plan, "item")

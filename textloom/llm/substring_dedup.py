@@ -329,7 +329,7 @@ PIECES = "bucket int, data binary, a long, b long, id long, version long, low lo
 def pieces_of(docs: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
     """PIECES of the wanted segments: transforms, a shard for each task and bucket, and windows of crowded anchors."""
     lists = wanted.groupBy("id", "version").agg(F.collect_list(F.struct("low", "high", "anchor", "kind")).alias("segments"))
-    both = docs.join(lists.hint("shuffle_hash"), ["id", "version"]).select("id", "version", "text", "segments")
+    both = docs.join(lists.hint("merge"), ["id", "version"]).select("id", "version", "text", "segments")
     names = [c.split()[0] for c in PIECES.split(", ")]
 
     def shards(held: list[tuple]) -> pa.RecordBatch:
@@ -448,7 +448,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = keyed(docs, id_col, text_col)
     gone = repeated_stretches(rows).groupBy("id", "version").agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high"))
-    both = rows.join(gone.hint("shuffle_hash"), ["id", "version"], "left").select("id", "text", "low", "high")
+    both = rows.join(gone.hint("merge"), ["id", "version"], "left").select("id", "text", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, SLICE_BYTES):
