@@ -72,6 +72,60 @@ def test_risk_never_profits_from_negative_part():
     assert abs((s > 0.5).mean() - 0.4) < 0.1
 
 
+def plain_features(text):
+    """The features of a text, one character and one pair at a time."""
+    kind = lambda c: 0 if ord(c) > 0xFFFF else 6 + quality.PUNCTUATION.index(c) if c in quality.PUNCTUATION else 2 if c in "\r\n" else 1 if c.isspace() else 3 if c.islower() else 4 if c.isupper() else 5 if c.isdigit() else 0
+    out = [0.0] * quality.FEATURES
+    if not text:
+        return out
+    c = [kind(x) for x in text]
+    for k in c:
+        out[k] += 1 / len(c)
+    for a, b in zip(c, c[1:]):
+        out[quality.CLASSES + ((a * quality.CLASSES + b) * 2654435761 >> 7) % quality.PAIRS] += 1 / (len(c) - 1)
+    out = [x**0.5 for x in out]
+    words, lines = text.split(), text.split("\n")
+    n = max(1, len(words))
+    out[-6:] = [np.log1p(len(c)), len(set(words)) / n, sum(k not in (1, 2) for k in c) / n / 10, len(set(lines)) / len(lines), np.log1p(len(c) / len(lines)), np.log1p(n / len(lines))]
+    return out
+
+
+def test_quality_scores_agree_with_brute_force(spark):
+    docs, labels = common.table(spark, SMALL, "documents"), common.table(spark, SMALL, "labels")
+    held = "crc32(cast(cast(doc_id AS string) AS binary)) % 3 = 1"
+    model = quality.train(docs.filter(f"NOT {held}"), labels.filter(f"NOT {held}"))
+    got = {r["doc_id"]: r for r in queries.op1_quality(spark, SMALL).collect()}
+    for r in docs.collect():
+        x = (np.array(plain_features(r["text"])) - model.mean) / model.scale
+        want = 1 / (1 + np.exp(-(sum(a * b for a, b in zip(x, model.weights)) + model.bias)))
+        assert abs(got[r["doc_id"]]["score"] - want) < 1e-3 and got[r["doc_id"]]["predicted"] == int(got[r["doc_id"]]["score"] >= 0.5)
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.8])
+def test_class_prior_comes_from_positives_and_unlabelled(prior):
+    rng = np.random.default_rng(1)
+    y = rng.random(6000) < prior
+    unlabelled = rng.normal(size=(6000, 5)) + np.where(y, 1.5, -1.5)[:, None]
+    assert abs(quality.class_prior(rng.normal(size=(2000, 5)) + 1.5, unlabelled) - prior) < 0.05
+    assert quality.class_prior(unlabelled[:2], unlabelled) == 0.5
+
+
+def test_quality_reads_positive_labels_only(spark):
+    """Negatives' labels count neither for the fit nor for the prior: without them the scores are the same."""
+    docs, labels = common.table(spark, SMALL, "documents"), common.table(spark, SMALL, "labels")
+    assert sorted(rows(quality.classify(docs, labels))) == sorted(rows(quality.classify(docs, labels.filter("quality = 1"))))
+
+
+def test_fitting_lowers_the_non_negative_risk():
+    rng = np.random.default_rng(2)
+    y = rng.random(2000) < 0.6
+    u, p = rng.normal(size=(2000, 4)) + np.where(y, 1, -1)[:, None], rng.normal(size=(500, 4)) + 1
+    m = quality.fit(p, u, 0.6)
+    loss = lambda w, b: (lambda s: 0.6 * (1 - s(p)).mean() + max(0, s(u).mean() - 0.6 * s(p).mean()))(lambda x: 1 / (1 + np.exp(-((x - m.mean) / m.scale @ w + b))))
+    assert loss(m.weights, m.bias) < 0.6 * loss(np.zeros(4), np.log(0.6 / 0.4))
+    assert np.mean(((u - m.mean) / m.scale @ m.weights + m.bias > 0) == y) > 0.95
+
+
 # ---- decontamination
 
 
