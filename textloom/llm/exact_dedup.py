@@ -77,8 +77,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             rows.filter("new and piece > 0").groupBy("text_sha256")
             .agg(F.max(order).alias("best"), F.sum("size").alias("whole_size"))
         )
-        # no more rows than hot has, but for texts that share a digest
-        rows = rows.join(merged.select("text_sha256", F.struct("best", "whole_size").alias("whole")), "text_sha256", "left")
+        whole = merged.select("text_sha256", F.struct("best", "whole_size").alias("whole"))
+        if merged.count() <= 2 * ranges / HOT_SHARE:  # as many as hot has, unless many texts share a digest
+            whole = F.broadcast(whole)
+        rows = rows.join(whole, "text_sha256", "left")
         keep, size = F.when(F.col("whole").isNotNull(), F.col("whole.best.id")).otherwise(F.col("first.id")), F.coalesce("whole.whole_size", "size")
     return rows.select(F.col("id").alias(id_col), keep.alias("keep_id"), size.alias("group_size"), "text_sha256").select(
         id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
