@@ -102,6 +102,29 @@ def test_longest_copied_run(spark):
     assert rows(ngrams.copy_runs(docs, refs, order=4, charset=HAN)) == [(1, 9, 10)]
 
 
+def test_copies_do_not_depend_on_how_references_travel(spark, monkeypatch):
+    rng = random.Random(4)
+    text = lambda: "".join(rng.choice("abcé 1") for _ in range(rng.randrange(0, 90)))
+    docs = spark.createDataFrame([(i, text()) for i in range(40)] + [(40, None), (41, "")], "doc_id long, text string")
+    refs = spark.createDataFrame([(i, text()) for i in range(9)] + [(9, None)], "item_id int, text string")
+    sent = [sorted(rows(f(docs, refs, order=3))) for f in (ngrams.copy_overlap, ngrams.copy_runs)]
+    model = ngrams.fit_counts(refs, 3)
+    bits = sorted(rows(ngrams.score_bits(docs, model, order=3)), key=str)
+    monkeypatch.setattr(ngrams, "BROADCAST_BYTES", 0)
+    assert [sorted(rows(f(docs, refs, order=3))) for f in (ngrams.copy_overlap, ngrams.copy_runs)] == sent and len(sent[1]) > 20
+    assert sorted(rows(ngrams.score_bits(docs, model, order=3)), key=str) == [(k, pytest.approx(b)) if b is not None else (k, None) for k, b in bits]
+
+
+def test_equal_hashes_of_other_grams_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(ngrams, "FACTOR", 0)  # only the last letter counts
+    docs, refs = (spark.createDataFrame([(1, t)], "k long, text string") for t in ("abcdbcxbcab", "xbc"))
+    assert ngrams.first_of_each(*((c := ngrams.code_points(["abcdbcxbcab"])[0]), ngrams.gram_hashes(c, 3)), 3).tolist().__len__() == 9
+    refs_ = ngrams.References.of(refs.selectExpr("k AS key", "text AS t").toArrow(), 3)
+    code = ngrams.code_points(["abcdbcxbcab"])[0]
+    own, other = refs_.matches(code, np.arange(9), ngrams.gram_hashes(code, 3), 3)
+    assert own.tolist() == [6] and other.tolist() == [0]
+
+
 # ---- statistics
 
 

@@ -29,14 +29,14 @@ def test_edit_ratio_of_whole_texts(spark, tmp_path):
     data = items()
     at = folder(spark, tmp_path, benchmark=(data, "item_id long, text string"))
     ratio = {(i, j): edit_ratio(s, t) for i, s in data for j, t in data if i % 2 == 0 and j % 2 == 1 and s is not None and t is not None}
-    got = {(r["item_id"], r["old_key"]): r["ratio"] for r in plans.QUERIES["edit_ratio_pairs_whole"](spark, at).collect()}
+    got = {(r["item_id"], r["old_key"]): r["ratio"] for r in plans.QUERIES["edit_ratio_pairs"](spark, at).collect()}
     assert got == {k: pytest.approx(r, abs=1e-6) for k, r in ratio.items() if r <= 0.8}
     best = {}
     for i in {i for i, _ in ratio}:
         near = sorted((r, j) for (k, j), r in ratio.items() if k == i and r <= 0.8)
         if near and (len(near) == 1 or near[1][0] - near[0][0] >= 0.01):
             best[i] = near[0][1]
-    assert {r["item_id"]: r["old_key"] for r in plans.QUERIES["fuzzy_margin_whole"](spark, at).collect()} == best
+    assert {r["item_id"]: r["old_key"] for r in plans.QUERIES["fuzzy_margin"](spark, at).collect()} == best
 
 
 def test_collation_of_whole_texts_of_all_turns(spark, tmp_path):
@@ -54,7 +54,7 @@ def test_collation_of_whole_texts_of_all_turns(spark, tmp_path):
         texts = sorted({x for k, _, r, x in turns if (k, r) == (c, role) and x is not None})
         most = max((dice(s, t) for s in texts for t in texts if s < t), default=0.0)
         want[c, role] = (len(texts), pytest.approx(most, abs=1e-6), "single" if len(texts) == 1 else "variants" if most >= 0.5 else "mixed")
-    got = {(r["conv_id"], r["role"]): (r["variants"], r["most_alike"], r["status"]) for r in plans.QUERIES["locus_similarity_whole"](spark, at).collect()}
+    got = {(r["conv_id"], r["role"]): (r["variants"], r["most_alike"], r["status"]) for r in plans.QUERIES["locus_similarity"](spark, at).collect()}
     assert got == want
 
 
@@ -86,13 +86,13 @@ def test_mixture_of_models_of_all_labelled_documents(spark, tmp_path):
 
     good, bad = (model([t for i, t in docs if i < 24 and i % 2 == q]) for q in (1, 0))
     want = {i: (pytest.approx(-math.log2((2 ** -good(t) + 2 ** -bad(t)) / 2), abs=2e-5), "good" if good(t) <= bad(t) else "bad") for i, t in docs}
-    assert {r["doc_id"]: (r["mixture"], r["best"]) for r in plans.QUERIES["lm_mixture_documents"](spark, at).collect()} == want
+    assert {r["doc_id"]: (r["mixture"], r["best"]) for r in plans.QUERIES["lm_mixture"](spark, at).collect()} == want
 
 
 def test_nearest_of_all_vectors(spark, tmp_path):
     v = np.random.default_rng(1).normal(size=(90, 6)).astype(np.float32)
     at = folder(spark, tmp_path, embeddings=([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int"))
-    got = {(r["vec_id"], r["rank"]): r["other"] for r in plans.QUERIES["nearest_all_top3"](spark, at).collect()}
+    got = {(r["vec_id"], r["rank"]): r["ref_id"] for r in plans.QUERIES["nearest_refs_top3"](spark, at).collect()}
     x = v.astype(float)
     want = {}
     for q in range(0, 90, 20):

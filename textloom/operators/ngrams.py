@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,8 +46,7 @@ def gram_counts(docs: DataFrame, orders: list[int], keys: list[str] | None = Non
 
 def distinct_grams(texts: list[str], order: int) -> tuple[list[str], np.ndarray]:
     """Distinct n-grams of some texts and their counts; n-grams do not cross texts."""
-    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    code, lengths = code_points(texts)
     n = len(code) - order + 1
     if n <= 0:
         return [], np.zeros(0, dtype=np.int64)
@@ -71,40 +71,75 @@ def top_grams(docs: DataFrame, order: int, k: int, charset: Charset = LETTERS) -
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "gram")).cast("long"))
 
 
+def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of some texts, one text after the other, and the length of each."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), np.array([len(t) for t in texts], dtype=np.int64)
+
+
+def found_in(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of the wanted numbers in sorted keys; -1 where they are not."""
+    if not len(keys):
+        return np.full(len(wanted), -1, dtype=np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
 @dataclass
 class Counts:
-    """An interpolated character model: n-gram counts by order, contexts' totals, vocabulary."""
+    """An interpolated character model in sorted arrays.
+
+    An n-gram of order k is the number (place of its first k - 1 characters among those of order k - 1) * (letters + 1) +
+    (number of its last character), so any order and any alphabet fit in 64 bits; letters + 1 stands for the unseen.
+    """
 
-    order: int
     alpha: float
-    grams: dict[str, int]
-    contexts: dict[str, int]
-    vocabulary: frozenset[str]
-    total: int
-
-    def probability(self, context: str, char: str) -> float:
-        """P1 = (c + a) / (N + a (V + 1)); longer contexts that were seen refine it."""
-        p = (self.grams.get(char, 0) + self.alpha) / (self.total + self.alpha * (len(self.vocabulary) + 1))
-        for k in range(1, min(self.order, len(context) + 1)):
-            c = context[-k:]
-            seen = self.contexts.get(c, 0)
-            if seen:
-                p = (self.grams.get(c + char, 0) + self.alpha * p) / (seen + self.alpha)
-        return p
-
-    def bits(self, text: str) -> float:
-        """Bits for a character of the text; null for an empty one."""
-        if not text:
-            return float("nan")
-        text = "".join(c if c in self.vocabulary else UNSEEN for c in text)
-        cache: dict[str, float] = {}
-        total = 0.0
-        for i in range(len(text)):
-            window = text[max(0, i - self.order + 1) : i + 1]
-            if window not in cache:
-                cache[window] = float(np.log2(self.probability(window[:-1], window[-1])))
-            total += cache[window]
-        return -total / len(text)
+    letters: np.ndarray  # sorted code points
+    keys: list[np.ndarray]  # by order from 2 on: sorted n-gram numbers
+    n: list[np.ndarray]  # by order from 1 on: counts
+    followed: list[np.ndarray]  # by order from 1 on: how often each n-gram is followed by another letter
+
+    @classmethod
+    def of(cls, frame: pd.DataFrame, order: int, alpha: float) -> Counts:
+        """From a model table (order, gram, n, context_n)."""
+        letters, keys, counts, followed = np.zeros(0, dtype=np.uint32), [], [], []
+        for k in range(1, order + 1):
+            part = frame[frame["order"] == k]
+            grid = code_points(list(part["gram"]))[0].reshape(-1, k)
+            if k == 1:
+                letters = np.unique(grid)
+            key = np.searchsorted(letters, grid[:, 0])
+            for i in range(1, k):
+                key = key * (len(letters) + 1) + np.searchsorted(letters, grid[:, i])
+                key = found_in(keys[i - 1], key) if i < k - 1 else key
+            sort = np.argsort(key)
+            if k > 1:
+                keys.append(key[sort])
+            counts.append(part["n"].to_numpy(dtype=np.float64)[sort])
+            followed.append(part["context_n"].to_numpy(dtype=np.float64)[sort])
+        return cls(alpha, letters, keys, counts, followed)
+
+    def bits(self, texts: list[str]) -> np.ndarray:
+        """Bits for a character of each text; NaN for an empty one.
+
+        P1 = (c + a) / (N + a (V + 1)); longer contexts that were seen refine it, each order over the one below.
+        """
+        code, lengths = code_points(texts)
+        size = len(self.letters) + 1
+        place = np.arange(len(code)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        number = found_in(self.letters, code)
+        p = (np.append(self.n[0], 0.0)[number] + self.alpha) / (self.n[0].sum() + self.alpha * size)
+        before = number  # places of the n-grams of the order below that end at each character
+        for keys, n, followed in zip(self.keys, self.n[1:], self.followed):
+            prefix = np.append(-1, before[:-1])
+            prefix[place == 0] = -1
+            context = np.append(followed, 0.0)[prefix]
+            here = found_in(keys, np.where((prefix >= 0) & (number >= 0), prefix * size + number, -1))
+            p = np.where(context > 0, (np.append(n, 0.0)[here] + self.alpha * p) / (context + self.alpha), p)
+            before = here
+        totals = np.append(0.0, np.cumsum(np.log2(p)))
+        ends = np.cumsum(lengths)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return -(totals[ends] - totals[ends - lengths]) / lengths
 
 
 def fit_counts(docs: DataFrame, order: int = 5, charset: Charset = LETTERS) -> DataFrame:
@@ -116,23 +151,29 @@ def fit_counts(docs: DataFrame, order: int = 5, charset: Charset = LETTERS) -> D
 
 def score_bits(docs: DataFrame, model: DataFrame, key: str = "doc_id", order: int = 5, alpha: float = 1.0, charset: Charset = LETTERS) -> DataFrame:
     """Bits per character of each text under a model table. A model over BROADCAST_BYTES is joined instead of sent."""
-    size = model.agg(F.sum(F.octet_length("gram") + 64)).first()[0] or 0
-    return _score_sent(docs, model, key, order, alpha, charset) if size <= BROADCAST_BYTES else score_joined(docs, model, key, order, alpha, charset)
+    return _score_sent(docs, model, key, order, alpha, charset) if model.count() * 24 <= BROADCAST_BYTES else score_joined(docs, model, key, order, alpha, charset)
+
+
+def batches_of(batches: Iterator[pa.RecordBatch], column: str, characters: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that a column's texts have about so many bytes together, one row at least."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = (np.cumsum(sizes) - sizes) // characters
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)
 
 
 def _score_sent(docs: DataFrame, model: DataFrame, key: str, order: int, alpha: float, charset: Charset) -> DataFrame:
-    rows = model.collect()
-    shared = docs.sparkSession.sparkContext.broadcast(Counts(
-        order, alpha, {r["gram"]: r["n"] for r in rows}, {r["gram"]: r["context_n"] for r in rows if r["context_n"]},
-        frozenset(r["gram"] for r in rows if r["order"] == 1), sum(r["n"] for r in rows if r["order"] == 1),
-    ))
+    shared = docs.sparkSession.sparkContext.broadcast(Counts.of(model.toPandas(), order, alpha))
 
-    @F.pandas_udf("double")
-    def bits(texts: pd.Series) -> pd.Series:
-        return texts.map(shared.value.bits)
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_of(batches, "t"):
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(shared.value.bits(batch.column("t").to_pylist()), pa.float64(), from_pandas=True)], ["key", "bpc"])
 
-    b = F.nanvl(bits(only_letters("text", charset)), F.lit(None).cast("double"))
-    return docs.select(key, F.round(b, 6).alias("bpc"))
+    rows = docs.select(F.col(key).alias("key"), only_letters("text", charset).alias("t"))
+    return rows.mapInArrow(score, f"key {docs.schema[key].dataType.simpleString()}, bpc double").select(F.col("key").alias(key), F.round("bpc", 6).alias("bpc"))
 
 
 def score_joined(docs: DataFrame, model: DataFrame, key: str = "doc_id", order: int = 5, alpha: float = 1.0, charset: Charset = LETTERS) -> DataFrame:
@@ -169,37 +210,134 @@ def mixture_bits(bits: list[F.Column]) -> F.Column:
     return -F.log2(sum((F.pow(F.lit(2.0), -b) for b in bits[1:]), F.pow(F.lit(2.0), -bits[0])) / len(bits))
 
 
-def positions(docs: DataFrame, key: str, order: int, charset: Charset = LETTERS) -> DataFrame:
-    """(key, gram hash, place) of every n-gram of each text's letters."""
+#: Odd factor of the n-gram hash, a polynomial in 64 bits.
+FACTOR = 0x9E3779B97F4A7C15
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, t in zip(batch.column("key").to_pylist(), batch.column("t").to_pylist()):
-                n = max(0, len(t) - order + 1)
-                if n:
-                    yield pa.RecordBatch.from_arrays([pa.array([k] * n, batch.column("key").type), pa.array([t[i : i + order] for i in range(n)]), pa.array(np.arange(n))], ["key", "gram", "place"])
 
-    rows = docs.select(F.col(key).alias("key"), only_letters("text", charset).alias("t"))
-    return rows.mapInArrow(cut, f"key {docs.schema[key].dataType.simpleString()}, gram string, place long")
+def gram_hashes(code: np.ndarray, order: int) -> np.ndarray:
+    """A 64-bit number of the n-gram that begins at each place; those that run over the end are left out."""
+    n = max(0, len(code) - order + 1)
+    out, factor = np.zeros(n, dtype=np.uint64), np.uint64(FACTOR)
+    for k in range(order):
+        out = out * factor + code[k : k + n] + np.uint64(1)
+    return out ^ (out >> np.uint64(29))
+
+
+@dataclass
+class References:
+    """Texts whose n-grams are looked for: their letters, and the n-grams' hashes with where they begin."""
+
+    ids: pa.Array
+    code: np.ndarray
+    start: np.ndarray  # by text: where its letters begin
+    hashes: np.ndarray  # sorted
+    place: np.ndarray  # by hash: where the n-gram begins
+
+    @classmethod
+    def of(cls, table: pa.Table, order: int) -> References:
+        texts = table.column("t").to_pylist()
+        code, lengths = code_points(texts)
+        hashes = gram_hashes(code, order)
+        inside = np.repeat(np.cumsum(lengths), lengths)[: len(hashes)] - np.arange(len(hashes)) >= order
+        place = np.flatnonzero(inside)
+        sort = np.argsort(hashes[place], kind="stable")
+        ids = table.column("key").combine_chunks()
+        return cls(ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids, code, np.cumsum(lengths) - lengths, hashes[place][sort], place[sort])
+
+    def matches(self, code: np.ndarray, at: np.ndarray, hashes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place in code, place in the references) of every equal n-gram among those at `at`; equal letters, not only hashes."""
+        first, beyond = (np.searchsorted(self.hashes, hashes, side=x) for x in ("left", "right"))
+        hit = np.flatnonzero(beyond > first)
+        n = (beyond - first)[hit]
+        own = np.repeat(at[hit], n)
+        other = self.place[np.repeat(first[hit] - np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64), n) + np.arange(int(n.sum()))] if len(hit) else np.zeros(0, dtype=np.int64)
+        same = np.ones(len(own), dtype=bool)
+        for k in range(order):
+            same &= code[own + k] == self.code[other + k]
+        return own[same], other[same]
+
+
+def references_of(references: DataFrame, ref_key: str, order: int, charset: Charset):
+    """The references as a broadcast variable, or None if their letters need more than BROADCAST_BYTES."""
+    rows = references.select(F.col(ref_key).alias("key"), only_letters("text", charset).alias("t"))
+    size = rows.agg(F.sum(F.length("t").cast("long"))).first()[0] or 0
+    return references.sparkSession.sparkContext.broadcast(References.of(rows.toArrow(), order)) if size * 24 <= BROADCAST_BYTES else None
+
+
+def first_of_each(code: np.ndarray, hashes: np.ndarray, order: int) -> np.ndarray:
+    """Places of the first of each distinct n-gram; letters are compared wherever hashes are equal."""
+    sort = np.argsort(hashes, kind="stable")
+    equal = np.flatnonzero(hashes[sort][1:] == hashes[sort][:-1])
+    a, b = sort[equal], sort[equal + 1]
+    if all((code[a + k] == code[b + k]).all() for k in range(order)):
+        new = np.ones(len(sort), dtype=bool)
+        new[equal + 1] = False
+        return sort[new]
+    return np.unique(np.lib.stride_tricks.sliding_window_view(code, order), axis=0, return_index=True)[1]
+
+
+def positions(docs: DataFrame, key: str, order: int, charset: Charset = LETTERS) -> DataFrame:
+    """(key, gram, place) of every n-gram of each text's letters."""
+    rows = docs.select(F.col(key).alias("key"), only_letters("text", charset).alias("t")).filter(F.length("t") >= order)
+    return rows.select("key", "t", F.explode(F.sequence(F.lit(0), F.length("t") - order)).alias("place")).select("key", F.substring("t", F.col("place") + 1, F.lit(order)).alias("gram"), F.col("place").cast("long"))
 
 
 def copy_matches(docs: DataFrame, references: DataFrame, key: str, ref_key: str, order: int = 12, charset: Charset = LETTERS) -> DataFrame:
     """(key, ref, place, ref_place): places where a text and a reference have the same n-gram.
 
-    The references' n-grams are the smaller side; a Bloom filter of them, built by Spark, thins the texts' before the shuffle.
+    References of up to BROADCAST_BYTES are sent to the texts, of which nothing is shuffled; larger ones are joined.
     """
-    a = positions(docs, key, order, charset)
-    b = positions(references, ref_key, order, charset).select(F.col("key").alias("ref"), "gram", F.col("place").alias("ref_place"))
-    return a.join(b, "gram").select("key", "ref", "place", "ref_place")
+    shared = references_of(references, ref_key, order, charset)
+    if shared is None:
+        a = positions(docs, key, order, charset)
+        b = positions(references, ref_key, order, charset).select(F.col("key").alias("ref"), "gram", F.col("place").alias("ref_place"))
+        return a.join(b, "gram").select("key", "ref", "place", "ref_place")
+    kinds = docs.schema[key].dataType.simpleString(), references.schema[ref_key].dataType.simpleString()
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        refs = shared.value
+        for batch in batches_of(batches, "t"):
+            code, lengths = code_points(batch.column("t").to_pylist())
+            hashes, begin = gram_hashes(code, order), np.cumsum(lengths) - lengths
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            at = np.flatnonzero((begin + lengths)[row[: len(hashes)]] - np.arange(len(hashes)) >= order)
+            own, other = refs.matches(code, at, hashes[at], order)
+            ref = np.searchsorted(refs.start, other, side="right") - 1
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key").take(pa.array(row[own])), refs.ids.take(pa.array(ref)), pa.array(own - begin[row[own]]), pa.array(other - refs.start[ref])], ["key", "ref", "place", "ref_place"]
+            )
+
+    rows = docs.select(F.col(key).alias("key"), only_letters("text", charset).alias("t"))
+    return rows.mapInArrow(match, f"key {kinds[0]}, ref {kinds[1]}, place long, ref_place long")
 
 
 def copy_overlap(docs: DataFrame, references: DataFrame, key: str = "doc_id", ref_key: str = "item_id", order: int = 12, charset: Charset = LETTERS) -> DataFrame:
-    """Distinct n-grams of each text, how many any reference has, and their share (0 for short texts)."""
-    own = positions(docs, key, order, charset).select("key", "gram").distinct()
-    known = positions(references, ref_key, order, charset).select("gram").distinct().withColumn("hit", F.lit(1))
-    sums = own.join(known, "gram", "left").groupBy("key").agg(F.count("*").alias("grams"), F.sum(F.coalesce("hit", F.lit(0))).alias("shared"))
-    rows = docs.select(F.col(key).alias("key")).distinct().join(sums, "key", "left").na.fill(0, ["grams", "shared"])
-    return rows.select(F.col("key").alias(key), "grams", "shared", F.round(F.when(F.col("grams") > 0, F.col("shared") / F.col("grams")).otherwise(0.0), 6).alias("overlap"))
+    """Distinct n-grams of each text, how many any reference has, and their share (0 for short texts). Rows that repeat a key are texts of their own."""
+    shared = references_of(references, ref_key, order, charset)
+    rows = docs.select(F.col(key).alias("key"), only_letters("text", charset).alias("t"))
+    if shared is None:
+        rows = rows.withColumn("row", F.monotonically_increasing_id())
+        own = rows.withColumn("text", F.col("t")).transform(lambda d: positions(d, "row", order, charset)).select(F.col("key").alias("row"), "gram").distinct()
+        known = positions(references, ref_key, order, charset).select("gram").distinct().withColumn("hit", F.lit(1))
+        sums = own.join(known, "gram", "left").groupBy("row").agg(F.count("*").alias("grams"), F.sum(F.coalesce("hit", F.lit(0))).alias("shared"))
+        counted = rows.select("row", "key").join(sums, "row", "left").na.fill(0, ["grams", "shared"])
+    else:
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            refs = shared.value
+            for batch in batches_of(batches, "t"):
+                grams, hits = [], []
+                for t in batch.column("t").to_pylist():
+                    code, _ = code_points([t])
+                    hashes = gram_hashes(code, order)
+                    at = first_of_each(code, hashes, order) if len(hashes) else np.zeros(0, dtype=np.int64)
+                    grams.append(len(at))
+                    hits.append(len(np.unique(refs.matches(code, at, hashes[at], order)[0])))
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(grams, pa.int64()), pa.array(hits, pa.int64())], ["key", "grams", "shared"])
+
+        counted = rows.mapInArrow(count, f"key {docs.schema[key].dataType.simpleString()}, grams long, shared long")
+    share = F.when(F.col("grams") > 0, F.col("shared") / F.col("grams")).otherwise(0.0)
+    return counted.select(F.col("key").alias(key), "grams", "shared", F.round(share, 6).alias("overlap"))
 
 
 def copy_runs(docs: DataFrame, references: DataFrame, key: str = "doc_id", ref_key: str = "item_id", order: int = 12, charset: Charset = LETTERS) -> DataFrame:

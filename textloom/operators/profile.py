@@ -59,6 +59,13 @@ def character_features(docs: DataFrame, key: str = "doc_id", charset: Charset =
     return docs.select(key, _profiles(only_letters("text", charset)).alias("p")).select(key, "p.*")
 
 
+def whole_profile(docs: DataFrame, keep: list[str], charset: Charset = LETTERS) -> DataFrame:
+    """keep, characters, letters, entropy, unique_ratio and mattr of each text, in one pass over it."""
+    letters = only_letters("text", charset)
+    rows = docs.select(*keep, F.length(F.coalesce("text", F.lit(""))).cast("long").alias("characters"), letters.alias("l"))
+    return rows.select(*keep, "characters", F.length("l").cast("long").alias("letters"), _profiles("l").alias("p")).select(*keep, "characters", "letters", "p.*")
+
+
 def segment_lengths(text: Column, charset: Charset, ends: str) -> Column:
     """Sorted letter counts of a text's segments; segments without letters are dropped."""
     lengths = F.transform(F.split(F.coalesce(text, F.lit("")), ends), lambda s: F.length(only_letters(s, charset)).cast("double"))

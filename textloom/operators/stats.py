@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import cosine, squared_distance
+from ..functions.arrays import squared_distance
 
 #: The factors that make MAD and IQR estimate a normal deviation.
 MAD, IQR = 1.4826, 1.349
@@ -141,40 +141,46 @@ def nearest(rows: DataFrame, references: DataFrame, key: str, ref_key: str, vect
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def nearest_all(queries: DataFrame, rows: DataFrame, key: str, other: str, vector: str, k: int, block: int = 4096) -> DataFrame:
+def nearest_all(queries: DataFrame, rows: DataFrame, key: str, other: str, vector: str, k: int, block: int = 4096, within: str | None = None, cosine: bool = False) -> DataFrame:
     """The k rows closest to each query, of all rows but itself, smaller id first among equals.
 
-    Queries are sent to the executors in blocks; each partition of rows keeps k candidates a query, and the best of all partitions stay.
+    Queries are sent to the executors in blocks; each partition of rows keeps k candidates a query, by matrix products and then
+    exactly, and the best of all partitions stay. With `within` only rows of the query's group count; with `cosine` the
+    distance is one minus the cosine, and vectors without length have none.
     """
     kind = rows.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, {other} {kind}, distance double"
-    asked = queries.filter(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("x"))
+    columns = [F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("x"), (F.col(within) if within else F.lit(0)).cast("string").alias("group")]
+    asked, others = (d.filter(F.col(vector).isNotNull() & (F.col(within).isNotNull() if within else F.lit(True))).select(*columns) for d in (queries, rows))
     blocks = max(1, -(-asked.count() // block))
     found = None
     for b in range(blocks):
         own = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toPandas()
         if not len(own):
             continue
-        shared = rows.sparkSession.sparkContext.broadcast((own["id"].to_numpy(), np.stack(own["x"].to_numpy())))
+        shared = rows.sparkSession.sparkContext.broadcast((own["id"].to_numpy(), unit(own["x"]) if cosine else np.stack(own["x"]), own["group"].to_numpy()))
 
         def search(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, x = shared.value
+            ids, x, groups = shared.value
             best = None
             for f in frames:
-                for at in range(0, len(f), 512):
-                    part = f.iloc[at : at + 512]
-                    y, names = np.stack(part["y"].to_numpy()), part["id"].to_numpy()
-                    for q in range(0, len(ids), 64):
-                        d = np.sqrt(((x[q : q + 64, None] - y[None]) ** 2).sum(-1)).round(9)
-                        i, j = np.nonzero(ids[q : q + 64, None] != names[None])
-                        new = pd.DataFrame({key: ids[q + i], other: names[j], "distance": d[i, j]})
-                        new = new.sort_values([key, "distance", other]).groupby(key).head(k)
-                        best = new if best is None else pd.concat([best, new])
+                for at in range(0, len(f), 1024):
+                    part = f.iloc[at : at + 1024]
+                    y, names, of = unit(part["x"]) if cosine else np.stack(part["x"].to_numpy()), part["id"].to_numpy(), part["group"].to_numpy()
+                    rough = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T
+                    rough[(ids[:, None] == names[None]) | (groups[:, None] != of[None]) | np.isnan(rough)] = np.inf
+                    keep = min(k + 8, len(part))
+                    near = np.argpartition(rough, keep - 1, axis=1)[:, :keep]
+                    i, j = np.nonzero(np.isfinite(np.take_along_axis(rough, near, axis=1)))
+                    j = near[i, j]
+                    d = 1 - (x[i] * y[j]).sum(1) if cosine else np.sqrt(((x[i] - y[j]) ** 2).sum(1))
+                    new = pd.DataFrame({key: ids[i], other: names[j], "distance": d.round(9)})
+                    best = new if best is None else pd.concat([best, new])
                     best = best.sort_values([key, "distance", other]).groupby(key).head(k)
-            if best is not None:
+            if best is not None and len(best):
                 yield best
 
-        one = rows.filter(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("y")).mapInPandas(search, schema)
+        one = others.mapInPandas(search, schema)
         found = one if found is None else found.unionAll(one)
     if found is None:
         return rows.sparkSession.createDataFrame([], schema + ", rank int")
@@ -182,6 +188,13 @@ def nearest_all(queries: DataFrame, rows: DataFrame, key: str, other: str, vecto
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def unit(vectors: pd.Series) -> np.ndarray:
+    """Vectors over their lengths; NaN where there is none."""
+    x = np.stack(vectors.to_numpy())
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
 def assign(rows: DataFrame, centers: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     """(key, label, distance) of the closest centre; centres are one row a label, a bounded set."""
     pairs = rows.crossJoin(F.broadcast(centers)) if centers.limit(10_001).count() <= 10_000 else None
@@ -192,12 +205,6 @@ def assign(rows: DataFrame, centers: DataFrame, key: str, vector: str, label: st
     return best.select(key, F.col("b.l").alias(label), F.round("b.d", 6).alias("distance"))
 
 
-def cosine_to(rows: DataFrame, references: DataFrame, key: str, ref_key: str, vector: str) -> DataFrame:
-    """Cosine similarity of rows and references with the same label (an equi-join, then arithmetic)."""
-    b = references.select("label", F.col(ref_key).alias("other"), F.col(vector).alias("y"))
-    return rows.join(b, "label").select(key, "other", F.round(cosine(F.col(vector), F.col("y")), 6).alias("cosine"))
-
-
 def two_means(points: list[tuple[int, list[float]]], rounds: int = 100) -> dict[int, int]:
     """Two clusters of a few group means: the farthest pair starts, the smaller key's cluster is 0; one cluster if
     there are fewer than 6 points or a cluster has fewer than 3."""

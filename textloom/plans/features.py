@@ -22,5 +22,5 @@ def document_features(spark: SparkSession, folder: str) -> DataFrame:
     """Characters, letters and entropy of each document, with the share of good documents at least as long."""
     docs = read(spark, folder, "documents")
     good = docs.join(read(spark, folder, "labels").filter("quality = 1"), "doc_id").select("n_chars")
-    rows = profile.character_features(docs).join(profile.letter_stats(docs), "doc_id").join(stats.empirical_share(docs.select("doc_id", "n_chars"), good, "n_chars"), "doc_id")
+    rows = stats.empirical_share(profile.whole_profile(docs, ["doc_id", "n_chars"]), good, "n_chars")
     return rows.select("doc_id", "characters", "letters", (F.round("entropy", 6) + 0).alias("entropy"), F.round("share", 6).alias("share"), stats.band(F.col("share")).alias("band"))

@@ -11,7 +11,7 @@ from .registry import query
 
 # ---- vectors
 
-#: References are a stated set: vectors whose id is divisible by this.
+#: Queries of a search are a stated set: vectors whose id is divisible by this ask, all vectors answer.
 EVERY = 20
 VEC_SQL = "(SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
 
@@ -27,32 +27,24 @@ def covariance_shrunk(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""
 WITH e AS {VEC_SQL}, d AS (
-  SELECT a.vec_id, b.vec_id AS ref_id, round(list_distance(a.v, b.v), 9) AS distance FROM e a, e b WHERE b.vec_id % {EVERY} = 0),
+  SELECT a.vec_id, b.vec_id AS ref_id, round(list_distance(a.v, b.v), 9) AS distance FROM e a, e b WHERE a.vec_id % {EVERY} = 0 AND a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, ref_id) AS rank FROM d)
 SELECT vec_id, ref_id, round(distance, 6) AS distance, rank FROM r WHERE rank <= 3""")
 def nearest_refs_top3(spark: SparkSession, folder: str) -> DataFrame:
     e = read(spark, folder, "embeddings")
-    refs = e.filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("ref_id"), "embedding")
-    return stats.nearest(e, refs, "vec_id", "ref_id", "embedding", 3).withColumn("distance", F.round("distance", 6))
+    return stats.nearest_all(e.filter(F.col("vec_id") % EVERY == 0), e, "vec_id", "ref_id", "embedding", 3).withColumn("distance", F.round("distance", 6))
 
 
 @query(f"""
 WITH e AS {VEC_SQL}, d AS (
-  SELECT a.vec_id, b.vec_id AS other, round(list_distance(a.v, b.v), 9) AS distance FROM e a, e b WHERE a.vec_id % {EVERY} = 0 AND a.vec_id <> b.vec_id),
+  SELECT a.vec_id, b.vec_id AS other, round(1 - list_cosine_similarity(a.v, b.v), 9) AS distance FROM e a JOIN e b ON a.label = b.label WHERE a.vec_id % {EVERY} = 0 AND a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, other) AS rank FROM d)
-SELECT vec_id, other, round(distance, 6) AS distance, rank FROM r WHERE rank <= 3""")
-def nearest_all_top3(spark: SparkSession, folder: str) -> DataFrame:
-    """Ids divisible by EVERY ask, all other vectors answer."""
-    e = read(spark, folder, "embeddings")
-    return stats.nearest_all(e.filter(F.col("vec_id") % EVERY == 0), e, "vec_id", "other", "embedding", 3).withColumn("distance", F.round("distance", 6))
-
-
-@query(f"""
-WITH e AS {VEC_SQL}
-SELECT a.vec_id, b.vec_id AS other, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM e a JOIN e b ON a.label = b.label WHERE b.vec_id % {EVERY} = 0""")
+SELECT vec_id, other, round(1 - distance, 6) AS cosine, rank FROM r WHERE rank <= 5""")
 def cosine_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """The five vectors of the same label that are most alike in direction."""
     e = read(spark, folder, "embeddings")
-    return stats.cosine_to(e, e.filter(F.col("vec_id") % EVERY == 0), "vec_id", "vec_id", "embedding")
+    near = stats.nearest_all(e.filter(F.col("vec_id") % EVERY == 0), e, "vec_id", "other", "embedding", 5, within="label", cosine=True)
+    return near.select("vec_id", "other", F.round(1 - F.col("distance"), 6).alias("cosine"), "rank")
 
 
 CENTROID_SQL = f"""
@@ -136,7 +128,7 @@ def witness_inherit(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-WITH k AS (SELECT DISTINCT conv_id, role, left(text, 60) AS t FROM conversations WHERE text IS NOT NULL AND turn < 6),
+WITH k AS (SELECT DISTINCT conv_id, role, text AS t FROM conversations WHERE text IS NOT NULL),
 b AS (SELECT conv_id, role, t, unnest(list_transform(range(1, length(t)), lambda i: substring(t, i, 2))) AS g FROM k),
 c AS (SELECT conv_id, role, t, g, count(*) AS n FROM b GROUP BY ALL),
 p AS (SELECT a.conv_id, a.role, a.t AS x, b.t AS y FROM k a JOIN k b ON a.conv_id = b.conv_id AND a.role = b.role AND a.t < b.t),
@@ -146,45 +138,13 @@ SELECT conv_id, role, count(*) AS variants, round(coalesce(any_value(m), 0), 6)
   CASE WHEN count(*) = 1 THEN 'single' WHEN any_value(m) >= 0.5 THEN 'variants' ELSE 'mixed' END AS status
 FROM k LEFT JOIN d USING (conv_id, role) GROUP BY conv_id, role""")
 def locus_similarity(spark: SparkSession, folder: str) -> DataFrame:
-    """Openings of each role's early turns in a conversation, collated like witnesses of one place."""
-    rows = read(spark, folder, "conversations").filter("turn < 6").select("conv_id", "role", F.left("text", F.lit(60)).alias("t"))
-    return annotate.collate(rows, ["conv_id", "role"], "t")
-
-
-@query()
-def locus_similarity_whole(spark: SparkSession, folder: str) -> DataFrame:
-    """Whole texts of all turns of each role in a conversation, collated."""
+    """Whole texts of all turns of each role in a conversation, collated like witnesses of one place."""
     return annotate.collate_shared(read(spark, folder, "conversations").select("conv_id", "role", F.col("text").alias("t")), ["conv_id", "role"], "t")
 
 
 # ---- benchmark items as blocks of two versions
 
-OPENING = 80
 NEW, OLD = "item_id % 2 = 0", "item_id % 2 = 1"
-_PAIRS_SQL = f"""
-WITH t AS (SELECT item_id, left(regexp_replace(text, '[^ -~]', '', 'g'), {OPENING}) AS t FROM benchmark WHERE text IS NOT NULL),
-p AS (SELECT a.item_id, b.item_id AS old_key, CASE WHEN greatest(length(a.t), length(b.t)) = 0 THEN 0 ELSE levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t))::DOUBLE END AS ratio
-  FROM t a, t b WHERE a.item_id % 2 = 0 AND b.item_id % 2 = 1)
-"""
-
-
-def _openings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    # ASCII only: DuckDB's edit distance counts bytes
-    rows = read(spark, folder, "benchmark").select("item_id", F.left(F.regexp_replace("text", "[^ -~]", ""), F.lit(OPENING)).alias("t"), F.lit("item").alias("kind"))
-    return rows.filter(NEW), rows.filter(OLD)
-
-
-@query(f"{_PAIRS_SQL} SELECT item_id, old_key, round(ratio, 6) AS ratio FROM p WHERE ratio <= 0.8")
-def edit_ratio_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = reconcile.fuzzy_pairs(*_openings(spark, folder), "kind", "item_id", "t", 0.8)
-    return pairs.withColumn("ratio", F.round("ratio", 6))
-
-
-@query(f"""{_PAIRS_SQL}, r AS (SELECT *, row_number() OVER w AS rank, lead(ratio) OVER w - ratio AS gap FROM p WHERE ratio <= 0.8 WINDOW w AS (PARTITION BY item_id ORDER BY ratio, old_key))
-SELECT item_id, old_key, round(ratio, 6) AS ratio, round(gap, 6) AS gap FROM r WHERE rank = 1 AND coalesce(gap, 1) >= 0.01""")
-def fuzzy_margin(spark: SparkSession, folder: str) -> DataFrame:
-    """Each even item's closest odd one, where no other comes within a hundredth of it."""
-    return reconcile.best_matches(reconcile.fuzzy_pairs(*_openings(spark, folder), "kind", "item_id", "t", 0.8), "item_id", 0.01)
 
 
 def _items(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -193,15 +153,15 @@ def _items(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 @query()
-def edit_ratio_pairs_whole(spark: SparkSession, folder: str) -> DataFrame:
+def edit_ratio_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Whole texts with all their characters; DuckDB's edit distance counts bytes, so there is no SQL."""
     pairs = reconcile.fuzzy_pairs(*_items(spark, folder), "kind", "item_id", "t", 0.8)
     return pairs.withColumn("ratio", F.round("ratio", 6))
 
 
 @query()
-def fuzzy_margin_whole(spark: SparkSession, folder: str) -> DataFrame:
-    """fuzzy_margin of whole texts."""
+def fuzzy_margin(spark: SparkSession, folder: str) -> DataFrame:
+    """Each even item's closest odd one, by whole texts, where no other comes within a hundredth of it."""
     return reconcile.best_matches(reconcile.fuzzy_pairs(*_items(spark, folder), "kind", "item_id", "t", 0.8), "item_id", 0.01)
 
 

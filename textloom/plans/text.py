@@ -155,25 +155,14 @@ def ngram_alpha_cv(spark: SparkSession, folder: str) -> DataFrame:
     return out.join(n, "item_id").groupBy("alpha").agg(F.round(F.sum(F.col("bpc") * F.col("n")) / F.sum("n"), 5).alias("bpc"))
 
 
-_GOOD = f"SELECT {LETTERS_SQL} AS t FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND doc_id % 10 = 1"
-_BAD = f"SELECT {LETTERS_SQL} AS t FROM documents JOIN labels USING (doc_id) WHERE quality = 0"
-_ITEMS = f"SELECT item_id, {LETTERS_SQL} AS t FROM benchmark"
+_KNOWN = f"SELECT {LETTERS_SQL} AS t FROM documents JOIN labels USING (doc_id) WHERE quality = "
+_DOCS = f"SELECT doc_id, {LETTERS_SQL} AS t FROM documents"
 
 
 @query(f"""
-WITH a AS ({_bits_sql(_GOOD, _ITEMS, "item_id", 3, 1.0, "a")}), b AS ({_bits_sql(_BAD, _ITEMS, "item_id", 3, 1.0, "b")})
-SELECT item_id, round(-log2((pow(2.0, -a) + pow(2.0, -b)) / 2), 5) AS mixture, CASE WHEN a <= b THEN 'good' ELSE 'bad' END AS best FROM a JOIN b USING (item_id)""")
+WITH a AS ({_bits_sql(_KNOWN + "1", _DOCS, "doc_id", 3, 1.0, "a")}), b AS ({_bits_sql(_KNOWN + "0", _DOCS, "doc_id", 3, 1.0, "b")})
+SELECT doc_id, round(-log2((pow(2.0, -a) + pow(2.0, -b)) / 2), 5) AS mixture, CASE WHEN a <= b THEN 'good' ELSE 'bad' END AS best FROM a JOIN b USING (doc_id)""")
 def lm_mixture(spark: SparkSession, folder: str) -> DataFrame:
-    """Benchmark items under a model of good and one of bad documents, their mixture and the better one."""
-    docs = read(spark, folder, "documents").join(read(spark, folder, "labels"), "doc_id")
-    items = read(spark, folder, "benchmark")
-    good = ngrams.score_bits(items, ngrams.fit_counts(docs.filter("quality = 1 and doc_id % 10 = 1"), 3), "item_id", 3).withColumnRenamed("bpc", "a")
-    bad = ngrams.score_bits(items, ngrams.fit_counts(docs.filter("quality = 0"), 3), "item_id", 3).withColumnRenamed("bpc", "b")
-    return good.join(bad, "item_id").select("item_id", F.round(ngrams.mixture_bits([F.col("a"), F.col("b")]), 5).alias("mixture"), F.when(F.col("a") <= F.col("b"), "good").otherwise("bad").alias("best"))
-
-
-@query()
-def lm_mixture_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Every document under a model of all good and one of all bad labelled documents, their mixture and the better one."""
     docs = read(spark, folder, "documents")
     known = docs.join(read(spark, folder, "labels"), "doc_id")
