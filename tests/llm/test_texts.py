@@ -350,8 +350,8 @@ def test_language_of_odd_rows(spark):
 
 def test_kernel_counts_shared_grams():
     texts = ["abc abd", "Abd!", "xyz", ""]
-    codes, seen = langid.every_letter(), np.zeros(1 << langid.BITS, dtype=np.uint8)
-    m = langid.landmark_model([langid.present_grams(langid.letter_codes(t, codes), seen) for t in texts[:3]], codes)
+    codes = langid.every_letter()
+    m = langid.landmark_model([langid.present_grams(langid.letter_codes(t, codes)) for t in texts[:3]], codes)
     k, lettered = langid.kernel(m, texts)
 
     def grams(t):

@@ -30,7 +30,8 @@ class Model:
 
     codes: np.ndarray  # by code point: 0 not a letter, else its own code
     columns: np.ndarray  # by n-gram number: its column in the landmark matrix, or -1
-    landmarks: np.ndarray  # n-grams x landmarks, 0 or 1 over the landmark's norm
+    landmarks: np.ndarray  # n-grams x landmarks: whether the landmark has the n-gram
+    norms: np.ndarray  # by landmark: root of its number of n-grams
     weights: np.ndarray | None = None  # landmarks x languages
     bias: np.ndarray | None = None
     languages: tuple[str, ...] = ()
@@ -45,16 +46,16 @@ def letter_codes(text: str, codes: np.ndarray) -> np.ndarray:
     return c[keep].astype(np.uint64)
 
 
-def present_grams(c: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """Numbers of the distinct n-grams of 1 to 3 codes; `seen` is a scratch array of zeros and is left so."""
-    grams = c
+def present_grams(c: np.ndarray) -> np.ndarray:
+    """Numbers of the distinct n-grams of 1 to 3 codes, in order."""
+    grams, found = c, []
     for n, factor in enumerate(SPREAD):
         if n:
             grams = grams[:-1] << np.uint64(21) | c[n:]
-        seen[(grams * np.uint64(factor)) >> np.uint64(64 - BITS)] = 1
-    found = np.flatnonzero(seen)
-    seen[found] = 0
-    return found
+        found.append((grams * np.uint64(factor) >> np.uint64(64 - BITS)).astype(np.uint32))
+    every = np.concatenate(found)
+    every.sort()
+    return every[np.append(True, every[1:] != every[:-1])[: len(every)]].astype(np.int64)
 
 
 def every_letter() -> np.ndarray:
@@ -67,30 +68,43 @@ def landmark_model(grams: list[np.ndarray], codes: np.ndarray) -> Model:
     every = np.unique(np.concatenate(grams))
     columns = np.full(1 << BITS, -1, dtype=np.int32)
     columns[every] = np.arange(len(every))
-    matrix = np.zeros((len(every), len(grams)), dtype=np.float32)
+    matrix = np.zeros((len(every), len(grams)), dtype=np.uint8)
     for i, g in enumerate(grams):
-        matrix[columns[g], i] = 1 / np.sqrt(len(g))
-    return Model(codes, columns, matrix)
+        matrix[columns[g], i] = 1
+    return Model(codes, columns, matrix, np.sqrt([len(g) for g in grams]).astype(np.float32))
 
 
 def kernel(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Normalised presence kernel of texts against landmarks, and whether each text has letters."""
-    seen = np.zeros(len(model.columns), dtype=np.uint8)
-    rows = np.zeros((len(texts), model.landmarks.shape[0]), dtype=np.float32)
-    lettered = np.zeros(len(texts), dtype=bool)
+    """Normalised presence kernel of texts against landmarks, and whether each text has letters.
+
+    One matrix product of the texts and the landmarks, over the n-grams that some text has.
+    """
+    held, lettered = [], np.zeros(len(texts), dtype=bool)
     for i, t in enumerate(texts):
         c = letter_codes(t, model.codes)
         lettered[i] = bool((c > 0).any())
-        if lettered[i]:
-            g = present_grams(c, seen)
-            at = model.columns[g]
-            rows[i, at[at >= 0]] = 1 / np.sqrt(len(g))
-    return rows @ model.landmarks, lettered
+        held.append(present_grams(c) if lettered[i] else np.zeros(0, dtype=np.int64))
+    at = [model.columns[g] for g in held]
+    at = [a[a >= 0] for a in at]
+    used = np.zeros(len(model.landmarks), dtype=bool)
+    for a in at:
+        used[a] = True
+    used = np.flatnonzero(used)
+    place = np.zeros(len(model.landmarks), dtype=np.int32)
+    place[used] = np.arange(len(used))
+    rows = np.zeros((len(texts), len(used)), dtype=np.float32)
+    for i, (a, g) in enumerate(zip(at, held)):
+        rows[i, place[a]] = 1 / np.sqrt(max(1, len(g)))
+    return rows @ model.landmarks[used].astype(np.float32) / model.norms, lettered
 
 
 def fit(model: Model, k: np.ndarray, labels: list[str]) -> Model:
     """Kernel ridge regression on Nyström features, one regression a language against the rest."""
-    kmm = (model.landmarks.T @ model.landmarks).astype(np.float64)
+    kmm = np.zeros((len(model.norms), len(model.norms)))
+    for at in range(0, len(model.landmarks), 1 << 15):
+        part = model.landmarks[at : at + (1 << 15)].astype(np.float64)
+        kmm += part.T @ part
+    kmm /= np.outer(model.norms, model.norms)
     values, vectors = np.linalg.eigh(kmm)
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
@@ -103,7 +117,7 @@ def fit(model: Model, k: np.ndarray, labels: list[str]) -> Model:
     centre = (balance[:, None] * y).sum(axis=0) / balance.sum()
     x = phi - mean
     w = np.linalg.solve((x * balance[:, None]).T @ x + RIDGE * len(labels) * np.eye(x.shape[1]), (x * balance[:, None]).T @ (y - centre))
-    return Model(model.codes, model.columns, model.landmarks, (root @ w).astype(np.float32), (centre - mean @ w).astype(np.float32), languages)
+    return Model(model.codes, model.columns, model.landmarks, model.norms, (root @ w).astype(np.float32), (centre - mean @ w).astype(np.float32), languages)
 
 
 def remainder(id_col: str, n: int) -> F.Column:
@@ -131,9 +145,8 @@ def train(docs: DataFrame, usable: F.Column, id_col: str = "doc_id", text_col: s
     codes = docs.sparkSession.sparkContext.broadcast(every_letter())
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << BITS, dtype=np.uint8)
         for part in parts(batches):
-            found = [present_grams(letter_codes(t, codes.value), seen) for t in part.column("text").to_pylist()]
+            found = [present_grams(letter_codes(t, codes.value)) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([g.astype(np.int32) for g in found], pa.list_(pa.int32()))], ["g"])
 
     drawn = rows.filter(below(LANDMARKS)).orderBy("draw", "lang", "text").select("text").mapInArrow(grams, "g array<int>").collect()
