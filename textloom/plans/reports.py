@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import reports, stats, wording
+from ..operators import clusters, reports, stats, wording
 from ..session import read
 from .registry import query
 
@@ -197,6 +197,16 @@ def exit_codes(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "orders").groupBy("o_custkey").agg(reports.exit_code(*counts).alias("code"))
 
 
+@query()
+def cluster_choice(spark: SparkSession, folder: str) -> DataFrame:
+    """Two to six clusters of the mean vectors of labels and eighths of their ids; the choice by silhouette."""
+    rows = read(spark, folder, "embeddings").withColumn("part", (F.col("label") * 8 + F.col("vec_id") % 8).cast("long"))
+    points = clusters.clipped(stats.centroids(rows, "embedding", "part"), "part", "centroid").persist()
+    found = clusters.choices(points, "part")
+    points.unpersist()
+    return found
+
+
 # ---- single texts
 
 

@@ -73,7 +73,10 @@ def silhouette(spark: SparkSession, folder: str) -> DataFrame:
 def kmeans_2(spark: SparkSession, folder: str) -> DataFrame:
     """Two clusters of the labels' mean vectors; labels are few, so the driver splits their means."""
     means = stats.centroids(read(spark, folder, "embeddings"), "embedding", "label")
-    found = stats.two_means([(r["label"], r["centroid"]) for r in means.orderBy("label").limit(10_000).collect()])
+    rows = means.orderBy("label").take(10_001)
+    if len(rows) > 10_000:
+        raise ValueError("kmeans_2 takes 10,000 labels at most; use clusters.clustered for more")
+    found = stats.two_means([(r["label"], r["centroid"]) for r in rows])
     return spark.createDataFrame(sorted(found.items()), "label int, cluster int")
 
 
