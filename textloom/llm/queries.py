@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, exact_dedup, langid, pieces, pii, quality, sharding, simhash, substring_dedup
+from . import chat, decontaminate, embeddings, exact_dedup, filter_audit, langid, pieces, pii, quality, sharding, simhash, spelling, substring_dedup
 from .common import table
 
 
@@ -54,9 +54,22 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_pieces, op4_langid, op5_pii, op6_simhash, op7_exact_dedup, op8_sharding, op9_chat, op10_substrings)}
+    first = (op1_quality, op2_decontaminate, op3_pieces, op4_langid, op5_pii, op6_simhash, op7_exact_dedup, op8_sharding, op9_chat, op10_substrings)
+    return {f.__name__: f for f in (*first, op11_filter_audit, op12_embedding_dedup, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.ORACLE, "op9_chat": chat.ORACLE, "op10_substrings": substring_dedup.ORACLE}
+    return {"op7_exact_dedup": exact_dedup.ORACLE, "op9_chat": chat.ORACLE, "op10_substrings": substring_dedup.ORACLE, "op11_filter_audit": filter_audit.ORACLE}
