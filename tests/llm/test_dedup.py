@@ -61,6 +61,26 @@ def test_exact_dedup_of_a_hot_text_and_a_shared_beginning(spark):
     assert ordered(rows(exact_dedup.exact_dedup(frame))) == ordered(brute_exact(docs))
 
 
+def test_exact_dedup_takes_ids_of_any_kind(spark):
+    """String ids, and the least long, also where a text is hot and its pieces' runs are merged."""
+    docs = [(f"d{i:04}", "hot text " * 9 + " " * (i % 3)) for i in range(200)] + [(f"e{i:04}", f"own {i}") for i in range(60)]
+    got = rows(exact_dedup.exact_dedup(spark.createDataFrame(docs, "doc_id string, text string").repartition(6)))
+    assert len(got) == 260 and {r[1] for r in got if r[0].startswith("d")} == {"d0002"}
+    least = [(-(2**63) + i, "hot text") for i in range(200)] + [(i, f"own {i}") for i in range(60)]
+    got = rows(exact_dedup.exact_dedup(spark.createDataFrame(least, DOC).repartition(6)))
+    assert ordered(got) == ordered(brute_exact(least))
+
+
+@pytest.mark.parametrize("name", ["kept_id", "KEPT_ID", "__id", "__first", "id", "first", "node"])
+def test_dropping_takes_columns_of_any_name(spark, name):
+    from textloom.llm import near
+
+    docs = spark.createDataFrame([(1, "a b c d e f", 7), (2, "a b c d e\tf", 8), (3, "x", 9)], f"doc_id long, text string, `{name}` int")
+    for drop in (exact_dedup.drop_exact_duplicates, simhash.drop_near_duplicates, near.drop_near_copies):
+        got = drop(docs)
+        assert got.columns == docs.columns and ordered(r[0] for r in rows(got)) == [1, 3]
+
+
 def test_exact_dedup_shuffles_texts_once(spark):
     frame = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id % 2900) AS text")
     plan = exact_dedup.exact_dedup(frame)._jdf.queryExecution().executedPlan().toString()

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import materialize, shuffle_partitions, unused
 
 WHITESPACE = " \t\n\x0b\f\r"
 #: Characters of a text in a sampled splitter.
@@ -72,10 +72,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         keep, size = F.col("first.id"), F.col("size")
     else:
         rows = materialize(rows.select("id", "piece", "new", "text_sha256", "first", "size"), "exact-runs")
-        order = F.struct("first.points", F.coalesce(-F.col("first.id"), F.lit(-(2**63) + 1)).alias("smallest"), "first.id")
+        order = F.struct((-F.col("first.points")).alias("fewer"), F.col("first.id").isNull().alias("none"), F.col("first.id").alias("id"))
         merged = (
             rows.filter("new and piece > 0").groupBy("text_sha256")
-            .agg(F.max(order).alias("best"), F.sum("size").alias("whole_size"))
+            .agg(F.min(order).alias("best"), F.sum("size").alias("whole_size"))
         )
         whole = merged.select("text_sha256", F.struct("best", "whole_size").alias("whole"))
         if merged.count() <= 2 * ranges / HOT_SHARE:  # as many as hot has, unless many texts share a digest
@@ -88,9 +88,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns. Rows that repeat an id stay or go together."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__id"))
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    """The rows of docs that exact_dedup keeps, with all their columns, whatever their names.
+
+    Null texts, long texts and ties are as there. Rows that repeat an id stay or go together; of null ids alone all stay. An empty
+    table gives an empty table.
+    """
+    kept_id = unused(docs, "kept_id")
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias(kept_id))
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(kept_id)), "left_semi")
 
 
 ORACLE = r"""

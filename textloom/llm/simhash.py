@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, slices, unused
 from .graph import components
 
 #: The generator polynomial of the binary Golay code [23, 12, 7]; the covering of a 64-bit
@@ -163,8 +163,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
 
 def drop_near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, with the smallest id of their class; ids must be unique."""
-    kept = near_duplicates(docs, words, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id"))
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    kept_id = unused(docs, "kept_id")
+    kept = near_duplicates(docs, words, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(kept_id))
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(kept_id)), "left_semi")
 
 
 def hex16(fp: Column) -> Column:
