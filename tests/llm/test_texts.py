@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SMALL
 from hypothesis import given, settings
@@ -592,3 +593,40 @@ def test_long_conversations_in_parts(spark):
     got = {r[0]: tuple(r[1:5]) for r in rows(chat.digests(rendered))}
     assert got == {7: chat_digest([(r, t) for _, _, r, t in talk[:300]]), 8: chat_digest([("user", ""), ("user", "tie")]), None: chat_digest([("user", "n")])}
     assert rows(chat.digests(chat.format_chats(chat.messages_as_events(table.limit(0))))) == []
+
+
+def test_repetitive_text_against_items_that_share_a_phrase():
+    """Every place of the phrase meets every item: memory stays bounded, and lots don't change the stretches."""
+    import tracemalloc
+
+    phrase = "alpha beta gamma delta".split()
+    texts = [" ".join([f"w{i}x{j}" for j in range(12)] + phrase + [f"v{i}x{j}" for j in range(12)]) for i in range(60)]
+    items = decontaminate.block_of(pa.array(range(60)), texts)
+    counts = np.ones(len(items.vocabulary) + 1)
+    counts[0] = 1e6
+    items = decontaminate.with_seeds(items, counts)
+    doc = " ".join([*phrase * 3000, texts[5], *phrase * 3000])
+    tracemalloc.start()
+    best = decontaminate.best_alignments([doc], items, 0.1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(best) == 60 and best[0, 5][0] == 1.0 and peak < 200 << 20
+
+
+@pytest.mark.parametrize("places", [1, 7, 1 << 20])
+def test_stretches_are_the_same_in_any_lots(monkeypatch, places):
+    rng = random.Random(places)
+    words = ["".join(rng.choice("ab") for _ in range(3)) for _ in range(6)]
+    items = decontaminate.block_of(pa.array(range(8)), [" ".join(rng.choice(words) for _ in range(rng.randrange(4, 20))) for _ in range(8)])
+    items = decontaminate.with_seeds(items, np.append(1e6, np.ones(len(items.vocabulary))))
+    ids = decontaminate.word_ids(" ".join(rng.choice([*words, "other"]) for _ in range(400)), items.vocabulary)
+    at, code = decontaminate.codes(ids, len(items.vocabulary) + 1)
+    hits = {(int(items.item[p]), int(a - items.offset[p])) for a, c in zip(at, code) for k in [int(np.searchsorted(items.seeds, c))] if k < len(items.seeds) and items.seeds[k] == c for p in range(items.first[k], items.first[k + 1])}
+    want = []
+    for item, diagonal in sorted(hits):
+        if want and want[-1][0] == item and diagonal - want[-1][2] <= len(items.words[item]) // 2:
+            want[-1][2] = diagonal
+        else:
+            want.append([item, diagonal, diagonal])
+    monkeypatch.setattr(decontaminate, "PLACES", places)
+    assert decontaminate.stretches(ids, items).tolist() == want and want

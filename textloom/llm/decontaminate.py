@@ -26,6 +26,8 @@ WINDOW, REACH = 8, 3
 BLOCK_CHARS = 4 << 20
 #: Cells of an alignment row that are computed side by side, over all pairs of a batch; a longer pair goes alone.
 CELLS = 1 << 18
+#: Places of seeds that are expanded at a time, and words of windows that are gathered before they are aligned.
+PLACES, HELD = 1 << 20, 1 << 21
 #: Distinct words that a task counts before it passes them on.
 COUNTED = 1 << 18
 
@@ -88,33 +90,56 @@ def with_seeds(items: Items, counts: np.ndarray) -> Items:
     return items
 
 
-def candidates(ids: np.ndarray, items: Items) -> Iterator[tuple[int, int, int]]:
-    """(item, begin, end): stretches of a document where seeds of an item line up."""
+def stretches(ids: np.ndarray, items: Items) -> np.ndarray:
+    """Rows (item, first diagonal, last diagonal): where seeds of an item line up in a document.
+
+    A seed's hits meet all its places in the items. They are expanded PLACES at a time, and of each lot only the stretches stay, so a
+    repetitive text against items that share a phrase costs time, not memory.
+    """
+    none = np.zeros((0, 3), dtype=np.int64)
     at, code = codes(ids, len(items.vocabulary) + 1)
     if not len(at) or not len(items.seeds):
-        return
+        return none
     k = np.searchsorted(items.seeds, code)
     k[k == len(items.seeds)] = 0
     hit = items.seeds[k] == code
     at, k = at[hit], k[hit]
-    if not len(at):
-        return
     n = items.first[k + 1] - items.first[k]
-    place = np.repeat(items.first[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-    item, diagonal = items.item[place], np.repeat(at, n) - items.offset[place]
-    order = np.lexsort((diagonal, item))
-    item, diagonal = item[order], diagonal[order]
-    length = np.array([len(items.words[i]) for i in item])
-    new = np.ones(len(item), dtype=bool)
-    new[1:] = (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > length[1:] // 2)
+    length = np.array([len(w) for w in items.words])
+    lot, found = (np.cumsum(n) - 1) // PLACES, none
+    for begin, end in zip(edges := np.flatnonzero(np.diff(lot, prepend=-1)), [*edges[1:], len(at)]):
+        m, first = n[begin:end], items.first[k[begin:end]]
+        place = np.repeat(first - np.cumsum(m) + m, m) + np.arange(int(m.sum()))
+        item = items.item[place]
+        diagonal = np.repeat(at[begin:end], m) - items.offset[place]
+        found = chained(np.concatenate([found, np.stack([item, diagonal, diagonal], axis=1)]), length)
+    return found
+
+
+def chained(found: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Stretches (item, first, last) of an item joined where they overlap or lie half an item or less apart."""
+    if not len(found):
+        return found
+    found = found[np.lexsort((found[:, 1], found[:, 0]))]
+    item = found[:, 0]
+    # the farthest end so far within the item: items are shifted apart, so one running maximum does
+    low = found[:, 1:].min()
+    shift = item * (int(found[:, 2].max()) - int(low) + 1)
+    reach = np.maximum.accumulate(found[:, 2] - low + shift) - shift + low
+    new = np.append(True, (item[1:] != item[:-1]) | (found[1:, 1] - reach[:-1] > length[item[1:]] // 2))
     starts = np.flatnonzero(new)
-    for a, b in zip(starts, [*starts[1:], len(item)]):
-        n = int(length[a])
+    return np.stack([item[starts], found[starts, 1], np.maximum.reduceat(found[:, 2], starts)], axis=1)
+
+
+def candidates(ids: np.ndarray, items: Items) -> Iterator[tuple[int, int, int]]:
+    """(item, begin, end): windows of a document around its stretches."""
+    for item, first, last in stretches(ids, items).tolist():
+        n = len(items.words[item])
         pad = 4 + n // 4
-        begin, end = max(0, int(diagonal[a]) - pad), min(len(ids), int(diagonal[b - 1]) + n + pad)
+        begin, end = max(0, first - pad), min(len(ids), last + n + pad)
         # an alignment with a positive score spans at most 3 n words, so each lies whole in one of these windows
         for w in range(begin, max(begin + 1, end - REACH * n), WINDOW * n - REACH * n):
-            yield int(item[a]), w, min(end, w + WINDOW * n)
+            yield item, w, min(end, w + WINDOW * n)
 
 
 def batches_of(pairs: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[list[int]]:
@@ -196,7 +221,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     stretches are followed up. The corpus's words are counted in one pass, whatever the size of the benchmark. A benchmark over
     BLOCK_CHARS takes an alignment pass over the documents for each block of it; texts are never shuffled.
     A long text is one row of a task: a stretch that goes on and on is aligned in overlapping windows of WINDOW item lengths,
-    of which one holds any alignment whole, and a batch of alignments is bounded by CELLS, so memory follows the text's length only.
+    of which one holds any alignment whole. Hits are expanded PLACES at a time, windows aligned HELD words at a time and in batches of
+    CELLS, so memory follows the length of a text and the number of its stretches, not the number of hits.
 
     Items with fewer than SEED_WORDS words (null and empty ones too) match nothing, nor do null and empty
     documents. Repeated documents or items give a row each. Empty tables give an empty table. Only ids and
@@ -227,19 +253,34 @@ def item_blocks(texts: DataFrame, benchmark: DataFrame, item_col: str, item_text
 
 
 def best_alignments(texts: list[str | None], items: Items, threshold: float) -> dict[tuple[int, int], tuple[float, int]]:
-    """(text number, item number): best score of `threshold` or more, and minus the word where it ends."""
-    pairs, owners = [], []
+    """(text number, item number): best score of `threshold` or more, and minus the word where it ends.
+
+    Windows are aligned as soon as HELD words of them are gathered; only the best score of each text and item stays.
+    """
+    best: dict[tuple[int, int], tuple[float, int]] = {}
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    owners: list[tuple[int, int, int]] = []
+
+    def settle() -> None:
+        score, end = align(pairs)
+        for (row, item, begin), s, e in zip(owners, score, end):
+            share = float(s) / (MATCH * len(items.words[item]))
+            if share >= threshold:
+                best[row, item] = max(best.get((row, item), (0.0, -(1 << 62))), (share, -(begin + int(e))))
+        pairs.clear()
+        owners.clear()
+
+    held = 0
     for row, text in enumerate(texts):
         ids = word_ids(text, items.vocabulary)
         for item, begin, end in candidates(ids, items):
             pairs.append((items.words[item], ids[begin:end]))
             owners.append((row, item, begin))
-    score, end = align(pairs)
-    best: dict[tuple[int, int], tuple[float, int]] = {}
-    for (row, item, begin), s, e in zip(owners, score, end):
-        share = float(s) / (MATCH * len(items.words[item]))
-        if share >= threshold:
-            best[row, item] = max(best.get((row, item), (0.0, -(1 << 62))), (share, -(begin + int(e))))
+            held += end - begin
+            if held >= HELD:
+                settle()
+                held = 0
+    settle()
     return best
 
 
