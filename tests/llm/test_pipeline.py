@@ -6,7 +6,8 @@ import re
 import corpus_pipeline
 import pytest
 from conftest import SMALL
-from test_dedup import brute_components, brute_exact, brute_fingerprint, rows
+from test_dedup import brute_exact, rows
+from test_near import brute as brute_copies
 
 from textloom.llm import decontaminate
 from textloom.llm.common import table
@@ -25,6 +26,12 @@ def folder(spark, tmp_path_factory):
     texts += [texts[3].replace(" ", "\n"), texts[4] + "  ", texts[5]]  # exact copies
     near = texts[6].split()
     texts += [" ".join([*near[:5], near[5].upper(), *near[6:]])]  # equal once lower-cased: a near copy
+    for base in (7, 8, 9, 10, 11, 12):  # edited copies of a similarity around 0.8: some are near copies, some are not
+        for edits in (1, 2, 3, 4):
+            words_of = texts[base].split()
+            for _ in range(edits):
+                words_of[rng.randrange(len(words_of))] = "edited"
+            texts.append(" ".join(words_of))
     texts += [passage(20) + " " + items[0] + " " + passage(20), passage(10) + " " + items[1].replace(items[1].split()[7], "changed")]  # leaks
     texts += [None, "", "12345 ...", "!!!"]  # no language
     docs = [(i, t, "en" if i % 3 else "fr", "s", len(t or "")) for i, t in enumerate(texts)]
@@ -38,9 +45,7 @@ def test_stages_agree_with_brute_force(spark, folder):
     items = [r["text"] for r in table(spark, folder, "benchmark").collect()]
     lettered = {i: t for i, t in docs.items() if any(c.isalpha() for c in t or "")}
     exact = {i: t for i, t in lettered.items() if (i, True) in {(r[0], r[3]) for r in brute_exact(sorted(lettered.items()))}}
-    ids = sorted(exact)
-    label = dict(zip(ids, brute_components(ids, [brute_fingerprint(exact[i]) for i in ids])))
-    near = {i: t for i, t in exact.items() if label[i] == i}
+    near = {i: exact[i] for i, c in brute_copies(sorted(exact.items())) if c == i}
     split = lambda t: re.findall(r"\w+", t.lower())
 
     def leaks(text):
