@@ -19,6 +19,8 @@ LOSSES, LEAST_LENGTH, LEAST_COUNT, TIMES = 199, 6, 5, 5
 SUBTREE = 2048
 #: Prefixes of a word that are counted at a time while cuts are sought.
 DEPTHS = 8
+#: Words of a crowded prefix that lie in one part while they are told so.
+PART = 8192
 #: Doublings that follow any chain of forms: each form has TIMES its word's count or more, so 32 steps would need a count beyond 2^63.
 DOUBLINGS = 5
 
@@ -130,8 +132,13 @@ def cut_depths(vocabulary: DataFrame) -> DataFrame:
     while True:
         depths = F.sequence(F.lit(first), F.least(F.length("word"), F.lit(first + DEPTHS - 1)))
         prefixes = open_.select("word", F.explode(depths).alias("depth")).select("word", "depth", F.left("word", F.col("depth")).alias("prefix"))
-        crowded = prefixes.groupBy("depth", "prefix").agg(F.count("*").alias("words")).filter(F.col("words") > SUBTREE).drop("words")
-        deepest = prefixes.join(crowded, ["depth", "prefix"]).groupBy("word").agg(F.max("depth").alias("deepest"))
+        crowded = materialize(prefixes.groupBy("depth", "prefix").agg(F.count("*").alias("words")).filter(F.col("words") > SUBTREE), "spelling-crowded")
+        # words that share a crowded prefix are dealt over as many parts as the largest one of its length needs
+        parts = {r["depth"]: 1 + r["words"] // PART for r in crowded.groupBy("depth").agg(F.max("words").alias("words")).collect()}
+        most = F.get(F.lit([0] * first + [parts.get(d, 1) for d in range(first, first + DEPTHS)]), F.col("depth"))
+        dealt = crowded.select("depth", "prefix", F.explode(F.sequence(F.lit(0), most - 1)).alias("part"))
+        by_part = prefixes.withColumn("part", F.pmod(F.xxhash64("word"), most).cast("int"))
+        deepest = by_part.join(dealt, ["depth", "prefix", "part"]).groupBy("word").agg(F.max("depth").alias("deepest"))
         cut = open_.join(deepest, "word", "left").withColumn("depth", F.least(F.coalesce(F.col("deepest") + 1, F.lit(first)), F.length("word")))
         cut = materialize(cut.select("word", "n", "depth"), "spelling-cuts")
         closed = (F.col("depth") < first + DEPTHS) | (F.col("depth") == F.length("word"))
