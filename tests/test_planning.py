@@ -211,6 +211,28 @@ def test_repeats():
     assert reconcile.repeated_span("abcdabcd", "abcdabcd") is None
 
 
+def test_repeated_span_is_the_longest_then_first_of_all():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(1500):
+        written = "".join(rng.choice(rng.choice(["ab", "abcdefgh"])) for _ in range(rng.randrange(0, 14)))
+        heard = written
+        for _ in range(rng.randrange(3)):
+            i = rng.randrange(len(heard) + 1)
+            j = rng.randrange(i, len(heard) + 1)
+            heard = heard[:j] + heard[i:j] + heard[j:]
+        hits = []
+        for size in range(2, 21):
+            for p in range(len(heard) - 2 * size + 1):
+                span = heard[p : p + size]
+                again = heard.startswith(span, p + size) if size <= 3 else span in heard[p + size :]
+                doubled = len(written) >= p + 2 * size and written[p : p + size] == written[p + size : p + 2 * size]
+                if again and not doubled and heard.count(span) > written.count(span):
+                    hits.append((-size, p, span))
+        assert reconcile.repeated_span(written, heard) == (min(hits)[2] if hits else None)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="ab", max_size=12), st.text(alphabet="ab", max_size=14))
 def test_repeats_brute(expected, heard):

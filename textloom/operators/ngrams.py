@@ -34,10 +34,9 @@ def gram_counts(docs: DataFrame, orders: list[int], keys: list[str] | None = Non
             for group, texts in frame.groupby(keys, dropna=False)["letters"] if keys else [((), frame["letters"])]:
                 for order in orders:
                     grams, n = distinct_grams(list(texts), order)
-                    out = pd.DataFrame({"order": np.full(len(n), order, dtype="int32"), "gram": grams, "n": n})
-                    for name, value in zip(keys, group):
-                        out.insert(0, name, value)
-                    yield pa.RecordBatch.from_pandas(out[[*keys, "order", "gram", "n"]], preserve_index=False)
+                    fields = [batch.schema.field(k) for k in keys]
+                    own = [pa.array([None if pd.isna(v) else int(v) if pa.types.is_integer(f.type) else v] * len(n), f.type) for f, v in zip(fields, group)]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(n), order, dtype=np.int32)), pa.array(grams, pa.string()), pa.array(n)], [*keys, "order", "gram", "n"])
 
     rows = docs.select(*keys, only_letters("text", charset).alias("letters"))
     partial = rows.mapInArrow(count, f"{kinds + ', ' if keys else ''}order int, gram string, n long")
@@ -144,9 +143,14 @@ class Counts:
 
 def fit_counts(docs: DataFrame, order: int = 5, charset: Charset = LETTERS) -> DataFrame:
     """(order, gram, n, context_n): the model's table; context_n counts how often a gram is followed."""
-    grams = gram_counts(docs, list(range(1, order + 1)), charset=charset)
-    followed = grams.filter(F.col("order") > 1).groupBy(F.expr("substring(gram, 1, length(gram) - 1)").alias("gram")).agg(F.sum("n").alias("context_n"))
-    return grams.join(followed, "gram", "left").select("order", "gram", "n", F.coalesce("context_n", F.lit(0)).alias("context_n"))
+    return with_contexts(gram_counts(docs, list(range(1, order + 1)), charset=charset))
+
+
+def with_contexts(grams: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, order, gram, n, context_n) from counts (keys, order, gram, n)."""
+    keys = keys or []
+    followed = grams.filter(F.col("order") > 1).groupBy(*keys, F.expr("substring(gram, 1, length(gram) - 1)").alias("gram")).agg(F.sum("n").alias("context_n"))
+    return grams.join(followed, [*keys, "gram"], "left").select(*keys, "order", "gram", "n", F.coalesce("context_n", F.lit(0)).alias("context_n"))
 
 
 def score_bits(docs: DataFrame, model: DataFrame, key: str = "doc_id", order: int = 5, alpha: float = 1.0, charset: Charset = LETTERS) -> DataFrame:

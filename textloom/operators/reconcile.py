@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from os.path import commonprefix
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -202,21 +204,47 @@ def similar_opcodes(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return pairs.mapInPandas(run, T.StructType([*pairs.schema, T.StructField("ratio", T.DoubleType()), T.StructField("changes", T.ArrayType(T.StringType()))]))
 
 
-def repeated_span(expected: str, heard: str, longest: int = 20) -> str | None:
+#: The longest span that is looked for, and the longest one that must follow itself at once.
+LONGEST_SPAN, SHORT_SPAN = 20, 3
+
+
+def returning_spans(text: str, longest: int = LONGEST_SPAN) -> Iterator[tuple[str, list[int]]]:
+    """Spans of two to `longest` characters that come back after their own end, each with the places from which they do.
+
+    The beginnings of all suffixes are sorted once; suffixes that share a beginning of a given length are neighbours then.
+    """
+    order = sorted(range(len(text)), key=lambda i: text[i : i + longest])
+    shared = [len(commonprefix([text[i : i + longest], text[j : j + longest]])) for i, j in zip(order, order[1:])]
+    for size in range(2, longest + 1):
+        for together, run in groupby(range(len(shared)), key=lambda k: shared[k] >= size):
+            if together:
+                run = list(run)
+                places = sorted(order[run[0] : run[-1] + 2])
+                ends = set(places) if size <= SHORT_SPAN else None
+                again = [p for p in places if (p + size in ends if ends is not None else p + size <= places[-1])]
+                if again:
+                    yield text[places[0] : places[0] + size], again
+
+
+def repeated_span(expected: str, heard: str, longest: int = LONGEST_SPAN) -> str | None:
     """The longest, then first, span that was said twice although its text does not repeat it.
 
-    Spans of two or three characters must follow themselves; longer ones may come back anywhere later. A span counts if
-    it occurs more often than in the text and the text does not double at that place. Last places are looked up, so the
-    work grows with the length.
+    A span counts if it is heard more often than it is written, unless what is written at its place is twice the same as well. Spans of
+    up to SHORT_SPAN characters must follow themselves; longer ones may come back anywhere later.
     """
-    for size in range(min(longest, len(heard) // 2), 1, -1):
-        last = {heard[i : i + size]: i for i in range(len(heard) - size + 1)}
-        for at in range(len(heard) - size + 1):
-            span = heard[at : at + size]
-            again = heard.startswith(span, at + size) if size <= 3 else last[span] >= at + size
-            if again and expected[at : at + 2 * size] != 2 * expected[at : at + size].ljust(size, "\0") and heard.count(span) > expected.count(span):
-                return span
-    return None
+
+    def written_twice(place: int, size: int) -> bool:
+        first, second = expected[place : place + size], expected[place + size : place + 2 * size]
+        return first == second and len(second) == size
+
+    found = [
+        (-len(span), place, span)
+        for span, places in returning_spans(heard, longest)
+        if heard.count(span) > expected.count(span)
+        for place in places
+        if not written_twice(place, len(span))
+    ]
+    return min(found)[2] if found else None
 
 
 def repeated_spans(pairs: DataFrame, key: str, expected: str, heard: str) -> DataFrame:

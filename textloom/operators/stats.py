@@ -236,6 +236,23 @@ def silhouette(rows: DataFrame, vector: str, label: str, key: str) -> DataFrame:
     return s.groupBy(label).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("silhouette"))
 
 
+def inverse(matrix: np.ndarray) -> np.ndarray:
+    """The inverse of a symmetric positive definite matrix, by sweeping one row after the other.
+
+    LAPACK's threads don't survive the start of the JVM in the driver's process, so no library routine is called here.
+    """
+    a = matrix.astype(np.float64).copy()
+    for k in range(len(a)):
+        pivot = a[k, k]
+        if pivot < 1e-10:
+            raise ValueError(f"the covariance has no inverse (row {k})")
+        row, column = a[k] / pivot, a[:, k].copy()
+        a -= column[:, None] * row[None]
+        a[k], a[:, k] = row, -column / pivot
+        a[k, k] = 1 / pivot
+    return a
+
+
 def mahalanobis(rows: DataFrame, vector: str, key: str, shrinkage: float = 0.2, ridge: float = 0.05) -> DataFrame:
     """sqrt(x' C^-1 x / d) and the mean absolute standard score of each vector; C is d x d, inverted on the driver."""
     cov = covariance(rows, vector, shrinkage, ridge).collect()
@@ -247,12 +264,12 @@ def mahalanobis(rows: DataFrame, vector: str, key: str, shrinkage: float = 0.2,
         c[r["i"], r["j"]] = c[r["j"], r["i"]] = r["cov"]
     means = rows.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m")).collect()
     mean = np.array([m for _, m in sorted((r["i"], r["m"]) for r in means)])
-    inverse, sd = np.linalg.inv(c), np.sqrt(np.diag(c))
+    back, sd = inverse(c), np.sqrt(np.diag(c))
 
     @F.pandas_udf("struct<mahalanobis:double,delta:double>")
     def distances(xs: pd.Series) -> pd.DataFrame:
         x = np.stack(xs.to_numpy()).astype(float) - mean
-        return pd.DataFrame({"mahalanobis": np.sqrt(np.einsum("ni,ij,nj->n", x, inverse, x) / d).round(6), "delta": np.abs(x / sd).mean(1).round(6)})
+        return pd.DataFrame({"mahalanobis": np.sqrt(np.einsum("ni,ij,nj->n", x, back, x) / d).round(6), "delta": np.abs(x / sd).mean(1).round(6)})
 
     return rows.filter(F.col(vector).isNotNull()).select(key, distances(vector).alias("d")).select(key, "d.*")
 

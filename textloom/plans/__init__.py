@@ -1,6 +1,6 @@
 """Named queries over the driver's tables, composed of the operators."""
 
-from . import features, planning, reports, tables, text
+from . import features, planning, reports, style, tables, text
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "features", "planning", "reports", "tables", "text"]
+__all__ = ["ORACLES", "QUERIES", "features", "planning", "reports", "style", "tables", "text"]
