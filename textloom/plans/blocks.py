@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import blocks, markup, schema
+from ..operators import blocks, markup, schema, versions
 from ..session import read
 from .registry import query
 
@@ -82,3 +82,28 @@ def order_problems(spark: SparkSession, folder: str) -> DataFrame:
     held = F.transform(F.array_sort(F.collect_list(F.struct(*place, line.alias("line")))), lambda x: x["line"])
     docs = lines.groupBy(F.col("l_orderkey").alias("order_id")).agg(F.to_json(F.struct(F.first("l_orderkey").alias("order"), held.alias("lines"))).alias("doc"))
     return schema.problem_rows(schema.checked(docs, "doc", ORDER), ["order_id"])
+
+
+def _turns(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The turns of every conversation, and an earlier version of them: some were missing, some worded otherwise, some elsewhere."""
+    turns = read(spark, folder, "conversations").filter("role IS NOT NULL").dropDuplicates(["conv_id", "turn"])
+    kind = F.when(F.col("role") == "assistant", "narration").otherwise("dialogue")
+    new = turns.select(F.col("conv_id").alias("doc"), F.col("turn").cast("long").alias("place"), kind.alias("kind"), "text")
+    draw = F.pmod(F.xxhash64("doc", "place"), F.lit(12))
+    was = F.when(draw == 1, F.concat("text", F.lit(" so it was"))).when(draw == 2, F.concat(F.lit("Then "), "text", F.lit("!"))).otherwise(F.col("text"))
+    old = new.filter(draw != 0).withColumns({"text": was, "place": F.when(draw == 3, F.col("place") + 1000).otherwise(F.col("place"))})
+    return new, old.withColumn("block", F.col("place") + 1)
+
+
+@query()
+def turn_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """Every turn against an earlier version of its conversation: its number there, how it was matched, and what has to be done."""
+    rows = versions.reconciled(*_turns(spark, folder))
+    return rows.select(F.col("doc").alias("conv_id"), F.col("place").alias("turn"), "block", "old_place", "how", "ratio", "status", "reason")
+
+
+@query()
+def version_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """How many turns of every conversation are new, reused, unchanged, for review, and gone."""
+    new, old = _turns(spark, folder)
+    return versions.summary(versions.reconciled(new, old), old).withColumnRenamed("doc", "conv_id")
