@@ -44,10 +44,13 @@ def fold_metrics(rows: DataFrame, fold: str, group: str, value: str) -> DataFram
         F.count("*").alias("n"), F.round(F.percentile(value, F.lit(0.5)), 6).alias("median"), F.round(F.percentile(value, F.lit(0.9)), 6).alias("p90"),
         F.sort_array(F.collect_set(group)).alias("held_out"),
     )
-    pairs = rows.select(fold, group).distinct()
-    others = pairs.select(F.col(fold).alias("_fold"), group)
-    training = pairs.select(fold).distinct().join(others, F.col(fold) != F.col("_fold")).groupBy(fold).agg(F.sort_array(F.collect_set(group)).alias("training"))
-    return held.join(training, fold, "left").withColumn("training", F.coalesce("training", F.array().cast("array<string>")))
+    # a group is in the training of every fold but that which alone holds it
+    pairs = rows.filter(F.col(group).isNotNull()).select(fold, group).distinct()
+    alone = pairs.groupBy(group).agg(F.count("*").alias("n"), F.min(fold).alias("only")).filter("n = 1").groupBy("only").agg(F.collect_set(group).alias("own"))
+    every = pairs.filter(F.col(fold).isNotNull()).agg(F.collect_set(group).alias("every"))
+    both = held.join(alone, F.col(fold) == F.col("only"), "left").join(F.broadcast(every))  # one row
+    training = F.sort_array(F.array_except("every", F.coalesce("own", F.array().cast("array<string>"))))
+    return both.select(*held.columns, F.when(F.col(fold).isNull(), F.array().cast("array<string>")).otherwise(training).alias("training"))
 
 
 def band_counts(rows: DataFrame, band: str, split: str, bands: tuple[str, ...] = ("in range", "weak", "alarm")) -> DataFrame:

@@ -19,10 +19,14 @@ def quiet_runs(frames: DataFrame, by: str, order: list[str], quiet: Column, leas
 def levels(samples: DataFrame, by: str, value: str, floor: float) -> DataFrame:
     """(by, n, rms, peak, active, median_active): root mean square, largest size, share above `floor`, and the upper median of sizes above it."""
     size = F.abs(F.col(value))
-    active = samples.filter(size > floor).groupBy(by).agg(F.array_sort(F.collect_list(size)).alias("a"))
     g = samples.groupBy(by).agg(F.count(value).alias("n"), F.sqrt(F.avg(F.col(value) * F.col(value))).alias("rms"), F.max(size).alias("peak"), F.avg((size > floor).cast("double")).alias("active"))
-    median = F.get("a", F.floor(F.size("a") / 2).cast("int"))
-    return g.join(active, by, "left").select(by, "n", *(F.round(c, 6).alias(c) for c in ("rms", "peak", "active")), F.round(median, 6).alias("median_active"))
+    # sizes are counted before they are shuffled; the median is where half the count is passed
+    counts = samples.filter(size > floor).groupBy(by, size.alias("size")).agg(F.count("*").alias("c"))
+    w = Window.partitionBy(by)
+    passed = counts.withColumns({"upto": F.sum("c").over(w.orderBy("size")), "all": F.sum("c").over(w)})
+    median = passed.filter(F.col("upto") > F.floor(F.col("all") / 2)).groupBy(F.col(by).alias("_by")).agg(F.min("size").alias("median"))
+    whole = g.join(median, F.col(by).eqNullSafe(F.col("_by")), "left")
+    return whole.select(by, "n", *(F.round(c, 6).alias(c) for c in ("rms", "peak", "active")), F.round("median", 6).alias("median_active"))
 
 
 def decibels(level: Column) -> Column:

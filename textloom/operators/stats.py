@@ -195,13 +195,22 @@ def unit(vectors: pd.Series) -> np.ndarray:
         return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def few_centers(centers: DataFrame, label: str, most: int = 10_000) -> DataFrame | None:
+    """One row with an array `centers` of (label, centroid), to be sent to the executors; None if there are more than `most`."""
+    if centers.limit(most + 1).count() > most:
+        return None
+    return centers.agg(F.collect_list(F.struct(F.col(label).alias("label"), "centroid")).alias("centers"))
+
+
 def assign(rows: DataFrame, centers: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """(key, label, distance) of the closest centre; centres are one row a label, a bounded set."""
-    pairs = rows.crossJoin(F.broadcast(centers)) if centers.limit(10_001).count() <= 10_000 else None
-    if pairs is None:
-        raise ValueError("assign takes 10,000 centres at most; use nearest for more")
-    d = F.sqrt(squared_distance(F.col(vector), F.col("centroid")))
-    best = pairs.groupBy(key).agg(F.min(F.struct(F.round(d, 9).alias("d"), F.col(label).alias("l"))).alias("b"))
+    """(key, label, distance) of the closest centre, the smaller label among equals. Up to 10,000 centres are compared within each row; more are searched in blocks."""
+    few = few_centers(centers, label)
+    if few is None:
+        found = nearest(rows, centers.withColumnRenamed("centroid", vector), key, label, vector, 1)
+        return found.select(key, label, F.round("distance", 6).alias("distance"))
+    own = rows.filter(F.col(vector).isNotNull()).select(key, F.col(vector).alias("_v")).join(F.broadcast(few))
+    d = F.transform("centers", lambda c: F.struct(F.round(F.sqrt(squared_distance(F.col("_v"), c["centroid"])), 9).alias("d"), c["label"].alias("l")))
+    best = own.select(key, F.array_min(d).alias("b"))
     return best.select(key, F.col("b.l").alias(label), F.round("b.d", 6).alias("distance"))
 
 
@@ -228,10 +237,17 @@ def two_means(points: list[tuple[int, list[float]]], rounds: int = 100) -> dict[
 
 def silhouette(rows: DataFrame, vector: str, label: str, key: str) -> DataFrame:
     """Mean simplified silhouette by label: distance to the own centre against the nearest other one."""
-    c = centroids(rows, vector, label).select(F.col(label).alias("of"), "centroid")
-    d = F.sqrt(squared_distance(F.col(vector), F.col("centroid")))
-    pairs = rows.select(key, label, vector).crossJoin(F.broadcast(c)).withColumn("d", d)
-    s = pairs.groupBy(key, label).agg(F.min(F.when(F.col(label) == F.col("of"), F.col("d"))).alias("own"), F.min(F.when(F.col(label) != F.col("of"), F.col("d"))).alias("other"))
+    centers = centroids(rows, vector, label)
+    few = few_centers(centers, label)
+    if few is not None:
+        d = F.transform("centers", lambda c: F.struct(c["label"].alias("l"), F.sqrt(squared_distance(F.col(vector), c["centroid"])).alias("d")))
+        pairs = rows.select(key, label, vector).join(F.broadcast(few)).select(label, d.alias("d"))
+        least = lambda same: F.array_min(F.transform(F.filter("d", lambda x: (x["l"] == F.col(label)) if same else (x["l"] != F.col(label))), lambda x: x["d"]))
+        s = pairs.select(label, least(True).alias("own"), least(False).alias("other"))
+    else:
+        mine = rows.select(key, label, vector).join(centers, label).select(key, label, F.sqrt(squared_distance(F.col(vector), F.col("centroid"))).alias("own"))
+        two = nearest(rows, centers.select(F.col(label).alias("_of"), F.col("centroid").alias(vector)), key, "_of", vector, 2)
+        s = mine.join(two, key).filter(F.col("_of") != F.col(label)).groupBy(key, label, "own").agg(F.min("distance").alias("other"))
     value = F.coalesce((F.col("other") - F.col("own")) / F.nullif(F.greatest("own", "other"), F.lit(0.0)), F.lit(0.0))
     return s.groupBy(label).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("silhouette"))
 

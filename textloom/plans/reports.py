@@ -153,8 +153,7 @@ def nation_routes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 RATING_SQL = """
-r AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) l_orderkey AS k, l_linenumber AS round, floor(l_quantity / 26)::INT AS d1, floor(l_discount * 12)::INT AS d2, floor(l_tax * 15)::INT AS d3
-  FROM lineitem WHERE l_linenumber <= 3 ORDER BY l_orderkey, l_linenumber, l_quantity, l_discount, l_tax),
+r AS (SELECT l_orderkey AS k, floor(l_quantity / 26)::INT AS d1, floor(l_discount * 12)::INT AS d2, floor(l_tax * 15)::INT AS d3 FROM lineitem),
 g AS (SELECT k, count(*) AS rounds, 5.0 * (median(d1) + median(d2) + median(d3)) AS total, 5.0 * (max(d1 + d2 + d3) - min(d1 + d2 + d3)) AS total_range,
   greatest(max(d1) - min(d1), max(d2) - min(d2), max(d3) - min(d3)) AS widest FROM r GROUP BY k),
 q AS (SELECT k AS l_orderkey, rounds, CASE WHEN rounds = 3 THEN total END AS total, CASE WHEN rounds = 3 THEN total_range END AS total_range,
@@ -163,11 +162,11 @@ q AS (SELECT k AS l_orderkey, rounds, CASE WHEN rounds = 3 THEN total END AS tot
 
 @query(f"WITH {RATING_SQL} SELECT * FROM q")
 def item_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Order lines as rounds that rate an order: quantity, discount and tax are the dimensions."""
+    """All lines as rounds that rate their order: quantity, discount and tax are the dimensions."""
     scores = [F.floor(F.col("l_quantity") / 26), F.floor(F.col("l_discount") * 12), F.floor(F.col("l_tax") * 15)]
-    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_quantity", "l_discount", "l_tax")
-    lines = read(spark, folder, "lineitem").filter("l_linenumber <= 3").withColumn("_n", F.row_number().over(w)).filter("_n = 1")
-    rated = lines.select("l_orderkey", F.col("l_linenumber").alias("round"), F.posexplode(F.array(*(s.cast("int") for s in scores))).alias("dimension", "score"))
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_quantity", "l_discount", "l_tax")
+    lines = read(spark, folder, "lineitem").withColumn("round", F.row_number().over(w))
+    rated = lines.select("l_orderkey", "round", F.posexplode(F.array(*(s.cast("int") for s in scores))).alias("dimension", "score"))
     return reports.item_report(rated, "l_orderkey")
 
 
@@ -181,11 +180,11 @@ def calibration_status(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-WITH v AS (SELECT l_orderkey, count(*) AS rounds, list(nullif(l_returnflag, 'N') ORDER BY l_returnflag) AS w FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_orderkey)
+WITH v AS (SELECT l_orderkey, count(*) AS rounds, list(nullif(l_returnflag, 'N') ORDER BY l_returnflag) AS w FROM lineitem GROUP BY l_orderkey)
 SELECT l_orderkey, rounds, CASE WHEN rounds = 2 AND w[1] = w[2] THEN w[1] END AS winner,
   CASE WHEN rounds < 2 THEN 'incomplete' WHEN rounds = 2 AND w[1] = w[2] THEN 'agreed' ELSE 'no agreement' END AS status FROM v""")
 def both_orders(spark: SparkSession, folder: str) -> DataFrame:
-    votes = read(spark, folder, "lineitem").filter("l_linenumber <= 2").select("l_orderkey", F.nullif("l_returnflag", F.lit("N")).alias("winner"))
+    votes = read(spark, folder, "lineitem").select("l_orderkey", F.nullif("l_returnflag", F.lit("N")).alias("winner"))
     return reports.both_orders(votes, "l_orderkey", "winner")
 
 
@@ -304,9 +303,11 @@ def orthography(spark: SparkSession, folder: str) -> DataFrame:
 @query(r"""
 WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) - 1 AS raw FROM documents WHERE length(text) > 0),
 k AS (SELECT doc_id, raw, row_number() OVER (PARTITION BY doc_id ORDER BY raw) - 1 AS clean FROM c WHERE regexp_matches(c, '\p{L}'))
-SELECT doc_id, clean, raw FROM k WHERE clean % 100 = 0""")
+SELECT doc_id, min(clean) AS clean, min(raw) AS raw, count(*) AS length FROM k GROUP BY doc_id, raw - clean""")
 def raw_offsets(spark: SparkSession, folder: str) -> DataFrame:
-    return wording.raw_offsets(read(spark, folder, "documents"), "doc_id", "text", r"[^\p{L}]+", 100)
+    """Where every letter of a document comes from, once all else is dropped: its runs of letters."""
+    runs = wording.kept_ranges(F.col("text"), r"[^\p{L}]+")
+    return read(spark, folder, "documents").select("doc_id", F.explode(runs).alias("r")).select("doc_id", *(F.col(f"r.{c}").cast("long").alias(c) for c in ("clean", "raw", "length")))
 
 
 INSTANT_SQL = """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000Z') WHEN 1 THEN strftime(o_orderdate, '%Y-02-%dT%H:%M:%S.000Z')

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import annotate, reconcile, review, signal, stats
+from ..operators import annotate, clusters, reconcile, review, signal, stats
 from ..session import read
 from .registry import query
 
@@ -71,11 +71,11 @@ def silhouette(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def kmeans_2(spark: SparkSession, folder: str) -> DataFrame:
-    """Two clusters of the labels' mean vectors; labels are few, so the driver splits their means."""
+    """Two clusters of the labels' mean vectors: split on the driver from their farthest pair while labels are few, else refined in Spark from far points."""
     means = stats.centroids(read(spark, folder, "embeddings"), "embedding", "label")
     rows = means.orderBy("label").take(10_001)
     if len(rows) > 10_000:
-        raise ValueError("kmeans_2 takes 10,000 labels at most; use clusters.clustered for more")
+        return clusters.clustered(means.withColumnRenamed("centroid", "point"), "label", 2).select("label", "cluster")
     found = stats.two_means([(r["label"], r["centroid"]) for r in rows])
     return spark.createDataFrame(sorted(found.items()), "label int, cluster int")
 
