@@ -6,7 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,11 @@ class Items:
     item: np.ndarray | None = None
     offset: np.ndarray | None = None
 
+    @cached_property
+    def lengths(self) -> np.ndarray:
+        """Words of each item."""
+        return np.array([len(w) for w in self.words])
+
 
 def word_ids(text: str | None, vocabulary: dict[str, int]) -> np.ndarray:
     """Ids of a text's words, 0 for words that no item has."""
@@ -104,15 +109,16 @@ def stretches(ids: np.ndarray, items: Items) -> np.ndarray:
     k[k == len(items.seeds)] = 0
     hit = items.seeds[k] == code
     at, k = at[hit], k[hit]
+    if not len(at):
+        return none
     n = items.first[k + 1] - items.first[k]
-    length = np.array([len(w) for w in items.words])
     lot, found = (np.cumsum(n) - 1) // PLACES, none
     for begin, end in zip(edges := np.flatnonzero(np.diff(lot, prepend=-1)), [*edges[1:], len(at)]):
         m, first = n[begin:end], items.first[k[begin:end]]
         place = np.repeat(first - np.cumsum(m) + m, m) + np.arange(int(m.sum()))
         item = items.item[place]
         diagonal = np.repeat(at[begin:end], m) - items.offset[place]
-        found = chained(np.concatenate([found, np.stack([item, diagonal, diagonal], axis=1)]), length)
+        found = chained(np.concatenate([found, np.stack([item, diagonal, diagonal], axis=1)]), items.lengths)
     return found
 
 
