@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import blocks, markup, schema, versions
+from ..operators import blocks, cuts, markup, schema, versions
 from ..session import read
 from .registry import query
 
@@ -107,3 +107,29 @@ def version_summary(spark: SparkSession, folder: str) -> DataFrame:
     """How many turns of every conversation are new, reused, unchanged, for review, and gone."""
     new, old = _turns(spark, folder)
     return versions.summary(versions.reconciled(new, old), old).withColumnRenamed("doc", "conv_id")
+
+
+LONGEST = 200
+CUTS_SQL = rf"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, 0 AS chunk, NULL::VARCHAR AS part, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS rest FROM documents
+  UNION ALL
+  SELECT doc_id, chunk + 1, left(rest, cut), regexp_replace(substring(rest, cut + 1), '^\s+', '') FROM (
+    SELECT doc_id, chunk, rest, CASE WHEN length(rest) <= {LONGEST} THEN length(rest) WHEN strong >= {int(LONGEST * cuts.NATURAL)} THEN strong WHEN weak >= {int(LONGEST * cuts.NATURAL)} THEN weak ELSE {LONGEST} END AS cut
+    FROM (SELECT *, length(regexp_extract(left(rest, {LONGEST}), '(?s)^.*[.!?;\n]')) AS strong, length(regexp_extract(left(rest, {LONGEST}), '(?s)^.*[,:]')) AS weak FROM r WHERE rest <> '')))
+SELECT doc_id, (chunk - 1)::INTEGER AS chunk, sha256(regexp_replace(part, '\s+$', '')) AS text_hash FROM r WHERE part IS NOT NULL"""
+
+
+@query(CUTS_SQL)
+def speech_cuts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in chunks of 200 characters at most, cut at sentences, else at clauses, else anywhere."""
+    rows = cuts.speech_cuts(read(spark, folder, "documents"), "doc_id", "text", LONGEST, ".!?;\n", ",:")
+    return rows.select("doc_id", "chunk", F.sha2("text", 256).alias("text_hash"))
+
+
+@query()
+def forced_units(spark: SparkSession, folder: str) -> DataFrame:
+    """Every turn in units of 40 characters around its long words, each of which is a unit of its own."""
+    turns = read(spark, folder, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
+    units, _ = cuts.forced_units(turns.withColumn("wanted", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[A-Za-z]{8,}"), F.lit(0))), "id", "text", "wanted", 40, ".!?;", ",:")
+    return units
