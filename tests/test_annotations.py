@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.operators import annotations, markup, scan
 
@@ -35,7 +36,7 @@ def test_running_sum_is_that_of_a_loop(spark):
         for d, place, v in sorted((r for r in rows if r[0] == doc), key=lambda r: r[1]):
             total += v or 0
             want[d, place] = total
-    got = scan.running_sum(spark.createDataFrame(rows, "doc string, place int, v int"), ["doc"], "place", "v", "sum", 16).collect()
+    got = scan.running_sum(spark.createDataFrame(rows, "doc string, place int, v int"), ["doc"], "place", F.col("v"), "sum", 16).collect()
     assert {(r["doc"], r["place"]): r["sum"] for r in got} == want
 
 

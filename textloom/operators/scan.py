@@ -16,13 +16,20 @@ def blocked(rows: DataFrame, by: list[str], place: str, block: int) -> DataFrame
     return rows.withColumn("_block", F.floor(F.col(place) / block))
 
 
-def running_sum(rows: DataFrame, by: list[str], place: str, value: Column, name: str, block: int = BLOCK) -> DataFrame:
-    """Rows with the sum of `value` up to their place, itself included; null counts as 0. Places are whole numbers, one row each; null keys are a key."""
-    valued = blocked(rows, by, place, block).withColumn("_value", F.coalesce(value, F.lit(0)).cast("long"))
+def running_sums(rows: DataFrame, by: list[str], place: str, values: dict[str, Column], block: int = BLOCK) -> DataFrame:
+    """Rows with the sums, by name, of values up to their place, itself included; null counts as 0. Places are whole numbers, one row each; null keys are a key."""
+    own = {f"_own_{name}": F.coalesce(value, F.lit(0)).cast("long") for name, value in values.items()}
+    valued = blocked(rows, by, place, block).withColumns(own)
     over = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = valued.groupBy(*by, "_block").agg(F.sum("_value").alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(over), F.lit(0)))
-    local = valued.withColumn("_own", F.sum("_value").over(Window.partitionBy(*by, "_block").orderBy(place).rowsBetween(Window.unboundedPreceding, 0)))
-    return joined(local, sums.drop("_sum"), by).withColumn(name, F.col("_own") + F.col("_before")).drop("_block", "_value", "_own", "_before")
+    sums = valued.groupBy(*by, "_block").agg(*(F.sum(c).alias(c) for c in own))
+    before = sums.select(*by, "_block", *(F.coalesce(F.sum(c).over(over), F.lit(0)).alias(f"_before{c}") for c in own))
+    upto = Window.partitionBy(*by, "_block").orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    met = joined(valued.withColumns({c: F.sum(c).over(upto) for c in own}), before, by)
+    return met.withColumns({name: F.col(f"_own_{name}") + F.col(f"_before_own_{name}") for name in values}).drop("_block", *own, *(f"_before{c}" for c in own))
+
+
+def running_sum(rows: DataFrame, by: list[str], place: str, value: Column, name: str, block: int = BLOCK) -> DataFrame:
+    return running_sums(rows, by, place, {name: value}, block)
 
 
 def joined(local: DataFrame, summary: DataFrame, by: list[str]) -> DataFrame:
