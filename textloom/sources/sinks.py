@@ -16,13 +16,14 @@ def content_hash(df: DataFrame) -> str:
 
 
 def write_once(df: DataFrame, folder: str) -> str:
-    """Write df under its content hash and return the path; the same content again changes nothing."""
+    """Write df under its content hash and return the path; the same content again changes nothing, what an ended job left unfinished is written over."""
     path = f"{folder.rstrip('/')}/{content_hash(df)}"
     try:
         df.write.mode("errorifexists").parquet(path)
     except AnalysisException as x:
         if x.getCondition() != "PATH_ALREADY_EXISTS":
             raise
+        write_if_changed(df, path)
     return path
 
 
