@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import stats
+
 
 def hash_rank(rows: DataFrame, key: str, by: list[str] | None = None, seed: str = "") -> DataFrame:
     """rows with `rank`, from 0 in each group, in the order of a seeded hash of the key: a shuffle that a rerun repeats.
@@ -167,3 +169,23 @@ def mixed_band(feature: Column, language: Column) -> tuple[Column, Column, Colum
     overall = 0.6 * feature + 0.4 * language
     band = F.when((feature < 5) | (language < 5), "alarm").when(overall < 20, "weak").otherwise("in range")
     return overall, band, F.abs(feature - language) > 20
+
+
+def group_report(fragments: DataFrame, by: str, key: str, value: str, vector: str, centers: DataFrame, label: str) -> DataFrame:
+    """(by, fragments, mean_value, vote, cluster) of each group: the cluster that most fragments are nearest to (ties: the smallest), and the one
+    that the mean of their vectors is nearest to. centers (label, centroid). Null vectors don't vote; a group of such only has neither."""
+    own = fragments.filter(F.col(vector).isNotNull())
+    near = stats.assign(own, centers, key, vector, label)
+    votes = own.select(key, by).join(near.select(key, label), key).groupBy(by, label).agg(F.count("*").alias("_n"))
+    vote = votes.groupBy(by).agg(F.min_by(label, F.struct(-F.col("_n"), F.col(label))).alias("vote"))
+    middle = stats.assign(stats.centroids(own, vector, by).withColumnRenamed("centroid", vector), centers, by, vector, label).select(by, F.col(label).alias("cluster"))
+    counts = fragments.groupBy(by).agg(F.count("*").alias("fragments"), F.avg(value).alias("mean_value"))
+    return counts.join(vote, by, "left").join(middle, by, "left")
+
+
+def without_features(rows: DataFrame, feature: str, prefixes: tuple[str, ...], names: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of the long form whose feature has none of the prefixes and none of the names."""
+    dropped = F.col(feature).isin(*names) if names else F.lit(False)
+    for prefix in prefixes:
+        dropped = dropped | F.startswith(F.col(feature), F.lit(prefix))
+    return rows.filter(~dropped)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import annotations, assembly, batches, markup, requests
+from ..operators import acceptance, annotations, assembly, batches, markup, ngrams, reports, requests, stats
 from ..session import read
-from .registry import query
+from .registry import ORACLES, query
+from .tables import CENTROID_SQL
 
 
 def _anchor_sql(before: str) -> str:
@@ -209,3 +210,54 @@ def batch_uploads(spark: SparkSession, folder: str) -> DataFrame:
     """Files of the batch, equal ones once."""
     targets, records = _reviews(spark, folder)
     return batches.uploads(batches.review_batch(targets, records, "target", ("user", "assistant"), "review"))
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, (conv_id + turn) % 9 AS state,
+  sha256(concat(coalesce(lag(text) OVER w, ''), '|', coalesce(lead(text) OVER w, ''))) AS context FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+o AS (SELECT *, role = 'assistant' AS told, (conv_id * 5 + turn) % 13 = 0 AS reworded, (conv_id * 3 + turn) % 10 = 0 AS moved, (conv_id + turn) % 11 = 0 AS gone FROM t),
+j AS (SELECT *, CASE WHEN gone THEN 'pending' WHEN NOT told AND conv_id % 5 = 4 THEN 'unknown voice' WHEN state = 0 THEN 'accepted'
+  WHEN reworded OR (NOT told AND moved) OR (state = 1 AND turn % 2 = 0) THEN 'pending' ELSE 'accepted' END AS judged FROM o)
+SELECT conv_id, turn, judged AS state, CASE WHEN judged = 'pending' THEN CASE WHEN gone THEN 'no annotation' ELSE 'text or context has changed' END END AS reason,
+  CASE WHEN judged = 'accepted' THEN CASE WHEN moved AND state <> 0 THEN 'elsewhere' ELSE context END END AS context_hash FROM j""")
+def accepted_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """Which turns keep the annotation that an earlier version of them had: some had other words or neighbours, some voices are gone."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    around = F.concat(F.coalesce(F.lag("text").over(w), F.lit("")), F.lit("|"), F.coalesce(F.lead("text").over(w), F.lit("")))
+    state = (F.col("conv_id") + F.col("turn")) % 9
+    told = F.coalesce(F.col("role") == "assistant", F.lit(False))
+    t = read(spark, folder, "conversations").select(
+        "conv_id", "turn", F.when(told, "narration").otherwise("dialogue").alias("kind"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_hash"), F.sha2(around, 256).alias("context_hash"),
+        F.when(state == 0, acceptance.REUSED).when(state == 1, "new").otherwise("same").alias("match"), F.lit(None).cast("string").alias("reason"),
+        F.when(told, acceptance.NARRATOR).otherwise(F.concat(F.lit("c"), (F.col("conv_id") % 5).cast("string"))).alias("speaker"),
+    )
+    old = t.filter((F.col("conv_id") + F.col("turn")) % 11 != 0).select(
+        "conv_id", "turn", "speaker", F.when((F.col("conv_id") * 5 + F.col("turn")) % 13 == 0, "other words").otherwise(F.col("text_hash")).alias("text_hash"),
+        F.when((F.col("conv_id") * 3 + F.col("turn")) % 10 == 0, "elsewhere").otherwise(F.col("context_hash")).alias("context_hash"), F.when(F.col("turn") % 2 == 0, acceptance.REUSED).otherwise("reviewed").alias("review"),
+    )
+    cards = t.filter((F.col("conv_id") % 5 != 4) & (F.col("speaker") != acceptance.NARRATOR)).select("speaker")
+    return acceptance.judged(t, old, cards, ["conv_id", "turn"]).select("conv_id", "turn", "state", "reason", "context_hash")
+
+
+@query(f"""{CENTROID_SQL},
+g AS (SELECT vec_id % 20 AS part, * FROM d),
+n AS (SELECT part, vec_id, label, row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), label) AS rank FROM g),
+v AS (SELECT part, label, row_number() OVER (PARTITION BY part ORDER BY count(*) DESC, label) AS rank FROM n WHERE rank = 1 GROUP BY part, label),
+mx AS (SELECT vec_id % 20 AS part, i, avg(x) AS m FROM x GROUP BY ALL), mm AS (SELECT part, list(m ORDER BY i) AS m FROM mx GROUP BY part),
+k AS (SELECT part, label, row_number() OVER (PARTITION BY part ORDER BY round(list_distance(m, c), 9), label) AS rank FROM mm, c)
+SELECT e.part, e.fragments, e.mean_value, v.label AS vote, k.label AS cluster
+FROM (SELECT vec_id % 20 AS part, count(*) AS fragments, round(avg(vec_id), 6) AS mean_value FROM e GROUP BY ALL) e JOIN v ON v.part = e.part AND v.rank = 1 JOIN k ON k.part = e.part AND k.rank = 1""")
+def group_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors in twenty groups: how many, the cluster that most of them are in, and the one of their mean."""
+    e = read(spark, folder, "embeddings")
+    rows = e.select("vec_id", (F.col("vec_id") % 20).alias("part"), "embedding")
+    found = reports.group_report(rows.withColumn("value", F.col("vec_id")), "part", "vec_id", "value", "embedding", stats.centroids(e, "embedding", "label"), "label")
+    return found.withColumn("mean_value", F.round("mean_value", 6))
+
+
+@query(f"SELECT source, count(bpc) AS texts, round(avg(bpc), 5) AS mean_bpc FROM ({ORACLES['ngram_lm_bpc']}) JOIN documents USING (doc_id) GROUP BY source")
+def source_bpc(spark: SparkSession, folder: str) -> DataFrame:
+    """The mean bits per character of every source's documents under a model of the benchmark."""
+    docs = read(spark, folder, "documents")
+    bits = ngrams.score_bits(docs, ngrams.fit_counts(read(spark, folder, "benchmark")))
+    return docs.select("doc_id", "source").join(bits, "doc_id").groupBy("source").agg(F.count("bpc").alias("texts"), F.round(F.avg("bpc"), 5).alias("mean_bpc"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -57,3 +57,20 @@ def markdown_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """(line): each row as a line of a Markdown table, with bars and line ends escaped."""
     cells = [F.regexp_replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), "\r?\n", "<br>") for c in columns]
     return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
+def markdown_report(spark: SparkSession, title: str, parts: list[tuple[str, DataFrame, list[str], list[str]]]) -> DataFrame:
+    """(line) of a report: a title and, for each part (heading, rows, columns, order), a heading and a Markdown table in that order.
+
+    Parts are sorted in parallel and follow each other as partitions, so a part of any length is written without being gathered; a part
+    without rows says so.
+    """
+
+    def lines(*texts: str) -> DataFrame:
+        return spark.createDataFrame([(t,) for t in texts], "line string").coalesce(1)
+
+    out = lines(f"# {title}")
+    for heading, rows, columns, order in parts:
+        none = rows.groupBy().agg(F.count("*").alias("n")).filter("n = 0").select(F.lit("No rows.").alias("line"))
+        out = out.union(lines("", f"## {heading}", "", "| " + " | ".join(columns) + " |", "| " + " | ".join("---" for _ in columns) + " |")).union(markdown_rows(rows.orderBy(*order), columns)).union(none)
+    return out
