@@ -121,7 +121,7 @@ def test_equal_hashes_of_other_grams_are_told_apart(spark, monkeypatch):
     assert ngrams.first_of_each(*((c := ngrams.code_points(["abcdbcxbcab"])[0]), ngrams.gram_hashes(c, 3)), 3).tolist().__len__() == 9
     refs_ = ngrams.References.of(refs.selectExpr("k AS key", "text AS t").toArrow(), 3)
     code = ngrams.code_points(["abcdbcxbcab"])[0]
-    own, other = refs_.matches(code, np.arange(9), ngrams.gram_hashes(code, 3), 3)
+    own, other = (np.concatenate(x) for x in zip(*refs_.matches(code, np.arange(9), ngrams.gram_hashes(code, 3), 3)))
     assert own.tolist() == [6] and other.tolist() == [0]
 
 

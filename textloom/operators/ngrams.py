@@ -214,6 +214,8 @@ def mixture_bits(bits: list[F.Column]) -> F.Column:
     return -F.log2(sum((F.pow(F.lit(2.0), -b) for b in bits[1:]), F.pow(F.lit(2.0), -bits[0])) / len(bits))
 
 
+#: Pairs of places that a task holds at once, and letters compared in a round.
+LOT, STEP = 1 << 20, 64
 #: Odd factor of the n-gram hash, a polynomial in 64 bits.
 FACTOR = 0x9E3779B97F4A7C15
 
@@ -248,24 +250,84 @@ class References:
         ids = table.column("key").combine_chunks()
         return cls(ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids, code, np.cumsum(lengths) - lengths, hashes[place][sort], place[sort])
 
-    def matches(self, code: np.ndarray, at: np.ndarray, hashes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """(place in code, place in the references) of every equal n-gram among those at `at`; equal letters, not only hashes."""
+    def matches(self, code: np.ndarray, at: np.ndarray, hashes: np.ndarray, order: int, most: int = LOT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places in code, places in the references) of equal n-grams among those at `at`, in lots: equal letters, not only hashes.
+
+        A lot has `most` pairs, or those of one place: a text and a reference that repeat themselves have pairs by the product of their lengths.
+        """
         first, beyond = (np.searchsorted(self.hashes, hashes, side=x) for x in ("left", "right"))
         hit = np.flatnonzero(beyond > first)
         n = (beyond - first)[hit]
-        own = np.repeat(at[hit], n)
-        other = self.place[np.repeat(first[hit] - np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64), n) + np.arange(int(n.sum()))] if len(hit) else np.zeros(0, dtype=np.int64)
-        same = np.ones(len(own), dtype=bool)
+        upto = np.cumsum(n)
+        a = 0
+        while a < len(hit):
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + most, side="right")))
+            own = np.repeat(at[hit[a:b]], n[a:b])
+            skip = first[hit[a:b]] - (upto[a:b] - n[a:b] - (upto[a - 1] if a else 0))
+            other = self.place[np.repeat(skip, n[a:b]) + np.arange(len(own))]
+            same = np.ones(len(own), dtype=bool)
+            for k in range(order):
+                same &= code[own + k] == self.code[other + k]
+            yield own[same], other[same]
+            a = b
+
+    def distinct(self, order: int) -> References:
+        """These references with the first place of each n-gram only: enough to tell whether it is there."""
+        start = np.flatnonzero(np.append(True, self.hashes[1:] != self.hashes[:-1])) if len(self.hashes) else np.zeros(0, dtype=np.int64)
+        head = np.repeat(self.place[start], np.diff(np.append(start, len(self.hashes))))
+        again = np.ones(len(self.hashes), dtype=bool)
         for k in range(order):
-            same &= code[own + k] == self.code[other + k]
-        return own[same], other[same]
+            again &= self.code[self.place + k] == self.code[head + k]
+        again[start] = False
+        return References(self.ids, self.code, self.start, self.hashes[~again], self.place[~again])
 
+    def runs(self, code: np.ndarray, begin: np.ndarray, lengths: np.ndarray, order: int, most: int = LOT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, reference, length) of the longest run of `order` letters or more that each text has in common with each reference.
 
-def references_of(references: DataFrame, ref_key: str, order: int, charset: Charset):
-    """The references as a broadcast variable, or None if their letters need more than BROADCAST_BYTES."""
+        Of the pairs of a lot only those that can't be extended to the left begin a run; these are extended to the right, STEP letters a round.
+        """
+        hashes, row = gram_hashes(code, order), np.repeat(np.arange(len(lengths)), lengths)
+        end, other_end = begin + lengths, np.append(self.start[1:], len(self.code))
+        at = np.flatnonzero(end[row[: len(hashes)]] - np.arange(len(hashes)) >= order)
+        found = [np.zeros((0, 3), dtype=np.int64)]
+        for own, other in self.matches(code, at, hashes[at], order, most):
+            ref = np.searchsorted(self.start, other, side="right") - 1
+            heads = (own == begin[row[own]]) | (other == self.start[ref]) | (code[own - 1] != self.code[other - 1])
+            own, other, ref = own[heads], other[heads], ref[heads]
+            length = extended(code, self.code, own, other, np.minimum(end[row[own]] - own, other_end[ref] - other), order)
+            found.append(longest(np.concatenate([found.pop(), np.stack([row[own], ref, length], axis=1)])))
+        return tuple(found[0].T)
+
+
+def extended(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, room: np.ndarray, known: int) -> np.ndarray:
+    """How many letters from a[i] and b[j] on are equal, of at most `room`, of which the first `known` are."""
+    out, open_ = np.full(len(i), known, dtype=np.int64), np.flatnonzero(room > known)
+    step = np.arange(STEP)
+    while len(open_):
+        for part in np.array_split(open_, max(1, len(open_) * STEP // LOT)):
+            at = out[part][:, None] + step
+            inside = at < room[part][:, None]
+            at = np.minimum(at, room[part][:, None] - 1)
+            equal = inside & (a[i[part][:, None] + at] == b[j[part][:, None] + at])
+            out[part] += np.where(equal.all(axis=1), STEP, equal.argmin(axis=1))
+        open_ = open_[(out[open_] < room[open_]) & (a[np.minimum(i[open_] + out[open_], len(a) - 1)] == b[np.minimum(j[open_] + out[open_], len(b) - 1)])]
+    return out
+
+
+def longest(rows: np.ndarray) -> np.ndarray:
+    """Of rows (row, reference, length) the longest of each (row, reference)."""
+    rows = rows[np.lexsort((-rows[:, 2], rows[:, 1], rows[:, 0]))]
+    return rows[np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1))] if len(rows) else rows
+
+
+def references_of(references: DataFrame, ref_key: str, order: int, charset: Charset, distinct: bool = False):
+    """The references, or their distinct n-grams, as a broadcast variable, or None if their letters need more than BROADCAST_BYTES."""
     rows = references.select(F.col(ref_key).alias("key"), only_letters("text", charset).alias("t"))
     size = rows.agg(F.sum(F.length("t").cast("long"))).first()[0] or 0
-    return references.sparkSession.sparkContext.broadcast(References.of(rows.toArrow(), order)) if size * 24 <= BROADCAST_BYTES else None
+    if size * 24 > BROADCAST_BYTES:
+        return None
+    held = References.of(rows.toArrow(), order)
+    return references.sparkSession.sparkContext.broadcast(held.distinct(order) if distinct else held)
 
 
 def first_of_each(code: np.ndarray, hashes: np.ndarray, order: int) -> np.ndarray:
@@ -305,11 +367,11 @@ def copy_matches(docs: DataFrame, references: DataFrame, key: str, ref_key: str,
             hashes, begin = gram_hashes(code, order), np.cumsum(lengths) - lengths
             row = np.repeat(np.arange(len(lengths)), lengths)
             at = np.flatnonzero((begin + lengths)[row[: len(hashes)]] - np.arange(len(hashes)) >= order)
-            own, other = refs.matches(code, at, hashes[at], order)
-            ref = np.searchsorted(refs.start, other, side="right") - 1
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key").take(pa.array(row[own])), refs.ids.take(pa.array(ref)), pa.array(own - begin[row[own]]), pa.array(other - refs.start[ref])], ["key", "ref", "place", "ref_place"]
-            )
+            for own, other in refs.matches(code, at, hashes[at], order):
+                ref = np.searchsorted(refs.start, other, side="right") - 1
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("key").take(pa.array(row[own])), refs.ids.take(pa.array(ref)), pa.array(own - begin[row[own]]), pa.array(other - refs.start[ref])], ["key", "ref", "place", "ref_place"]
+                )
 
     rows = docs.select(F.col(key).alias("key"), only_letters("text", charset).alias("t"))
     return rows.mapInArrow(match, f"key {kinds[0]}, ref {kinds[1]}, place long, ref_place long")
@@ -317,7 +379,7 @@ def copy_matches(docs: DataFrame, references: DataFrame, key: str, ref_key: str,
 
 def copy_overlap(docs: DataFrame, references: DataFrame, key: str = "doc_id", ref_key: str = "item_id", order: int = 12, charset: Charset = LETTERS) -> DataFrame:
     """Distinct n-grams of each text, how many any reference has, and their share (0 for short texts). Rows that repeat a key are texts of their own."""
-    shared = references_of(references, ref_key, order, charset)
+    shared = references_of(references, ref_key, order, charset, distinct=True)
     rows = docs.select(F.col(key).alias("key"), only_letters("text", charset).alias("t"))
     if shared is None:
         rows = rows.withColumn("row", F.monotonically_increasing_id())
@@ -336,7 +398,7 @@ def copy_overlap(docs: DataFrame, references: DataFrame, key: str = "doc_id", re
                     hashes = gram_hashes(code, order)
                     at = first_of_each(code, hashes, order) if len(hashes) else np.zeros(0, dtype=np.int64)
                     grams.append(len(at))
-                    hits.append(len(np.unique(refs.matches(code, at, hashes[at], order)[0])))
+                    hits.append(len(np.unique(np.concatenate([at[:0], *(own for own, _ in refs.matches(code, at, hashes[at], order))]))))
                 yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(grams, pa.int64()), pa.array(hits, pa.int64())], ["key", "grams", "shared"])
 
         counted = rows.mapInArrow(count, f"key {docs.schema[key].dataType.simpleString()}, grams long, shared long")
@@ -345,7 +407,23 @@ def copy_overlap(docs: DataFrame, references: DataFrame, key: str = "doc_id", re
 
 
 def copy_runs(docs: DataFrame, references: DataFrame, key: str = "doc_id", ref_key: str = "item_id", order: int = 12, charset: Charset = LETTERS) -> DataFrame:
-    """The longest run of characters that each text shares with each reference: consecutive matches on one diagonal."""
+    """The longest run of characters that each text shares with each reference, if it is `order` or longer; of rows that repeat a key, the longest.
+
+    References of up to BROADCAST_BYTES are sent to the texts, and a task holds LOT pairs of places at once; larger ones are joined place by place.
+    """
+    shared = references_of(references, ref_key, order, charset)
+    if shared is not None:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            refs = shared.value
+            for batch in batches_of(batches, "t"):
+                code, lengths = code_points(batch.column("t").to_pylist())
+                row, ref, length = refs.runs(code, np.cumsum(lengths) - lengths, lengths, order)
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row)), refs.ids.take(pa.array(ref)), pa.array(length)], ["key", "ref", "longest"])
+
+        kinds = docs.schema[key].dataType.simpleString(), references.schema[ref_key].dataType.simpleString()
+        found = docs.select(F.col(key).alias("key"), only_letters("text", charset).alias("t")).mapInArrow(run, f"key {kinds[0]}, ref {kinds[1]}, longest long")
+        return found.groupBy(F.col("key").alias(key), F.col("ref").alias(ref_key)).agg(F.max("longest").alias("longest"))
     m = copy_matches(docs, references, key, ref_key, order, charset).withColumn("diagonal", F.col("ref_place") - F.col("place"))
     island = F.col("place") - F.row_number().over(Window.partitionBy("key", "ref", "diagonal").orderBy("place"))
     runs = m.withColumn("island", island).groupBy("key", "ref", "diagonal", "island").agg(F.count("*").alias("n"))
