@@ -189,3 +189,9 @@ def test_schema_errors_show_when_it_is_compiled(spark):
 def test_checks_run_without_python_or_shuffle(spark):
     plan = schema.checked(spark.range(3).selectExpr("id", "'{}' AS doc"), "doc", RULES)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_a_text_is_parsed_once_for_all_rules(spark):
+    docs = spark.createDataFrame([(1, '{"k": 3}')], "id long, d string")
+    plan = schema.problem_rows(schema.checked(docs, "d", {"required": ["k"], "properties": {"k": {"type": "integer", "minimum": 10, "maximum": 89}}}), ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 2  # as an item, and once more as a member to see that nothing follows

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ def get(value: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(value, path, kind)
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where the value is computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def member(name: str) -> str:
     """The path of an object's member, whatever its name."""
     if '"' in name or "\\" in name:
@@ -35,7 +42,10 @@ def problems(value: Column, schema: dict, path: Column | str = "$") -> Column:
     if unknown:
         raise ValueError(f"not understood: {sorted(unknown)}")
     path = F.lit(path) if isinstance(path, str) else path
-    kind = F.schema_of_variant(value)
+    return bind(F.schema_of_variant(value), lambda kind: _problems(value, kind, schema, path))
+
+
+def _problems(value: Column, kind: Column, schema: dict, path: Column) -> Column:
     is_ = lambda name: kind.rlike(TYPES[name])
     found: list[Column] = []
 
@@ -68,8 +78,7 @@ def problems(value: Column, schema: dict, path: Column | str = "$") -> Column:
     for name in schema.get("required", []):
         rule("required", is_("object") & get(value, member(name), "variant").isNull(), F.concat(path, F.lit(f".{name}")))
     for name, inner in schema.get("properties", {}).items():
-        own = get(value, member(name), "variant")
-        found.append(F.when(is_("object") & own.isNotNull(), problems(own, inner, F.concat(path, F.lit(f".{name}")))).otherwise(F.array().cast(NONE)))
+        found.append(F.when(is_("object"), bind(get(value, member(name), "variant"), _optional(inner, F.concat(path, F.lit(f".{name}"))))).otherwise(F.array().cast(NONE)))
     extra = schema.get("additionalProperties", True)
     if extra is not True:
         known = F.lit(list(schema.get("properties", {}))) if schema.get("properties") else F.array().cast("array<string>")
@@ -83,6 +92,11 @@ def problems(value: Column, schema: dict, path: Column | str = "$") -> Column:
     return F.concat(*found) if found else F.array().cast(NONE)
 
 
+def _optional(schema: dict, path: Column) -> Callable[[Column], Column]:
+    """The problems of a member; none if it is missing."""
+    return lambda own: F.when(own.isNotNull(), problems(own, schema, path)).otherwise(F.array().cast(NONE))
+
+
 def _any(conditions: list[Column]) -> Column:
     out = F.lit(False)
     for c in conditions:
@@ -108,18 +122,19 @@ def parsed(text: Column) -> Column:
     The parser passes over what follows the first value. Such a rest breaks the text as an array's item or as an object's member.
     """
     items = get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
-    alone = (F.size(items) == 1) & F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
-    return F.when(alone, F.get(items, F.lit(0)))
+    member_too = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
+    return bind(items, lambda found: F.when((F.size(found) == 1) & member_too, F.get(found, F.lit(0))))
 
 
 def checked(rows: DataFrame, column: str, schema: dict, name: str = "problems") -> DataFrame:
     """rows with `name`: what a column of JSON text breaks of the schema.
 
-    A text that isn't JSON stays as it is and has the one problem 'json' at '$'; a null text has the problem 'missing'.
+    A text that isn't JSON stays as it is and has the one problem 'json' at '$'; a null text has the problem 'missing'. Each text is
+    parsed once: the rules read the parsed value, not an expression that parses again for every rule.
     """
-    value = parsed(F.col(column))
     one = lambda problem: F.array(F.struct(F.lit("$").alias("path"), F.lit(problem).alias("problem")))
-    return rows.withColumn(name, F.when(F.col(column).isNull(), one("missing")).when(value.isNull(), one("json")).otherwise(problems(value, schema)))
+    judged = bind(parsed(F.col(column)), lambda value: F.when(value.isNull(), one("json")).otherwise(problems(value, schema)))
+    return rows.withColumn(name, F.when(F.col(column).isNull(), one("missing")).otherwise(judged))
 
 
 def imported(rows: DataFrame, column: str, schema: dict, fields: str) -> tuple[DataFrame, DataFrame]:
@@ -134,4 +149,5 @@ def imported(rows: DataFrame, column: str, schema: dict, fields: str) -> tuple[D
 
 def problem_rows(judged: DataFrame, keys: list[str], name: str = "problems") -> DataFrame:
     """(keys, path, problem): one row for each problem."""
-    return judged.select(*keys, F.explode(name).alias("p")).select(*keys, "p.path", "p.problem")
+    # an inner explode would have its array checked for being null and empty first, each time by the whole expression
+    return judged.select(*keys, F.explode_outer(name).alias("p")).filter("p IS NOT NULL").select(*keys, "p.path", "p.problem")
