@@ -49,3 +49,13 @@ def test_a_repetitive_text_needs_bounded_memory():
     whole = ngrams.References.of(pa.table({"key": [0], "t": [text]}), 12)
     code, lengths = ngrams.code_points([text])
     assert int(whole.runs(code, np.zeros(1, dtype=np.int64), lengths, 12)[2][0]) == 300_000
+
+
+def test_ngrams_are_counted_in_slices_of_a_batch():
+    import pyarrow as pa
+    from textloom.operators import ngrams
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["ab" * 1000] * 2000)], ["letters"])
+    found = list(ngrams.counted(iter([batch]), [], [2]))
+    assert len(found) > 2  # 4 MB of text, about a megabyte at once
+    assert sum(n for part in found for g, n in zip(part.column("gram").to_pylist(), part.column("n").to_pylist()) if g == "ab") == 2000 * 1000
