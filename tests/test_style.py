@@ -271,3 +271,18 @@ def test_composed_column(spark):
     frame = spark.createDataFrame(maps, f"id int, outer {normal.RUNS}, inner {normal.RUNS}")
     got = {r["id"]: [tuple(x) for x in r["whole"]] for r in normal.composed(frame, "outer", "inner", "whole").collect()}
     assert got == {1: [(0, 105, 2), (2, 200, 1), (3, 202, 2)], 2: []}
+
+
+def test_scales_are_those_of_numpy_without_groups_in_memory(spark):
+    from textloom.operators import stats
+
+    draw = np.random.default_rng(5)
+    groups = {"many": draw.normal(size=501), "even": draw.integers(0, 9, 40) * 1.0, "flat": np.ones(7), "rare": np.append(np.zeros(30), [4.0]), "one": np.array([2.5])}
+    rows = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x], "g string, v double")
+    found = stats.robust_scale(rows, "v", ["g"])
+    for g, n, center, scale in found.collect():
+        x = groups[g]
+        mad, iqr = np.median(abs(x - np.median(x))), np.quantile(x, 0.75) - np.quantile(x, 0.25)
+        assert (n, center) == (len(x), pytest.approx(np.median(x)))
+        assert scale == pytest.approx(1.4826 * mad or iqr / 1.349 or x.std() or 1.0)
+    assert "percentile" not in found._jdf.queryExecution().optimizedPlan().toString()
