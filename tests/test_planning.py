@@ -275,3 +275,12 @@ def test_rendering(spark):
         "b": None,
         "c": "plain &amp; &#39;simple&#39;",
     }
+
+
+def test_list_functions_see_slices_of_a_batch(spark):
+    from textloom.operators import ngrams
+
+    rows = spark.createDataFrame([(i, "a" * 20_000) for i in range(200)], "id int, t string").coalesce(1)
+    sizes = ngrams.in_slices(rows, ["id"], [F.col("t")], lambda texts: [len(texts)] * len(texts), "n", "int").collect()
+    assert sorted(r["id"] for r in sizes) == list(range(200))
+    assert max(r["n"] for r in sizes) < 60  # 4 MB of text in one batch, about a megabyte at once

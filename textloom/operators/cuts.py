@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ngrams import code_points
+from .ngrams import code_points, in_slices
 from .speech import ENDS, SOFT, units_of
 
 #: Where long narration may be cut, first choice and second; the longest chunk, and the share of it that a natural cut must fill.
@@ -73,11 +73,10 @@ def forced_units(rows: DataFrame, key: str, text: str, forced: str, most: int =
     """((key, unit_index, unit, forced), (key, missing)): units of each text around those of the array column `forced`, and texts of which
     a forced unit is not there or not in order, with its number. Null texts count as empty, a null array as none."""
 
-    @F.pandas_udf("struct<units:array<struct<unit:string,forced:int>>,missing:int>")
-    def cut(texts: pd.Series, wanted: pd.Series) -> pd.DataFrame:
-        found = [directed_units(t or "", [] if w is None else list(w), most, ends, soft) for t, w in zip(texts, wanted)]
-        return pd.DataFrame({"units": [[{"unit": u, "forced": k} for u, k in units] for units, _ in found], "missing": pd.array([m for _, m in found], dtype="Int32")})
+    def cut(texts: list[str | None], wanted: list[list[str] | None]) -> list[dict]:
+        found = (directed_units(t or "", w or [], most, ends, soft) for t, w in zip(texts, wanted))
+        return [{"units": [{"unit": u, "forced": k} for u, k in units], "missing": m} for units, m in found]
 
-    judged = rows.select(key, cut(text, forced).alias("cut"))
+    judged = in_slices(rows, [key], [F.col(text), F.col(forced)], cut, "cut", "struct<units:array<struct<unit:string,forced:int>>,missing:int>")
     units = judged.select(key, F.posexplode("cut.units").alias("unit_index", "u")).select(key, "unit_index", "u.unit", F.nullif(F.col("u.forced"), F.lit(-1)).alias("forced"))
     return units, judged.filter("cut.missing IS NOT NULL").select(key, F.col("cut.missing").alias("missing"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ngrams import in_slices
 from .packages import all_equal, text_hash
 
 # How tags shift a voice's rate (%), pitch (Hz) and volume (%), and the bounds of each.
@@ -110,11 +110,10 @@ def units_of(text: str, most: int, ends: str = ENDS, soft: str = SOFT) -> list[s
 def speech_units(rows: DataFrame, key: str, text: str, most: int = 30, ends: str = ENDS, soft: str = SOFT) -> DataFrame:
     """(key, unit_index, unit) of each text; null and empty texts have none."""
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: units_of(t or "", most, ends, soft))
+    def cut(texts: list[str | None]) -> list[list[str]]:
+        return [units_of(t or "", most, ends, soft) for t in texts]
 
-    return rows.select(key, F.posexplode(cut(text)).alias("unit_index", "unit"))
+    return in_slices(rows, [key], [F.col(text) if isinstance(text, str) else text], cut, "units", "array<string>").select(key, F.posexplode("units").alias("unit_index", "unit"))
 
 
 def render_targets(units: DataFrame, keys: list[str], voice: Column) -> DataFrame:
