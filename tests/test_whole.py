@@ -100,3 +100,10 @@ def test_nearest_of_all_vectors(spark, tmp_path):
         want |= {(q, r + 1): j for r, (_, j) in enumerate(order[:3])}
     assert got == want
     assert any(j % 20 for j in got.values())
+
+
+def test_collation_sends_nothing_to_the_driver(spark, tmp_path):
+    at = folder(spark, tmp_path, conversations=([(c, t, "user", f"turn {t} of {c}") for c in range(5) for t in range(4)], "conv_id long, turn long, role string, text string"))
+    df = plans.QUERIES["locus_similarity"](spark, at)
+    assert len(df.collect()) == 5
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()

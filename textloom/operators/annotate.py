@@ -64,18 +64,20 @@ def collate(rows: DataFrame, place: list[str], text: str, close: float = 0.5) ->
 def collate_shared(rows: DataFrame, place: list[str], text: str, close: float = 0.5) -> DataFrame:
     """collate by counts of shared bigrams: only texts that share one are paired, and texts are not shuffled with pairs.
 
-    Null places are places of their own.
+    Null places are places of their own. Texts are numbered within their place, and the joins stay shuffled ones: counts of bigrams
+    are small as shuffle files, so an adaptive plan would send them to the driver, where they are not.
     """
     kinds = rows.filter(F.col(text).isNotNull()).select(F.to_json(F.struct(*place), {"ignoreNullFields": "false"}).alias("at"), *place, F.col(text).alias("t")).distinct()
     n = kinds.groupBy("at", *place).agg(F.count("*").alias("variants"))
-    grams = kinds.select("at", F.sha2("t", 256).alias("id"), F.greatest(F.length("t") - 1, F.lit(0)).alias("size"), F.explode(bigrams(F.col("t"))).alias("g"))
+    numbered = kinds.withColumn("id", F.row_number().over(Window.partitionBy("at").orderBy("t")))
+    grams = numbered.select("at", "id", F.greatest(F.length("t") - 1, F.lit(0)).alias("size"), F.explode(bigrams(F.col("t"))).alias("g"))
     grams = grams.groupBy("at", "id", "size", "g").agg(F.count("*").alias("n"))
     other = grams.select("at", "g", F.col("id").alias("id2"), F.col("size").alias("size2"), F.col("n").alias("n2"))
-    shared = grams.join(other, ["at", "g"]).filter("id < id2").groupBy("at", "id", "id2", "size", "size2").agg(F.sum(F.least("n", "n2")).alias("s"))
+    shared = grams.hint("merge").join(other, ["at", "g"]).filter("id < id2").groupBy("at", "id", "id2", "size", "size2").agg(F.sum(F.least("n", "n2")).alias("s"))
     best = shared.groupBy("at").agg(F.max(2.0 * F.col("s") / (F.col("size") + F.col("size2"))).alias("most_alike"))
     most = F.coalesce("most_alike", F.lit(0.0))
     status = F.when(F.col("variants") == 1, "single").when(most >= close, "variants").otherwise("mixed")
-    return n.join(best, "at", "left").select(*place, "variants", F.round(most, 6).alias("most_alike"), status.alias("status"))
+    return n.hint("merge").join(best, "at", "left").select(*place, "variants", F.round(most, 6).alias("most_alike"), status.alias("status"))
 
 
 def histogram(rows: DataFrame, value: Column, width: int, first: int, last: int) -> DataFrame:
