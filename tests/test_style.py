@@ -286,3 +286,17 @@ def test_scales_are_those_of_numpy_without_groups_in_memory(spark):
         assert (n, center) == (len(x), pytest.approx(np.median(x)))
         assert scale == pytest.approx(1.4826 * mad or iqr / 1.349 or x.std() or 1.0)
     assert "percentile" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_marks_are_looked_up_once_a_kind_of_character():
+    class Counted(str):
+        asked = 0
+
+        def __contains__(self, c):
+            Counted.asked += 1
+            return str.__contains__(self, c)
+
+    form = normal.Form(dataclasses.replace(normal.HAN, opening=Counted(normal.HAN.opening)))
+    out, runs, changed = form("say \"a\" or 'b' " * 1000)
+    assert out.startswith("say“a”or‘b’") and changed == 4000
+    assert Counted.asked < 20

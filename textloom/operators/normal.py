@@ -117,16 +117,20 @@ class Form:
         at = np.flatnonzero(~white)
         if not len(at):
             return "", runs_of(at), 0
-        form = np.array([self.of(c) for c in kinds], dtype=object)[which[at]]
+        forms, plain = [self.of(c) for c in kinds.tolist()], [chr(c) for c in kinds.tolist()]
+        form = which[at]  # the number of each character's form
         for mark, pair in (('"', self.rules.double), ("'", self.rules.single)):
             place = np.flatnonzero(code[at] == ord(mark))
-            form[place[::2]], form[place[1::2]] = pair
-        changed = sum(a != b for a, b in zip(form, map(chr, code[at])))
-        opens = np.array([any(c in self.rules.opening for c in f) for f in form])
-        closes = np.array([f[-1:] in self.rules.closing if f else False for f in form])
+            form[place[::2]], form[place[1::2]] = len(forms), len(forms) + 1
+            forms += pair
+            plain += [mark, mark]
+        changed = int(np.array([f != c for f, c in zip(forms, plain)])[form].sum())
+        opens = np.array([any(c in self.rules.opening for c in f) for f in forms])[form]
+        closes = np.array([f[-1:] in self.rules.closing if f else False for f in forms])[form]
         space = np.append(False, (np.diff(at) > 1) & ~opens[1:] & ~closes[:-1])
-        sizes = np.array([len(f) for f in form])
-        out = "".join(" " + f if s else f for f, s in zip(form, space))
+        sizes = np.array([len(f) for f in forms])[form]
+        written = [*forms, *(" " + f for f in forms)]
+        out = "".join(map(written.__getitem__, (form + space * len(forms)).tolist()))
         raw = np.repeat(at, sizes + space)
         raw[(np.cumsum(sizes + space) - sizes - space)[space]] = at[space] - 1
         kept = out.strip()
