@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from test_dedup import DOC, EDGES, ordered, rows
 
 from textloom.llm import near
@@ -100,3 +101,24 @@ def test_recall_of_pairs_around_the_similarity(spark):
             want.add(2 * i + 1)
     got = {r[0] for r in rows(near.near_copies(spark.createDataFrame(docs, DOC))) if r[0] != r[1]}
     assert 100 < len(want) < 290 and got <= want and len(got) >= 0.995 * len(want)
+
+
+def test_fingerprints_alone_link_the_closest_copies(spark, monkeypatch):
+    """With no band in common, what is left is op6's method: fingerprints within two bits, checked on whole sets."""
+    rng = random.Random(5)
+    docs = []
+    for i in range(40):
+        base = [f"{rng.choice(WORDS)}{i}" for _ in range(rng.randrange(300, 900))]
+        docs += [" ".join(base), " ".join([*base[:-1], "end"]), " ".join(["start", *base[1:]]), " ".join([*base[: len(base) // 2], "middle", *base[len(base) // 2 :]])]
+    docs = list(enumerate(docs, 1))
+    of = {k: near.shingles(t) for k, t in docs}
+    fps = {k: near.fingerprint_of(s) for k, s in of.items()}
+    links = {(u, v) for u in fps for v in fps if u < v and (fps[u] ^ fps[v]).bit_count() <= 2 and len(set(of[u]) & set(of[v])) >= 0.8 * len(set(of[u]) | set(of[v]))}
+    want = {k: k for k in fps}
+    for _ in docs:
+        for u, v in links:
+            want[u] = want[v] = min(want[u], want[v])
+    bands = near.with_bands
+    monkeypatch.setattr(near, "with_bands", lambda *a: bands(*a).withColumn("keys", F.array("node")))
+    got = dict(rows(near.near_copies(spark.createDataFrame(docs, DOC))))
+    assert got == want and len(set(want.values())) < 0.75 * len(docs)

@@ -1,4 +1,5 @@
-"""Near copies by word shingles: MinHash bands find candidates, exact Jaccard similarity decides."""
+"""Near copies by word shingles: SimHash fingerprints with Golay-code keys (op6's method) link the close ones, MinHash bands find those whose
+fingerprints lie further apart; exact Jaccard similarity decides every link."""
 
 from __future__ import annotations
 
@@ -11,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import materialize, slices, unused
 from .graph import components
 
@@ -40,6 +42,15 @@ def node_of(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes(), 7)
 
 
+def fingerprint_of(found: np.ndarray) -> int:
+    """SimHash of a set of shingles: a bit is 1 if over half of them have it; an empty set has 0."""
+    total = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(found), 65536):
+        part = np.ascontiguousarray(found[at : at + 65536], dtype="<u8")
+        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(total * 2 > len(found), bitorder="little").view("<u8")[0])
+
+
 #: Fixed permutations of shingles: an odd factor and a shift each.
 _RNG = np.random.default_rng(20261)
 FACTORS = (_RNG.integers(0, 1 << 63, size=(BANDS * ROWS, 1), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -57,19 +68,21 @@ def band_keys(found: np.ndarray) -> np.ndarray:
 
 
 def with_bands(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, node, keys) of every row; a set without shingles has no keys."""
+    """(id, node, fp, keys) of every row; a set without shingles has no keys."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 8 << 20):
-            nodes, keys = [], []
+            nodes, fps, keys = [], [], []
             for t in batch.column("text").to_pylist():
                 found = shingles(t, words)
                 nodes.append(node_of(found))
+                fps.append(fingerprint_of(found))
                 keys.append(band_keys(found).view(np.int64) if len(found) else [])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["id", "node", "keys"])
+            numbers = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (nodes, fps)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *numbers, pa.array(keys, pa.list_(pa.int64()))], ["id", "node", "fp", "keys"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(compute, f"id {kind}, node long, keys array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(compute, f"id {kind}, node long, fp long, keys array<long>")
 
 
 def with_sets(docs: DataFrame, words: int, text_col: str) -> DataFrame:
@@ -162,11 +175,23 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.filter("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
 
+def fingerprint_links(nodes: DataFrame) -> DataFrame:
+    """Candidates (u, v) of nodes (node, fp): those of one fingerprint, and those whose fingerprints simhash.linked links by their Golay keys.
+
+    A fingerprint's nodes meet in the least of them, so many nodes of one fingerprint cost as many rows.
+    """
+    least = materialize(nodes.groupBy("fp").agg(F.min("node").alias("least")), "golay-nodes")
+    same = nodes.join(least, "fp").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    a, b = (least.select(F.col("fp").alias(c), F.col("least").alias(f"node_{c}")) for c in "uv")
+    return ordered(same.union(simhash.linked(least.select("fp")).join(a, "u").join(b, "v").select("node_u", "node_v"))).distinct()
+
+
 def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents linked by shingle sets of at least `similarity` (Jaccard).
 
-    Words are as in simhash.near_duplicates. Rows with the same set are one node. Nodes that share a band are
-    candidates, and every link is checked on whole sets. A crowded band is not paired whole: all its members are compared with
+    Words are as in simhash.near_duplicates. Rows with the same set are one node. Candidates are nodes whose SimHash fingerprints are linked by
+    their Golay keys and then, as copies of 0.8 mostly differ in more bits than these reach, nodes that share a band and are not
+    in one class already; every link is checked on whole sets. A crowded band is not paired whole: all its members are compared with
     two centres (the member that is in most crowded company, and one drawn by hash), and each member that these leave outside the
     band's largest component is looked for among all the others by its rare shingles (see by_rare_shingles), so
     that components are those of all its pairs. Null, empty and blank texts have the same, empty set. A long text is one set of
@@ -175,23 +200,29 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     Returns id, component_id (the smallest id reachable).
     """
     rows = materialize(with_bands(docs, words, id_col, text_col), "bands")
-    nodes = materialize(rows.groupBy("node").agg(F.min("id").alias("first"), F.max("keys").alias("keys")), "band-nodes")
+    nodes = materialize(rows.groupBy("node").agg(F.min("id").alias("first"), F.max("fp").alias("fp"), F.max("keys").alias("keys")), "band-nodes")
+    close = materialize(fingerprint_links(nodes.filter(F.size("keys") > 0).select("node", "fp")), "golay-pairs")
     keys = nodes.select("node", F.explode("keys").alias("key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = materialize(keys.join(sizes, "key"), "band-shared")
-    wanted = shared.select("node").distinct().join(nodes, "node").select("node", "first")
+    wanted = shared.select("node").union(close.select("u")).union(close.select("v")).distinct().join(nodes, "node").select("node", "first")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     some = texts.join(wanted.select("first"), F.col("id").eqNullSafe(F.col("first")), "left_semi")
     sets = materialize(with_sets(some, words, "text").dropDuplicates(["node"]), "band-sets")
 
-    few = shared.filter(F.col("n") <= PAIRWISE).select("key", F.col("node").alias("u"))
-    pairs = few.join(few.select("key", F.col("u").alias("v")), "key").filter("u < v").select("u", "v")
+    close = materialize(verified(close, sets, similarity), "golay-links")
+    settled = components(close, "golay").select("node", F.col("component").alias("class"))
+    shared = materialize(shared.join(settled, "node", "left").withColumn("class", F.coalesce("class", "node")), "band-classes")
+    few = shared.filter(F.col("n") <= PAIRWISE).select("key", F.col("node").alias("u"), F.col("class").alias("own"))
+    pairs = few.join(few.select("key", F.col("u").alias("v"), F.col("own").alias("class")), "key").filter("u < v AND own != class").select("u", "v")
     many = shared.filter(F.col("n") > PAIRWISE)
     typical = many.groupBy("node").agg(F.sum("n").alias("typical"))
-    many = many.select("key", "node").join(typical, "node")
-    centres = many.groupBy("key").agg(F.max_by("node", F.struct("typical", "node")).alias("c0"), F.min_by("node", F.xxhash64("node")).alias("c1"))
-    stars = many.join(centres, "key").select(F.col("node").alias("u"), F.explode(F.array("c0", "c1")).alias("v")).distinct()
-    links = materialize(verified(pairs.union(ordered(stars)), sets, similarity), "band-links")
+    many = many.select("key", "node", "class").join(typical, "node")
+    centre = F.struct("node", "class")
+    centres = many.groupBy("key").agg(F.max_by(centre, F.struct("typical", "node")).alias("c0"), F.min_by(centre, F.xxhash64("node")).alias("c1"))
+    stars = many.join(centres, "key").select("node", "class", F.explode(F.array("c0", "c1")).alias("c"))
+    stars = stars.filter("class != c.class").select(F.col("node").alias("u"), F.col("c.node").alias("v")).distinct()
+    links = materialize(close.union(verified(pairs.union(ordered(stars)), sets, similarity)), "band-links")
 
     of = components(links, "bands-first").select("node", "component")
     placed = materialize(many.select("key", "node").join(of, "node", "left").withColumn("component", F.coalesce("component", "node")), "band-placed")
