@@ -195,3 +195,20 @@ def test_a_text_is_parsed_once_for_all_rules(spark):
     docs = spark.createDataFrame([(1, '{"k": 3}')], "id long, d string")
     plan = schema.problem_rows(schema.checked(docs, "d", {"required": ["k"], "properties": {"k": {"type": "integer", "minimum": 10, "maximum": 89}}}), ["id"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson") == 2  # as an item, and once more as a member to see that nothing follows
+
+
+def test_a_text_without_marks_is_parsed_in_a_step(monkeypatch):
+    """The parser goes from mark to mark, not from character to character."""
+    calls, pattern = [0], markup.TOKEN
+
+    class Counted:
+        def __getattr__(self, name):
+            calls[0] += 1
+            return getattr(pattern, name)
+
+    monkeypatch.setattr(markup, "TOKEN", Counted())
+    text = "[T]a [T]b\n" + "word\n" * 2000 + "[zp]note\n\\[x[-]" + "end"
+    got = markup.parse(text)
+    assert [n[4:8] for n in got if n[4] == "mark"] == [("mark", "T", None, 0), ("mark", "T", None, 5), ("mark", "zp", None, 10010)]
+    assert [n[6] for n in got if n[4] == "text"] == ["a ", "b", "\n" + "word", "\n" + "word\n" * 1999, "note\n[x", "end"]
+    assert calls[0] < 10

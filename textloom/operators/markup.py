@@ -60,14 +60,18 @@ def parse(source: str | None) -> list[tuple]:
             add("error", kind, None, opened, "empty note")
 
     while at < len(text):
-        m = TOKEN.match(text, at)
+        m = TOKEN.search(text, at)
+        until = m.start() if m else len(text)
+        while stack and stack[-1][1] == "T" and (line_end := text.find("\n", at, until)) >= 0:
+            plain(text[at:line_end], at)
+            flush()
+            close(line_end)
+            plain("\n", line_end)
+            at = line_end + 1
+        plain(text[at:until], at)
         if not m:
-            if text[at] == "\n" and stack and stack[-1][1] == "T":
-                flush()
-                close(at)
-            plain(text[at], at)
-            at += 1
-            continue
+            break
+        at = until
         if m[1] is not None:
             if m[1] == "\n":
                 flush()
