@@ -212,3 +212,14 @@ def test_a_text_without_marks_is_parsed_in_a_step(monkeypatch):
     assert [n[4:8] for n in got if n[4] == "mark"] == [("mark", "T", None, 0), ("mark", "T", None, 5), ("mark", "zp", None, 10010)]
     assert [n[6] for n in got if n[4] == "text"] == ["a ", "b", "\n" + "word", "\n" + "word\n" * 1999, "note\n[x", "end"]
     assert calls[0] < 10
+
+
+def test_voice_blocks_parse_each_text_once(spark):
+    docs = spark.createDataFrame([("a", "one (two) three\n[sc]verse (\nmore[-]"), ("b", "bad ( one"), (None, "bad ( too"), ("c", "(x)(y)")], "source_id string, body string")
+    got = blocks.voice_blocks(blocks.paragraphs(markup.nodes(docs), "source_id"), "source_id", ("(", ")"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
+    rows = sorted((str(r["source_id"]), r["order"], r["kind"], r["text"]) for r in got.collect())
+    assert rows == [
+        ("None", 1, "narration", "bad"), ("None", 2, "dialogue", "too"), ("a", 1, "narration", "one"), ("a", 2, "dialogue", "two"), ("a", 3, "narration", "three"),
+        ("a", 4, "poetry", "verse (\nmore"), ("c", 1, "dialogue", "x"), ("c", 2, "dialogue", "y"),
+    ]

@@ -59,23 +59,24 @@ def paragraphs(parsed: DataFrame, key: str) -> DataFrame:
 
 
 def quoted(rows: DataFrame, key: str, quotes: tuple[str, str]) -> DataFrame:
-    """(key, paragraph, role, line, at, token, level): quotes and what lies between them, with how many quotes are open before each."""
+    """(key, paragraph, role, line, at, token, level, problem): quotes and what lies between them, with how many quotes are open before each and
+    what is wrong with it; a verse is one token without quotes."""
     opening, closing = quotes
+    prose = ~F.col("role").isin(*VERSE)
     cut = F.regexp_extract_all("text", F.lit(rf"[\{opening}\{closing}]|[^\{opening}\{closing}]+"), F.lit(0))
-    tokens = rows.select(key, "paragraph", "role", "line", F.posexplode(cut).alias("at", "token"))
-    step = F.when(F.col("token") == opening, 1).when(F.col("token") == closing, -1).otherwise(0)
-    w = Window.partitionBy(key, "paragraph").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    return tokens.withColumn("level", F.coalesce(F.sum(step).over(w), F.lit(0)))
+    tokens = rows.select(key, "paragraph", "role", "line", F.posexplode(F.when(prose, cut).otherwise(F.array("text"))).alias("at", "token"))
+    is_open, is_close = prose & (F.col("token") == opening), prose & (F.col("token") == closing)
+    step = F.when(is_open, 1).when(is_close, -1).otherwise(0)
+    w = Window.partitionBy(key, "paragraph").orderBy("at")
+    leveled = tokens.withColumns({"level": F.coalesce(F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_next": F.lead("at").over(w)})
+    left = F.col("level") + step
+    problem = F.when(is_open & (F.col("level") >= 1), "nested").when(is_close & (F.col("level") <= 0), "not open").when(F.col("_next").isNull() & (left > 0), "not closed")
+    return leveled.withColumn("problem", problem).drop("_next")
 
 
 def quote_problems(rows: DataFrame, key: str, quotes: tuple[str, str] = ("“", "”")) -> DataFrame:
     """(key, line, problem) of paragraphs whose quotes are nested, closed without being open, or left open; the first problem of each."""
-    prose = quoted(rows.filter(~F.col("role").isin(*VERSE)), key, quotes)
-    last = F.row_number().over(Window.partitionBy(key, "paragraph").orderBy(F.desc("at"))) == 1
-    is_open, is_close = F.col("token") == quotes[0], F.col("token") == quotes[1]
-    left = F.col("level") + F.when(is_open, 1).when(is_close, -1).otherwise(0)
-    problem = F.when(is_open & (F.col("level") >= 1), "nested").when(is_close & (F.col("level") <= 0), "not open").when(last & (left > 0), "not closed")
-    found = prose.withColumn("problem", problem).filter("problem IS NOT NULL")
+    found = quoted(rows, key, quotes).filter("problem IS NOT NULL")
     return found.groupBy(key, "paragraph").agg(F.min("line").alias("line"), F.min_by("problem", "at").alias("problem")).select(key, "line", "problem")
 
 
@@ -83,14 +84,15 @@ def voice_blocks(rows: DataFrame, key: str, quotes: tuple[str, str] = ("“", "
     """(key, order, kind, role, line, text, text_hash, context_hash) of paragraphs (see `paragraphs`), without texts that have a quote problem.
 
     What lies in quotes is dialogue, the rest of a line or title narration, verse is poetry as a whole. Order runs from 1 in each text;
-    the context is the kind and hash of the blocks on both sides.
+    the context is the kind and hash of the blocks on both sides. Texts are gone through once: their problems are a window over the same tokens.
     """
-    sound = rows.join(quote_problems(rows, key, quotes).select(key).distinct(), key, "left_anti")
+    problems = F.count("problem").over(Window.partitionBy(key))
+    sound = quoted(rows, key, quotes).withColumn("_problems", problems).filter((F.col("_problems") == 0) | F.col(key).isNull())
     verse = F.col("role").isin(*VERSE)
-    poems = sound.filter(verse).select(key, "paragraph", F.lit(0).alias("at"), F.lit("poetry").alias("kind"), "role", "line", "text")
-    speech = quoted(sound.filter(~verse), key, quotes).filter(~F.col("token").isin(*quotes))
-    parts = speech.select(key, "paragraph", "at", F.when(F.col("level") > 0, "dialogue").otherwise("narration").alias("kind"), "role", "line", spoken(F.col("token")).alias("text")).filter("text <> ''")
+    kind = F.when(verse, "poetry").when(F.col("level") > 0, "dialogue").otherwise("narration")
+    text = F.when(verse, F.col("token")).otherwise(spoken(F.col("token")))
+    every = sound.filter(verse | ~F.col("token").isin(*quotes)).select(key, "paragraph", "at", kind.alias("kind"), "role", "line", text.alias("text")).filter("text <> ''")
     w = Window.partitionBy(key).orderBy("paragraph", "at")
-    every = parts.union(poems).withColumn("text_hash", F.sha2("text", 256)).withColumn("order", F.row_number().over(w))
+    every = every.withColumn("text_hash", F.sha2("text", 256)).withColumn("order", F.row_number().over(w))
     side = lambda f: F.coalesce(F.concat_ws(":", f("kind").over(w), f("text_hash").over(w)), F.lit(""))
     return every.withColumn("context_hash", F.sha2(F.concat_ws("|", side(F.lag), side(F.lead)), 256)).select(key, "order", "kind", "role", "line", "text", "text_hash", "context_hash")
