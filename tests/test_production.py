@@ -116,3 +116,11 @@ def test_default_approval_needs_all_of_it(spark):
     df = spark.createDataFrame(rows, "p string, auto boolean, render boolean, file boolean, status string, history int")
     got = df.select(batches.default_approved(F.col("p"), ("a",), F.col("auto"), F.col("render"), F.col("file"), F.col("status"), F.col("history"))).collect()
     assert [r[0] for r in got] == [True, True, False, False, False, False, False, False]
+
+
+def test_tilings_deal_their_ends_once(spark):
+    """Ends go through one shuffle and what is carried from block to block through its own; a null plan has no stretches."""
+    rows = spark.createDataFrame([("a", 0, 3), ("a", 2, 9), (None, 1, 4)], "plan string, begin int, end int")
+    found = assembly.tiling_problems(rows, spark.createDataFrame([("a", 9), (None, 9)], "plan string, total int"), "plan", block=4)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 5
+    assert [tuple(r) for r in found.collect()] == [("a", 2, 3, "overlap", 2)]

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import BLOCK, running_sum, running_sums
+from .scan import BLOCK, blocked, running_sum
 
 #: The columns that bind a recording to its target.
 BINDING = ["text_hash", "annotation_hash"]
@@ -51,17 +51,24 @@ def tiling_problems(intervals: DataFrame, totals: DataFrame, by: str, begin: str
     ('overlap', one row each stretch of equal depth, with its depth), or cover beyond the ends ('outside').
 
     A sweep over the ends: ends of equal place are added up first, the depth behind each is a running sum in blocks, and a stretch reaches to the
-    next place. Intervals that are empty or turned round are 'empty' themselves. Plans without intervals are one gap; without a total, all outside.
+    next place, which is in the same block or the first of the next. Ends are dealt once, by plan and block. A null plan has no stretches. Intervals that are empty or turned round are 'empty' themselves. Plans without intervals are one gap; without a total, all outside.
     """
     sound = intervals.filter(F.col(begin) < F.col(end))
     empty = intervals.filter(~F.coalesce(F.col(begin) < F.col(end), F.lit(False))).select(by, F.col(begin).cast("long").alias("begin"), F.col(end).cast("long").alias("end"), F.lit("empty").alias("problem"), F.lit(0).cast("long").alias("depth"))
     edge = lambda place, step, inside: F.struct(place.cast("long").alias("place"), F.lit(step).alias("step"), F.lit(inside).alias("inside"))
     edges = sound.select(by, F.inline(F.array(edge(F.col(begin), 1, 0), edge(F.col(end), -1, 0))))
     frame = totals.select(by, F.inline(F.array(edge(F.lit(0), 0, 1), edge(F.col("total"), 0, -1))))
-    summed = edges.unionByName(frame).groupBy(by, "place").agg(F.sum("step").alias("step"), F.sum("inside").alias("inside"))
-    ranked = running_sums(summed, [by], "place", {"depth": F.col("step"), "in": F.col("inside"), "_rank": F.lit(1)}, block)
-    after = ranked.select(by, (F.col("_rank") - 1).alias("_rank"), F.col("place").alias("end"))
-    stretches = ranked.join(after, [by, "_rank"]).select(by, F.col("place").alias("begin"), "end", "depth", "in")
+    dealt = blocked(edges.unionByName(frame).filter(F.col(by).isNotNull()), [by], "place", block).repartition(by, "_block")
+    summed = dealt.groupBy(by, "_block", "place").agg(F.sum("step").alias("step"), F.sum("inside").alias("inside"))
+    blocks = Window.partitionBy(by).orderBy("_block")
+    earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
+    sums = summed.groupBy(by, "_block").agg(F.sum("step").alias("step"), F.sum("inside").alias("inside"), F.min("place").alias("first"))
+    carried = sums.select(by, "_block", F.coalesce(F.sum("step").over(earlier), F.lit(0)).alias("_depth"), F.coalesce(F.sum("inside").over(earlier), F.lit(0)).alias("_in"), F.lead("first").over(blocks).alias("_first"))
+    within = Window.partitionBy(by, "_block").orderBy("place")
+    upto = within.rowsBetween(Window.unboundedPreceding, 0)
+    local = summed.select(by, "_block", "place", F.sum("step").over(upto).alias("depth"), F.sum("inside").over(upto).alias("in"), F.lead("place").over(within).alias("end"))
+    met = local.join(carried, [by, "_block"]).withColumn("end", F.coalesce("end", "_first")).filter("end IS NOT NULL")
+    stretches = met.select(by, F.col("place").alias("begin"), "end", (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("in") + F.col("_in")).alias("in"))
     problem = F.when((F.col("in") == 0) & (F.col("depth") > 0), "outside").when((F.col("in") == 1) & (F.col("depth") == 0), "gap").when((F.col("in") == 1) & (F.col("depth") > 1), "overlap")
     return stretches.select(by, "begin", "end", problem.alias("problem"), "depth").filter("problem IS NOT NULL").unionByName(empty)
 
