@@ -107,3 +107,18 @@ def test_collation_sends_nothing_to_the_driver(spark, tmp_path):
     df = plans.QUERIES["locus_similarity"](spark, at)
     assert len(df.collect()) == 5
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_search_cuts_its_queries(spark, monkeypatch):
+    """A worker's matrices are of a slice of queries, and slices give what a whole block gives."""
+    from textloom.operators import stats
+
+    monkeypatch.setattr(stats, "ASKED", 3)
+    rng = random.Random(2)
+    points = [(i, [rng.random(), rng.random()], i % 2) for i in range(40)]
+    rows = spark.createDataFrame(points, "id int, x array<double>, side int")
+    for within in (None, "side"):
+        got = {(r["id"], r["rank"]): r["of"] for r in stats.nearest_all(rows, rows, "id", "of", "x", 2, within=within).collect()}
+        for i, p, side in points:
+            near = sorted((round(math.dist(p, q), 9), j) for j, q, s in points if j != i and (within is None or s == side))
+            assert [got[i, 1], got[i, 2]] == [j for _, j in near[:2]]
