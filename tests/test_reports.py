@@ -128,3 +128,13 @@ def test_orthography_counts_what_it_changes(spark):
     assert tuple(one(spark, f=form, c=changed)) == ("caﬁe e", 2)
     with pytest.raises(ValueError):
         wording.orthography(F.lit("a"), {"ab": "c"})
+
+
+def test_rated_rows_are_dealt_over_as_many_tasks_as_they_need(spark):
+    """A task's share does not grow with the table, and no median keeps a group's scores."""
+    rows = spark.range(1000).selectExpr("CAST(id % 50 AS string) AS k", "CAST(id AS int) AS round", "0 AS dimension", "CAST(CASE WHEN id % 7 > 0 THEN id % 11 END AS int) AS score")
+    assert reports.dealt(rows, "k", 100).rdd.getNumPartitions() == 10 and reports.dealt(rows, "k").rdd.getNumPartitions() == 4
+    got = reports.spread(rows, ["k"], "score")
+    assert "percentile" not in got._jdf.queryExecution().executedPlan().toString()
+    want = rows.groupBy("k").agg(F.percentile("score", F.lit(0.5)).alias("m"), (F.max("score") - F.min("score")).alias("r"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
