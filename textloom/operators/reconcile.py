@@ -37,7 +37,7 @@ def pauses(rows: DataFrame, by: list[str], order: list[str], kind: str, same: in
 def change_ratio(a: Column, b: Column) -> Column:
     """Edit distance over the longer length; 0 for two empty texts."""
     longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, 0.0).otherwise(F.levenshtein(a, b) / longest)
+    return F.when((longest == 0) | (a == b), 0.0).otherwise(F.levenshtein(a, b) / longest)
 
 
 def fuzzy_pairs(rows: DataFrame, previous: DataFrame, kind: str, key: str, text: str, most: float = FUZZY) -> DataFrame:

@@ -7,7 +7,9 @@ everything else is a join or a window, so a document of any number of blocks fit
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,14 +20,23 @@ from .reconcile import FUZZY, change_ratio
 ROUNDS = 6
 #: What a difference of relative places takes off a score.
 FAR = 0.15
+#: What pairs of changed blocks lack of a score of 1, in steps: pairs are compared no further than a step needs, and blocks taken in one are in no later one.
+STEPS = (0.05, 0.2)
+#: Blocks of a document and kind that meet in one place, of each version; more are dealt over several.
+LOT = 128
 #: Marks that change how a sentence is said; how much of a block may change for its annotations to stay.
-CRITICAL = r"[^？！!?…]"
+CRITICAL = r"[^？！!?…]+"
 KEPT = {"narration": 0.3, "dialogue": 0.1}
 
 
 def settled(df: DataFrame) -> DataFrame:
     """df computed once: written to the checkpoint folder if the session has one, else kept by the executors."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    held = df.persist()
+    if not df.sparkSession.sparkContext.getCheckpointDir():
+        return held
+    out = held.checkpoint()  # runs its plan twice, the second time for the file: that one reads what is held
+    held.unpersist()
+    return out
 
 
 def increasing(places: list[int]) -> list[int]:
@@ -51,12 +62,26 @@ def increasing(places: list[int]) -> list[int]:
 def longest_runs(pairs: DataFrame) -> DataFrame:
     """Of pairs (doc, segment, i, j) of each segment, a largest set in which i and j grow together; i and j are unique."""
 
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("i")
-        return rows.take(pa.array(increasing(rows.column("j").to_pylist()), pa.int64())).select(["doc", "i", "j"])
+    def whole(rows: pa.Table) -> pa.Table:
+        starts, places = np.flatnonzero(rows.column("rank").to_numpy() == 1).tolist(), rows.column("j").to_pylist()
+        kept = [start + k for start, end in zip(starts, [*starts[1:], len(places)]) for k in increasing(places[start:end])]
+        return rows.take(pa.array(kept, pa.int64())).select(["doc", "i", "j"])
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Segments follow each other, each in order from rank 1 on; the last one of a batch waits for the next batch."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            starts = np.flatnonzero(batch.column("rank").to_numpy() == 1)
+            if len(starts) and (held or starts[-1]):
+                yield from whole(pa.Table.from_batches([*held, batch.slice(0, starts[-1])])).to_batches()
+                held = []
+            held.append(batch.slice(starts[-1]) if len(starts) else batch)
+        if held:
+            yield from whole(pa.Table.from_batches(held)).to_batches()
 
     kind = pairs.schema["doc"].dataType.simpleString()
-    return pairs.select("doc", "segment", "i", "j").groupBy("doc", "segment").applyInArrow(run, f"doc {kind}, i long, j long")
+    ranked = pairs.select("doc", "i", "j", F.row_number().over(Window.partitionBy("doc", "segment").orderBy("i")).alias("rank"))
+    return ranked.mapInArrow(runs, f"doc {kind}, i long, j long")
 
 
 def in_order(new: DataFrame, old: DataFrame) -> DataFrame:
@@ -115,33 +140,73 @@ def moved(new: DataFrame, old: DataFrame) -> DataFrame:
     return new.groupBy("doc", "hash").agg(F.min("i").alias("i")).join(alone, ["doc", "hash"]).select("doc", "i", "j")
 
 
-def changed(new: DataFrame, old: DataFrame, sizes: DataFrame, most: float = FUZZY) -> DataFrame:
-    """(doc, i, j, score): blocks (doc, place, kind, text) of the same kind that changed by `most` or less, scored by closeness and relative place."""
-    pairs = new.join(old.withColumnRenamed("text", "was"), ["doc", "kind"]).filter(F.abs(F.length("text") - F.length("was")) <= most * F.greatest(F.length("text"), F.length("was")))
-    near = pairs.withColumn("ratio", change_ratio(F.col("text"), F.col("was"))).filter(F.col("ratio") <= most).join(sizes, "doc")
-    far = F.abs(F.col("i") / F.greatest("new_size", F.lit(1)) - F.col("j") / F.greatest("old_size", F.lit(1)))
-    return near.select("doc", "i", "j", F.round(1 - F.col("ratio") - FAR * far, 9).alias("score"))
+def dealt(new: DataFrame, old: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks (doc, place, kind, text) that have others of their document and kind in the other version, with their `size` and the lots that they meet in.
+
+    Blocks of each version are dealt over lots of about LOT, and each lot meets each one of the other version.
+    """
+    lots = lambda rows, name: rows.groupBy("doc", "kind").agg(F.ceil(F.count("*") / LOT).alias(name))
+    counts = lots(new, "new_lots").join(lots(old, "old_lots"), ["doc", "kind"])
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    own = lambda place, n: F.array(F.pmod(F.xxhash64(place), F.col(n)))
+    sides = (
+        rows.join(counts, ["doc", "kind"]).select("doc", "kind", place, "text", F.length("text").alias("size"), a.alias("new_lot"), b.alias("old_lot"))
+        for rows, place, a, b in ((new, "i", own("i", "new_lots"), every("old_lots")), (old, "j", every("new_lots"), own("j", "old_lots")))
+    )
+    return next(sides), next(sides)
+
+
+def changed(new: DataFrame, old: DataFrame, sizes: DataFrame, most: float = FUZZY, lack: float | None = None) -> DataFrame:
+    """(doc, i, j, ratio, score): blocks of the same kind, as `dealt` gives them, that changed by `most` or less, scored by closeness and relative place.
+
+    With `lack`, only pairs whose score is above 1 - lack: edits are counted no further than such a score allows.
+    """
+    on = ["doc", "kind", "new_lot", "old_lot"]
+    tasks = int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    meet = lambda rows: rows.withColumn("new_lot", F.explode("new_lot")).withColumn("old_lot", F.explode("old_lot")).repartition(tasks, *on)
+    pairs = meet(new.join(sizes, "doc")).join(meet(old.withColumnsRenamed({"text": "was", "size": "was_size"})), on)
+    far = FAR * F.abs(F.col("i") / F.greatest("new_size", F.lit(1)) - F.col("j") / F.greatest("old_size", F.lit(1)))
+    longest = F.greatest("size", "was_size")
+    share = F.lit(most) if lack is None else F.least(F.lit(most), lack - far)
+    room = F.floor((share + 1e-9) * longest).cast("int")
+    edits = F.call_function("levenshtein", F.col("text"), F.col("was"), room)  # -1 above room
+    # an explode, as a filter moves below what it only selects, and would count the edits again
+    near = pairs.filter(F.abs(F.col("size") - F.col("was_size")) <= room).withColumn("edits", F.explode(F.array(edits))).filter("edits >= 0")
+    ratio = F.when(longest == 0, 0.0).otherwise(F.col("edits") / longest)
+    rows = near.select("doc", "i", "j", ratio.alias("ratio"), F.round(1 - ratio - far, 9).alias("score")).filter(F.col("ratio") <= most)
+    return rows if lack is None else rows.filter(F.col("score") > round(1 - lack, 9))
+
+
+def closest(new: DataFrame, old: DataFrame, sizes: DataFrame, most: float = FUZZY) -> DataFrame:
+    """(doc, i, j, ratio) of the dominant pairs of changed blocks.
+
+    Good scores go first, so a step that knows every pair above a score takes those that all pairs at once would give. Only what is left
+    is compared further.
+    """
+    taken, (a, b) = None, (settled(rows) for rows in dealt(new, old))
+    for lack in (*STEPS, None):
+        now = dominant(changed(a, b, sizes, most, lack)).select("doc", "i", "j", "ratio")
+        taken = now if taken is None else taken.union(now)
+        if lack is not None:
+            a, b = a.join(now.select("doc", "i"), ["doc", "i"], "left_anti"), b.join(now.select("doc", "j"), ["doc", "j"], "left_anti")
+    return taken
 
 
 def matched(new: DataFrame, old: DataFrame) -> DataFrame:
-    """(doc, i, j, how) of blocks (doc, i or j from 0, kind, text) against those of the last version.
+    """(doc, i, j, how, ratio) of blocks (doc, i or j from 0, kind, text) against those of the last version.
 
     'kept' equal and in order, 'moved' equal elsewhere with no doubt which, 'changed' by the dominant close pairs of the same kind. Each
-    step sees what the ones before left.
+    step sees what the ones before left. The ratio is that of changed blocks.
     """
-    hashed = lambda rows: rows.withColumn("hash", F.xxhash64(F.coalesce("kind", F.lit("")), F.sha2(F.coalesce("text", F.lit("")), 256)))
-    a, b = settled(hashed(new)), settled(hashed(old))
-    sizes = a.groupBy("doc").agg(F.count("*").alias("new_size")).join(b.groupBy("doc").agg(F.count("*").alias("old_size")), "doc")
-    out = in_order(a.select("doc", "i", "hash"), b.select("doc", "j", "hash")).withColumn("how", F.lit("kept"))
-    for how in ("moved", "changed"):
-        left = a.join(out.select("doc", "i"), ["doc", "i"], "left_anti"), b.join(out.select("doc", "j"), ["doc", "j"], "left_anti")
-        if how == "moved":
-            met = moved(*left)
-        else:
-            full = [rows.withColumn("text", F.coalesce("text", F.lit(""))) for rows in left]
-            met = dominant(changed(full[0].select("doc", "i", "kind", "text"), full[1].select("doc", "j", "kind", "text"), sizes)).select("doc", "i", "j")
-        out = settled(out.union(met.withColumn("how", F.lit(how))))
-    return out
+    hashed = lambda rows, place: rows.select("doc", place, F.xxhash64(F.coalesce("kind", F.lit("")), F.sha2(F.coalesce("text", F.lit("")), 256)).alias("hash"))
+    a, b = settled(hashed(new, "i")), settled(hashed(old, "j"))
+    sizes = settled(a.groupBy("doc").agg(F.count("*").alias("new_size")).join(b.groupBy("doc").agg(F.count("*").alias("old_size")), "doc"))
+    left = lambda rows, place, out: rows.join(out.select("doc", place), ["doc", place], "left_anti")
+    out = in_order(a, b).withColumn("how", F.lit("kept"))
+    out = settled(out.union(moved(left(a, "i", out), left(b, "j", out)).withColumn("how", F.lit("moved"))))
+    full = [left(rows, place, out).select("doc", place, "kind", F.coalesce("text", F.lit("")).alias("text")) for rows, place in ((new, "i"), (old, "j"))]
+    met = closest(*full, sizes).select("doc", "i", "j", F.lit("changed").alias("how"), "ratio")
+    return settled(out.withColumn("ratio", F.lit(None).cast("double")).union(met))
 
 
 def contexts(rows: DataFrame, place: str) -> DataFrame:
@@ -172,14 +237,15 @@ def reconciled(blocks: DataFrame, previous: DataFrame) -> DataFrame:
     Returns doc, place, kind, text, block, old_place, how, ratio, status, reason.
     """
     index = lambda rows, name: rows.withColumn(name, F.row_number().over(Window.partitionBy("doc").orderBy("place")).cast("long") - 1)
-    a, b = contexts(index(blocks, "i"), "i"), contexts(index(previous, "j"), "j")
+    a, b = settled(contexts(index(blocks, "i"), "i")), settled(contexts(index(previous, "j"), "j"))
     pairs = matched(a.select("doc", "i", "kind", "text"), b.select("doc", "j", "kind", "text"))
     was = b.select("doc", "j", F.col("text").alias("was"), F.col("context").alias("old_context"), "block", F.col("place").alias("old_place"))
     rows = a.join(pairs, ["doc", "i"], "left").join(was, ["doc", "j"], "left")
-    ratio = F.when(F.col("how").isNotNull(), change_ratio(F.coalesce("text", F.lit("")), F.coalesce("was", F.lit(""))))
+    known = F.coalesce(F.col("ratio"), change_ratio(F.coalesce("text", F.lit("")), F.coalesce("was", F.lit(""))))
+    ratio = F.when(F.col("how").isNotNull(), known)
     marks = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), CRITICAL, "")
     what, why = status(F.col("kind"), F.col("ratio"), F.col("context") == F.col("old_context"), marks(F.col("text")) == marks(F.col("was")))
-    highest = previous.groupBy("doc").agg(F.max("block").alias("highest"))
+    highest = b.groupBy("doc").agg(F.max("block").alias("highest"))
     fresh = F.sum(F.when(F.col("how").isNull(), 1)).over(Window.partitionBy("doc").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.join(highest, "doc", "left").withColumn("ratio", ratio).withColumn("block", F.coalesce("block", F.coalesce("highest", F.lit(0)) + fresh))
     return rows.select("doc", "place", "kind", "text", "block", "old_place", F.coalesce("how", F.lit("new")).alias("how"), F.round("ratio", 4).alias("ratio"), what.alias("status"), why.alias("reason"))
