@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -410,6 +411,21 @@ def test_crowded_anchors_agree_with_brute_force(spark, monkeypatch):
     assert sorted(got) == want and sum(w[2] for w in want) > 1000
 
 
+def test_buckets_are_read_one_by_one_and_those_of_the_merge_follow_its_segments(spark, monkeypatch):
+    """Many buckets meet in a task, which reads them in turn; the merge has as many as its own segments fill, not the text."""
+    dealt, merge, seen = substring_dedup.dealt, substring_dedup.merge_buckets, []
+    monkeypatch.setattr(substring_dedup, "PARTITION_BYTES", 200)
+    monkeypatch.setattr(substring_dedup, "MERGE_SYMBOLS", 300)
+    monkeypatch.setattr(substring_dedup, "dealt", lambda rows, n: dealt(rows.repartition(1), n).coalesce(1).sortWithinPartitions("bucket"))
+    monkeypatch.setattr(substring_dedup, "merge_buckets", lambda shards, n: seen.append((n, shards.select("bucket").distinct().count())) or merge(shards, n))
+    docs = repeating_docs(5)
+    got = rows(substring_dedup.remove_repeats(spark.createDataFrame(docs, DOC).repartition(4)).drop("kept"))
+    assert sorted(got) == brute_removed([(i, (t or "").encode()) for i, t in docs])
+    assert seen[0][0] > substring_dedup.shuffle_partitions(spark) and seen[0][1] > 4
+    batch = pa.record_batch({"bucket": [1, 1, 1, 3], "data": [b"a", b"b", b"c", b"d"]}), pa.record_batch({"bucket": [3, 4], "data": [b"e", b"f"]})
+    assert list(substring_dedup.by_bucket(iter(batch))) == [[b"a", b"b", b"c"], [b"d", b"e"], [b"f"]]
+
+
 def test_kept_bytes_are_returned(spark):
     docs = [(1, "x" * 10 + "q" * 100), (2, "head" + "q" * 100 + "tail")]
     got = {r["doc_id"]: bytes(r["kept"]) for r in substring_dedup.remove_repeats(spark.createDataFrame(docs, DOC)).collect()}

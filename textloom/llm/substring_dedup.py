@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,11 +26,14 @@ from .common import materialize, shuffle_partitions, slices
 LENGTH, ANCHOR = 100, 24
 #: Bytes of text for each partition that anchors are dealt to; bytes of text handled at a time in a task.
 PARTITION_BYTES, SLICE_BYTES = 48 << 20, 2 << 20
+#: Symbols of segments for each bucket of the merge, which takes some 30 bytes for each. How many segments are to be merged
+#: follows from how often anchors meet, which grows faster than the text, so it is counted.
+MERGE_SYMBOLS = 4 << 20
 #: An anchor in more different segments than this is not merged in one task: its windows are dealt out one by one. A merge
-#: takes about 6 kB a segment (some 40 bytes for each of 140 symbols), so this many take 400 MB of a task's memory.
+#: takes about 4 kB a segment (some 30 bytes for each of 140 symbols), so this many take 300 MB of a task's memory.
 CROWDED = 1 << 16
 #: Segments' bytes of a shard after which a task closes it and starts another.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Places within a slice have 24 bits; a text of more than twice this is taken in stretches of it.
 LONG = 2 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -180,6 +184,28 @@ def anchors(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, PARTS)
 
 
+def dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    """rows by bucket, each task's in order: several buckets can meet in a task, the more the more there are, and are read one by one."""
+    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The data of each bucket of rows in order of bucket, one bucket at a time."""
+    held: list[bytes] = []
+    last = None
+    for batch in batches:
+        for small in slices([batch], SLICE_BYTES, "data"):
+            for bucket, data in zip(small.column("bucket").to_pylist(), small.column("data").to_pylist()):
+                if held and bucket != last:
+                    full, held = held, []
+                    yield full
+                    del full
+                last = bucket
+                held.append(data)
+    if held:
+        yield held
+
+
 def unpack(data: list[bytes]) -> dict[str, np.ndarray]:
     """The records of packed anchors, with their documents' ids and versions."""
     out: dict[str, list] = {c: [] for c in ("id", "version", *RECORD.names)}
@@ -200,16 +226,21 @@ def settle(parts: DataFrame, buckets: int) -> DataFrame:
     in more than CROWDED different segments are of kind 3."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data: list[bytes] = []
-        for batch in batches:
-            kind = batch.column("kind").to_numpy()
-            if (kind == 1).any():
-                yield batch.filter(pa.array(kind == 1))
-            data += batch.filter(pa.array(kind == 0)).column("data").to_pylist()
-        r = unpack(data)
-        del data
-        if not len(r["id"]):
-            return
+        passed: list[pa.RecordBatch] = []
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                is_packed = pc.equal(batch.column("kind"), 0)
+                passed.append(batch.filter(pc.invert(is_packed)))
+                yield batch.filter(is_packed)
+
+        for data in by_bucket(packed()):
+            while passed:
+                yield passed.pop()
+            yield from settled(unpack(data))
+        yield from passed
+
+    def settled(r: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((r["low"], r["version"], r["id"], r["digest"], r["anchor"]))
         r = {c: x[order] for c, x in r.items()}
         new = np.ones(len(order), dtype=bool)
@@ -232,7 +263,7 @@ def settle(parts: DataFrame, buckets: int) -> DataFrame:
                 i = at[begin : begin + (1 << 18)]
                 yield part(kind=kind, id=r["id"][i], version=r["version"][i], low=low[i], high=high[i] + reach, anchor=r["anchor"][i].view(np.int64))
 
-    return parts.repartition(buckets, "bucket").mapInArrow(run, PARTS)
+    return dealt(parts, buckets).mapInArrow(run, PARTS)
 
 
 def transform(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -291,11 +322,12 @@ def merged_repeats(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     """
     bwt = np.concatenate([s[0] for s in shards])
     base = np.cumsum([0] + [len(s[0]) for s in shards])
-    lf = np.concatenate([last_to_first(s[0]) + o for s, o in zip(shards, base)])
+    whole = np.int32 if len(bwt) < 2**31 else np.int64
+    lf = np.concatenate([(last_to_first(s[0]) + o).astype(whole) for s, o in zip(shards, base)])
     # where each row stands: walk back from the separators, all segments side by side
     lengths = np.concatenate([s[2] for s in shards])
     anchor = np.unique(np.concatenate([s[3] for s in shards]), return_inverse=True)[1]
-    segment, offset = np.full(len(bwt), -1, dtype=np.int64), np.zeros(len(bwt), dtype=np.int64)
+    segment, offset = np.full(len(bwt), -1, dtype=whole), np.zeros(len(bwt), dtype=whole)
     cur = np.concatenate([s[1] + o for s, o in zip(shards, base)])
     who, left = np.arange(len(lengths)), lengths.copy()
     segment[cur], offset[cur] = who, left
@@ -304,7 +336,7 @@ def merged_repeats(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         segment[cur], offset[cur] = who, left
         more = left > 0
         who, cur, left = who[more], cur[more], left[more]
-    row = np.flatnonzero(offset >= length)
+    row = np.flatnonzero(offset >= length).astype(whole)
     interval = anchor[segment[row]]
     for _ in range(length):
         symbol = bwt[row].astype(np.int64)
@@ -385,11 +417,7 @@ def merge_buckets(shards: DataFrame, buckets: int) -> DataFrame:
     """(id, version, low, high): stretches of windows that the merge of a bucket's shards finds repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist()):
-                by.setdefault(bucket, []).append(data)
-        for data in by.values():
+        for data in by_bucket(batches):
             metas = [np.frombuffer(d, dtype=META, count=int.from_bytes(d[:4], "little"), offset=4) for d in data]
             bwts = [np.frombuffer(d, dtype="<u2", offset=4 + META.itemsize * len(m)) for d, m in zip(data, metas)]
             interval, segment, offset = merged_repeats([(b, m["end"].astype(np.int64), m["length"].astype(np.int64), m["anchor"]) for b, m in zip(bwts, metas)])
@@ -412,7 +440,7 @@ def merge_buckets(shards: DataFrame, buckets: int) -> DataFrame:
             cols = [pa.array(x.astype(np.int64)) for x in (ids[a], versions[a], start[a], start[b] + LENGTH)]
             yield pa.RecordBatch.from_arrays(cols, ["id", "version", "low", "high"])
 
-    return shards.repartition(buckets, "bucket").mapInArrow(run, "id long, version long, low long, high long")
+    return dealt(shards, buckets).mapInArrow(run, "id long, version long, low long, high long")
 
 
 def repeated_stretches(docs: DataFrame) -> DataFrame:
@@ -422,6 +450,8 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
     parts = materialize(settle(anchors(docs, buckets), buckets), "anchored")
     keys = ["id", "version", "low", "high"]
     found = parts.filter("kind = 1").select(*keys)
+    symbols = parts.filter("kind = 2").agg(F.sum(F.col("high") - F.col("low") + LENGTH + 1)).first()[0] or 0
+    buckets = max(shuffle_partitions(docs.sparkSession), -(-int(symbols) // MERGE_SYMBOLS))
     pieces = pieces_of(docs, parts.filter("kind > 1").select(*keys, "anchor", "kind"), buckets)
     if parts.filter("kind = 3").isEmpty():
         return found.unionByName(merge_buckets(pieces.select("bucket", "data"), buckets))
