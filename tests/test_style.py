@@ -7,11 +7,14 @@ import unicodedata
 from collections import Counter
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
 
-from textloom.operators import normal, stats, style
+from textloom import plans
+from textloom.operators import ngrams, normal, stats, style
 from textloom.operators.ngrams import UNSEEN
 
 TEXTS = "key long, source string, fold int, text string"
@@ -300,3 +303,58 @@ def test_marks_are_looked_up_once_a_kind_of_character():
     out, runs, changed = form("say \"a\" or 'b' " * 1000)
     assert out.startswith("say“a”or‘b’") and changed == 4000
     assert Counted.asked < 20
+
+
+def test_style_audit_measures_every_text_once_and_counts_n_grams_twice(spark, monkeypatch):
+    """One pass of distances for calibration and audit, one count for the vocabulary and all folds, one for the clusters."""
+    distances, grams, measured, counted = style.distances, ngrams.gram_counts, [], []
+    monkeypatch.setattr(style, "distances", lambda docs, *a, **b: measured.append(docs.count()) or distances(docs, *a, **b))
+    monkeypatch.setattr(ngrams, "gram_counts", lambda docs, *a, **b: counted.append(docs.count()) or grams(docs, *a, **b))
+    rows = plans.QUERIES["style_audit"](spark, "/root/testdata/sf0.001").collect()
+    training = sum(r["split"] == "training" for r in rows)
+    assert measured == [len(rows)] and counted == [training, training] and len({r["doc_id"] for r in rows}) == len(rows)
+
+
+def test_bits_of_a_text_do_not_depend_on_where_it_stands():
+    rng = random.Random(7)
+    for order in (1, 2, 3, 5):
+        texts = ["".join(rng.choice("abcdé ") for _ in range(rng.randrange(1, 400))) for _ in range(8)]
+        table = gram_table(texts, order)
+        asked = ["".join(rng.choice("abcdéx ") for _ in range(rng.randrange(0, 300))) for _ in range(40)]
+        model = ngrams.Counts.of(table, order, 0.3)
+        together = model.bits(asked)
+        assert all(math.isnan(b) if not t else b == model.bits([t])[0] for t, b in zip(asked, together))
+        assert all(abs(b - brute_bits(texts, t, order, 0.3)) < 1e-9 for t, b in zip(asked, together) if t)
+        assert np.array_equal(model.bits_by_alpha(asked, [1.0, 0.3])[1], together, equal_nan=True)
+
+
+def test_models_without_the_ends_of_some_n_grams_are_scored_place_by_place():
+    table = gram_table(["abcabd abc", "bcd abca"], 3)
+    model = ngrams.Counts.of(table[table["gram"] != "bc"], 3, 1.0)
+    whole = ngrams.Counts.of(table, 3, 1.0)
+    assert whole.complete and not model.complete
+    # P(c | ab) rests on P(c), as "bc" is not known, though "b" is followed
+    n = table.set_index("gram")["n"]
+    followed = table.set_index("gram")["context_n"]
+    one = lambda c: (n[c] + 1) / (n[list(" abcd")].sum() + 6)
+    ab = [one("a"), (n["ab"] + one("b")) / (followed["a"] + 1)]
+    ab.append((n["abc"] + one("c") / (followed["b"] + 1)) / (followed["ab"] + 1))
+    assert abs(model.bits(["abc"])[0] + sum(map(math.log2, ab)) / 3) < 1e-12
+
+
+def test_a_task_sends_the_counts_of_all_its_slices_at_once():
+    batches = [pa.record_batch({"fold": [1, None, 1], "letters": ["abab", "ab", "b"]}), pa.record_batch({"fold": [1, 2, None], "letters": ["ab", "", "ba"]})]
+    sent = [r for b in ngrams.counted(iter(batches), ["fold"], [1, 2]) for r in b.to_pylist()]
+    found = {(r["fold"], r["gram"]): r["n"] for r in sent}
+    assert len(found) == len(sent)
+    assert found == {(1, "a"): 3, (1, "b"): 4, (1, "ab"): 3, (1, "ba"): 1, (None, "a"): 2, (None, "b"): 2, (None, "ab"): 1, (None, "ba"): 1}
+
+
+def gram_table(texts, order):
+    """(order, gram, n, context_n) by loops."""
+    n = Counter(t[i : i + k] for t in texts for k in range(1, order + 1) for i in range(len(t) - k + 1))
+    after = Counter()
+    for gram, count in n.items():
+        if len(gram) > 1:
+            after[gram[:-1]] += count
+    return pd.DataFrame([(len(g), g, c, after[g]) for g, c in sorted(n.items())], columns=["order", "gram", "n", "context_n"])
